@@ -32,7 +32,7 @@ RULES = [
     ("word_length", "mean_word_chars", 2.0, 16.0, 10),
     ("symbols", "symbols_per_word", 0.0, 0.3, 10),
     ("exclamation", "bangs_per_word", 0.0, 0.5, 10),
-    ("letters", "letter_words", 0.7, 1.0, 10),
+    ("letters", "letter_words", 0.6, 1.0, 10),
     ("stop_words", "stop_words", 0.02, 1.0, 80),
     ("repeated_lines", "repeated_lines", 0.0, 0.5, 10),
 ]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality
+import public_tokenizers
+
+from . import line_dedup, mixing, packing, quality, range_coder, separator_scan
+
+BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+END_OF_TEXT = 50256
 
 
 def _documents(spark, sf_dir):
@@ -15,9 +20,12 @@ def _over_documents(f):
 
 def queries():
     return {
+        "op1_token_counts": _over_documents(lambda docs: separator_scan.digest(docs, BYTE_BPE, END_OF_TEXT)),
+        "op3_packing": _over_documents(lambda docs: packing.digest(docs, BYTE_BPE)),
         "op4_quality_rules": _over_documents(quality.digest),
         "op6_mixing": _over_documents(mixing.digest),
         "op8_line_dedup": _over_documents(line_dedup.digest),
+        "op10_token_files": _over_documents(lambda docs: range_coder.digest(docs, WORD_BPE)),
     }
 
 
