@@ -123,7 +123,7 @@ class Memo:
             for pieces in split:
                 new.update([p for p in pieces if p not in later])
             self._learn(first, new_first, "")
-            self._learn(later, new - later.keys(), self.lead)
+            self._learn(later, {p for p in new if p not in later}, self.lead)
             whole = []
             for i, pieces in zip(todo, split):
                 found = list(map(later.__getitem__, pieces))
