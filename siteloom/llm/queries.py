@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import fingerprints, line_dedup, mixing, packing, quality, range_coder, separator_scan, toxicity
+from . import chosen_path, fingerprints, line_dedup, mixing, packing, quality, range_coder, separator_scan, toxicity
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 END_OF_TEXT = 50256
@@ -21,6 +21,7 @@ def _over_documents(f):
 def queries():
     return {
         "op1_token_counts": _over_documents(lambda docs: separator_scan.digest(docs, BYTE_BPE, END_OF_TEXT)),
+        "op2_chosen_path": _over_documents(chosen_path.digest),
         "op3_packing": _over_documents(lambda docs: packing.digest(docs, BYTE_BPE)),
         "op4_quality_rules": _over_documents(quality.digest),
         "op5_toxicity": lambda spark, sf_dir: toxicity.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
