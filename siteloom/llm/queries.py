@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chosen_path, fingerprints, line_dedup, mixing, packing, quality, range_coder, separator_scan, toxicity
+from . import chosen_path, fingerprints, line_dedup, mixing, packing, pii, quality, range_coder, separator_scan, toxicity
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 END_OF_TEXT = 50256
@@ -26,6 +26,7 @@ def queries():
         "op4_quality_rules": _over_documents(quality.digest),
         "op5_toxicity": lambda spark, sf_dir: toxicity.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op6_mixing": _over_documents(mixing.digest),
+        "op7_pii": _over_documents(pii.digest),
         "op8_line_dedup": _over_documents(line_dedup.digest),
         "op9_fingerprints": _over_documents(fingerprints.digest),
         "op10_token_files": _over_documents(lambda docs: range_coder.digest(docs, WORD_BPE)),
