@@ -9,8 +9,9 @@ the first two levels of one tree with probability 0.73, of eight trees with 0.99
 more surely, and levels beyond the second are met only in groups of more than `leaf` similar classes.
 
 Candidates are pairs of a node whose tokens agree in at least 0.8 less 3.4 standard errors. Links are confirmed on full
-shingle sets. Only connectivity is wanted, so pairs within a component that is already confirmed aren't compared: first
-each class's nearest candidate is confirmed, then each component's, then all candidates between different components.
+shingle sets, inside the node. Only connectivity is wanted, so a pair within a component that is confirmed already isn't
+looked at: the first tree is confirmed alone, the others then only between different components, and a node reports
+at most one link less than it has classes. Pairs never become rows.
 
 A node that is still larger than `leaf` on the last level is held together by its smallest class first; then what is
 in other components than the node's largest is compared with all of the node, block by block, so no pair is lost.
@@ -35,7 +36,7 @@ from .common import keep, release
 from .components import components
 from .shingles import POSITIONS, mix, sequence_key, shingle_sets, signatures, words
 
-WORDS, PERCENT, TREES, LEAF, LEVELS = 4, 80, 8, 256, 12
+WORDS, PERCENT, TREES, LEAF, LEVELS = 4, 80, 8, 512, 12
 _U = np.uint64
 
 
@@ -58,9 +59,9 @@ def _prepare(k: int):
     return prepare
 
 
-def _branch(paths: np.ndarray, rows: np.ndarray, sigs: np.ndarray):
-    """Paths of the children, and the row of each."""
-    out_p, out_r = [], []
+def _branch(paths: np.ndarray, rows: np.ndarray, sigs: np.ndarray, first: np.ndarray):
+    """Paths of the children, the row of each, and what their parents have as first."""
+    out_p, out_r, out_f = [], [], []
     draw = mix(paths ^ _U(0xA5A5A5A5A5A5A5A5))
     for salt in (0, 1):
         pick = mix(draw + _U(salt + 1))
@@ -69,11 +70,12 @@ def _branch(paths: np.ndarray, rows: np.ndarray, sigs: np.ndarray):
         token = sigs[rows[go], position].astype(_U)
         out_p.append(mix(mix(paths[go] + _U(0x632BE59BD9B4E019) * (position.astype(_U) + _U(1))) ^ token))
         out_r.append(rows[go])
-    return np.concatenate(out_p), np.concatenate(out_r)
+        out_f.append(first[go])
+    return np.concatenate(out_p), np.concatenate(out_r), np.concatenate(out_f)
 
 
 def _grow(trees: int | None):
-    """Rows (vid, n, sig[, node]) to rows (node, vid); trees: how many to start, None to go on from node."""
+    """Rows (vid, sig[, node, first]) to rows (node, vid, first tree); trees: how many to start, None to go on from node."""
 
     def grow(batches):
         for batch in batches:
@@ -82,12 +84,13 @@ def _grow(trees: int | None):
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, POSITIONS)
             vids = batch.column("vid").to_numpy()
             if trees:
-                roots = mix(np.arange(1, trees + 1, dtype=_U))
-                paths, rows = np.tile(roots, len(vids)), np.repeat(np.arange(len(vids)), trees)
+                paths, rows = np.tile(mix(np.arange(1, trees + 1, dtype=_U)), len(vids)), np.repeat(np.arange(len(vids)), trees)
+                first = np.tile(np.arange(trees) == 0, len(vids))
             else:
                 paths, rows = batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(_U), np.arange(len(vids))
-            paths, rows = _branch(paths, rows, sigs)
-            yield pa.record_batch([pa.array(paths.view(np.int64)), pa.array(vids[rows])], names=["node", "vid"])
+                first = batch.column("first").to_numpy(zero_copy_only=False).astype(bool)
+            paths, rows, first = _branch(paths, rows, sigs, first)
+            yield pa.record_batch([pa.array(paths.view(np.int64)), pa.array(vids[rows]), pa.array(first)], names=["node", "vid", "first"])
 
     return grow
 
@@ -123,76 +126,87 @@ def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent:
     return out
 
 
-def _pairs_schema():
-    return pa.schema([("cell", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int32())])
+def _possible(t: pa.Table, percent: int) -> list[tuple[int, int, int]]:
+    """(i, j, equal tokens) of a cell's rows in different components; side 0 meets 1 and 2, side 1 meets 0 and 2."""
+    n, comp, side = (t.column(c).to_numpy() for c in ("n", "comp", "side"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, POSITIONS)
+    out = []
+    if (side == 2).all():
+        for i in range(len(n) - 1):
+            out += [(i, i + 1 + j, e) for _, j, e in _near(sig[i : i + 1], sig[i + 1 :], n[i : i + 1], n[i + 1 :], percent) if comp[i] != comp[i + 1 + j]]
+    else:
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        out = [(int(left[i]), int(right[j]), e) for i, j, e in _near(sig[left], sig[right], n[left], n[right], percent) if comp[left[i]] != comp[right[j]]]
+    return out
 
 
-def _compare(percent: int, crossing: bool):
-    """Sorted rows (cell, vid, n, sig[, comp, side]) to candidate pairs a < b."""
+def _wanted(percent: int):
+    """Sorted rows (cell, vid, comp, side, n, sig) to those that have a candidate in their cell."""
 
-    def compare(batches):
-        cols: list[list] = [[], [], [], []]
+    def wanted(batches):
+        cells, vids, comps, sides = [], [], [], []
         for cell, t in _groups(batches, "cell"):
-            vid, n = t.column("vid").to_numpy(), t.column("n").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, POSITIONS)
-            if crossing:
-                comp, side = t.column("comp").to_numpy(), t.column("side").to_numpy()
-                left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-                found = [(left[i], right[j], e) for i, j, e in _near(sig[left], sig[right], n[left], n[right], percent)]
-                found = [(i, j, e) for i, j, e in found if comp[i] != comp[j]]
-            else:
-                order = np.argsort(vid, kind="stable")
-                found = [(order[i], order[j], e) for i in range(len(order)) for _, j0, e in _near(sig[order[i : i + 1]], sig[order[i + 1 :]], n[order[i : i + 1]], n[order[i + 1 :]], percent) for j in [i + 1 + j0]]
-            for i, j, e in found:
-                if vid[i] != vid[j]:
-                    for c, v in zip(cols, (cell, min(vid[i], vid[j]), max(vid[i], vid[j]), e)):
-                        c.append(v)
-            if len(cols[0]) > 50_000:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _pairs_schema())], schema=_pairs_schema())
-                cols = [[], [], [], []]
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _pairs_schema())], schema=_pairs_schema())
+            if t.num_rows > 1 and (found := sorted({x for i, j, _ in _possible(t, percent) for x in (i, j)})):
+                cells += [cell] * len(found)
+                for to, c in ((vids, "vid"), (comps, "comp"), (sides, "side")):
+                    to += t.column(c).take(found).to_pylist()
+        yield pa.record_batch([pa.array(cells, pa.int64()), pa.array(vids, pa.int64()), pa.array(comps, pa.int64()), pa.array(sides, pa.int32())], names=["cell", "vid", "comp", "side"])
 
-    return compare
+    return wanted
 
 
-_PAIRS = "cell long, a long, b long, equal int"
+def _confirm(percent: int):
+    """Sorted rows (cell, vid, comp, side, n, sig, set) to links a < b that join different components."""
 
+    def confirm(batches):
+        a_out, b_out = [], []
+        for _, t in _groups(batches, "cell"):
+            vid, comp = t.column("vid").to_pylist(), t.column("comp").to_pylist()
+            sets = [np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()]
+            up: dict = {}
+
+            def root(c):
+                while c in up:
+                    c = up[c]
+                return c
+
+            for i, j, _ in sorted(_possible(t, percent), key=lambda x: -x[2]):
+                c, d = root(comp[i]), root(comp[j])
+                if c != d:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        up[c] = d
+                        a_out.append(min(vid[i], vid[j]))
+                        b_out.append(max(vid[i], vid[j]))
+        yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-def _in_cells(rows: DataFrame, percent: int, crossing: bool) -> DataFrame:
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(percent, crossing), _PAIRS)
+    return confirm
 
 
-def _candidates(classes: DataFrame, percent: int, trees: int, leaf: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
-    """Kept candidate pairs (cell, a, b, equal), and (node, vid) of nodes too large on the last level, or None."""
-    at = keep(classes.select("vid", "n", "sig").mapInArrow(_grow(trees), "node long, vid long"), "nodes")
-    pairs, large, held = [], None, []
+def _cells(classes: DataFrame, trees: int, leaf: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
+    """Kept rows (cell, vid, first) of the nodes small enough to compare, and (node, vid) of the others on the last level."""
+    at = keep(classes.select("vid", "sig").mapInArrow(_grow(trees), "node long, vid long, first boolean"), "nodes")
+    cells, large = [], None
     for level in range(1, levels + 1):
         sizes = at.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         rows = keep(at.join(sizes, "node"), "level")
-        held.append(at)
-        held.append(rows)
-        cells = rows.where(F.col("size") <= leaf).select(F.col("node").alias("cell"), "vid").join(classes, "vid")
-        pairs.append(keep(_in_cells(cells, percent, False), "pairs"))
+        release(at)
+        cells.append(rows)
         big = rows.where(F.col("size") > leaf)
         if big.isEmpty():
             break
         if level == levels:
-            large = keep(big.select("node", "vid"), "large")
-            hub = large.groupBy("node").agg(F.min("vid").alias("a"))
-            star = large.join(hub, "node").where("a < vid")
-            pairs.append(keep(star.select(F.col("vid").alias("cell"), "a", F.col("vid").alias("b"), F.lit(POSITIONS).alias("equal")).distinct(), "stars"))
+            large = keep(big.select("node", "vid").distinct(), "large")
             break
-        at = keep(big.select("node", "vid").join(classes, "vid").mapInArrow(_grow(None), "node long, vid long"), "nodes")
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionByName(p)
-    once = keep(every.groupBy("a", "b").agg(F.min("cell").alias("cell"), F.max("equal").alias("equal")), "candidates")
-    release(*held, *pairs)
-    return once, large
+        at = keep(big.select("node", "vid", "first").join(classes, "vid").mapInArrow(_grow(None), "node long, vid long, first boolean"), "nodes")
+    every = cells[0]
+    for c in cells[1:]:
+        every = every.unionByName(c)
+    return every.where(F.col("size") <= leaf).select(F.col("node").alias("cell"), "vid", "first").distinct(), large
 
 
-def _blocks(large: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, leaf: int) -> DataFrame | None:
-    """Candidate pairs across components inside nodes too large to compare: every component but the largest against all."""
+def _blocks(large: DataFrame, labels: DataFrame, leaf: int) -> DataFrame:
+    """Rows (cell, vid, comp, side) that bring every component but the largest of a node together with all of the node."""
     rows = large.join(labels, large["vid"] == labels["v"], "left").select("node", "vid", F.coalesce("c", "vid").alias("comp"))
     rows = keep(rows, "large-labelled")
     per = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
@@ -211,8 +225,7 @@ def _blocks(large: DataFrame, labels: DataFrame, classes: DataFrame, percent: in
     third = rest.withColumn("z", others).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)))
     side = F.when(F.col("z") == F.col("y"), 2).when(F.col("z") < F.col("y"), 0).otherwise(1)
     third = third.select(cell(F.least("z", "y"), F.greatest("z", "y"), "r").alias("cell"), "vid", "comp", side.alias("side"))
-    dealt = first.unionByName(second).unionByName(third).join(classes, "vid")
-    return keep(_in_cells(dealt, percent, True), "block-pairs")
+    return first.unionByName(second).unionByName(third)
 
 
 def _sets(k: int):
@@ -226,41 +239,34 @@ def _sets(k: int):
     return build
 
 
-def _confirm(percent: int):
-    """Sorted rows (cell, a, b, set): first the sets of a cell's classes (b null), then its pairs; to links a < b."""
-
-    def confirm(batches):
-        a_out, b_out = [], []
-        for _, t in _groups(batches, "cell"):
-            sets, pairs = {}, []
-            for a, b, s in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("set").to_pylist()):
-                if b is None:
-                    sets[a] = np.frombuffer(s, "<u8")
-                else:
-                    pairs.append((a, b))
-            for a, b in pairs:
-                x, y = sets[a], sets[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    a_out.append(a)
-                    b_out.append(b)
-        yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-    return confirm
+def _links(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Kept links between components that rows (cell, vid, comp, side) bring together; texts: doc, text."""
+    dealt = rows.join(classes, "vid").repartition("cell").sortWithinPartitions("cell", "vid")
+    wanted = keep(dealt.mapInArrow(_wanted(percent), "cell long, vid long, comp long, side int"), "wanted")
+    # A class's text is that of its smallest doc_id; of repeated rows one is as good as another.
+    one = wanted.select("vid").distinct()
+    own = texts.join(one, texts["doc"] == one["vid"], "left_semi").select(F.col("doc").alias("vid"), "text").dropDuplicates(["vid"])
+    sets = keep(own.mapInArrow(_sets(k), "vid long, set binary"), "sets")
+    full = wanted.join(classes, "vid").join(sets, "vid").repartition("cell").sortWithinPartitions("cell", "vid")
+    links = keep(full.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+    release(wanted, sets)
+    return links
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    wanted = pairs.select("cell", F.col("a").alias("vid")).unionByName(pairs.select("cell", F.col("b").alias("vid"))).distinct()
-    left = wanted.join(sets, "vid").select("cell", F.col("vid").alias("a"), F.lit(None).cast("long").alias("b"), "set")
-    right = pairs.select("cell", "a", "b", F.lit(None).cast("binary").alias("set"))
-    rows = left.unionByName(right).repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull())
-    return keep(rows.mapInArrow(_confirm(percent), "a long, b long"), "links")
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (cell, vid) with their components, of cells that have several."""
+    to = labels.select(F.col("v").alias("vid"), "c")
+    named = keep(rows.select("cell", "vid").join(to, "vid", "left").select("cell", "vid", F.coalesce("c", "vid").alias("comp")), "labelled")
+    mixed = named.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
+    return named.join(mixed, "cell", "left_semi").withColumn("side", F.lit(2))
 
 
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels (v, c) after further links; both kept."""
     if labels is None:
         return components(links)
+    if links.isEmpty():
+        return labels
     named = links
     for end in ("a", "b"):
         to = labels.select(F.col("v").alias(end), F.col("c").alias("__c"))
@@ -274,23 +280,6 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
-def _crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far, with those."""
-    for end in ("a", "b"):
-        to = labels.select(F.col("v").alias(end), F.col("c").alias(f"c{end}"))
-        pairs = pairs.join(to, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    return pairs.where("ca <> cb")
-
-
-def _nearest(pairs: DataFrame, ends: tuple[str, str]) -> DataFrame:
-    """For each end the pair with most equal tokens."""
-    cols = ["cell", "a", "b"]
-    one = F.struct(F.col("equal"), (-F.col("a")).alias("o"), (-F.col("b")).alias("p"), F.col("cell"))
-    both = pairs.select(F.col(ends[0]).alias("x"), one.alias("s")).unionByName(pairs.select(F.col(ends[1]).alias("x"), one.alias("s")))
-    best = both.groupBy("x").agg(F.max("s").alias("s"))
-    return best.select(F.col("s.cell").alias("cell"), (-F.col("s.o")).alias("a"), (-F.col("s.p")).alias("b")).select(*cols).distinct()
-
-
 def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
     """doc (the doc_id), n_shingles, component_id; a row per row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
@@ -298,29 +287,19 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int =
     vids = keep(ready.where("cls IS NOT NULL AND doc IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("vid")), "classes")
     mine = vids.select(F.col("cls").alias("__cls"), "vid")
     classes = keep(ready.join(mine, (ready["doc"] == mine["vid"]) & (ready["cls"] == mine["__cls"])).select("vid", "n", "sig"), "signatures")
-    pairs, large = _candidates(classes, percent, trees, leaf, levels)
-    ends = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
-    # A class's text is that of its smallest doc_id.
-    texts = rows.join(ends, rows["doc"] == ends["vid"], "left_semi").select(F.col("doc").alias("vid"), "text").dropDuplicates(["vid"])
-    sets = keep(texts.mapInArrow(_sets(k), "vid long, set binary"), "sets")
-    links = _links(_nearest(pairs, ("a", "b")), sets, percent)
-    labels = _merge(None, links)
-    for last in (False, True):
-        left = keep(_crossing(pairs, labels), "crossing")
-        if not left.isEmpty():
-            todo = left.select("cell", "a", "b") if last else _nearest(left, ("ca", "cb"))
-            more = _links(todo, sets, percent)
-            labels = _merge(labels, more)
-            release(more)
-        release(left)
+    cells, large = _cells(classes, trees, leaf, levels)
+    cells = keep(cells, "cells")
+    alone = cells.where("first").select("cell", "vid", F.col("vid").alias("comp"), F.lit(2).alias("side"))
+    labels = _merge(None, _links(alone, classes, rows, k, percent))
+    if trees > 1:
+        labels = _merge(labels, _links(_labelled(cells.where("NOT first"), labels), classes, rows, k, percent))
     if large is not None:
-        across = _blocks(large, labels, classes, percent, leaf)
-        if not across.isEmpty():
-            ends = across.select(F.col("a").alias("vid")).unionByName(across.select(F.col("b").alias("vid"))).distinct()
-            texts = rows.join(ends, rows["doc"] == ends["vid"], "left_semi").select(F.col("doc").alias("vid"), "text").dropDuplicates(["vid"])
-            more = _links(across.groupBy("a", "b").agg(F.min("cell").alias("cell")), keep(texts.mapInArrow(_sets(k), "vid long, set binary"), "sets"), percent)
-            labels = _merge(labels, more)
-    release(pairs, sets, links, classes)
+        hub = large.groupBy("node").agg(F.min("vid").alias("hub"))
+        star = large.join(hub, "node").where("hub < vid").withColumn("cell", F.xxhash64("node", "vid"))
+        star = star.select("cell", F.explode(F.array("hub", "vid")).alias("vid"))
+        labels = _merge(labels, _links(_labelled(star, labels), classes, rows, k, percent))
+        labels = _merge(labels, _links(_blocks(large, labels, leaf), classes, rows, k, percent))
+    release(cells)
     named = vids.join(labels, vids["vid"] == labels["v"], "left").select(F.col("cls").alias("__cls"), F.coalesce("c", "vid").alias("__c"))
     found = ready.select("doc", "cls", "n")
     out = found.join(named, found["cls"] == named["__cls"], "left")

@@ -13,8 +13,8 @@ pre-token and the marks another, so the normalizer and the splitter have nothing
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 KEEP_FIRST, KEEP_MOST = 400_000, 800_000
-_WORD = re.compile(r"([^\W\d_]+)([.,;:!?|%&$#*]*)")
+_MARKS = ".,;:!?|%&$#*"
 _WORDS = ("Und", "dass", "été", "Über", "a", "THE", "l'eau", "größe", "ÇA", "señor")
 _PROBE = ("Und, dass", "été l'été", "a1 b22", "x!! (y)", "don't we'll", "ü\nv w.\nZ")
 _loaded: dict = {}
@@ -43,7 +43,9 @@ class Memo:
         self.first: dict = {}
         self.later: dict = self.first if self.lead == "" else {}
         self.tails: dict = {}
+        self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
         self.line_feed = self._ids("\n")
+        self.lower: bool | None = None
         if self.lead is not None:
             self._probe_words()
 
@@ -56,7 +58,6 @@ class Memo:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.lower: bool | None = None
         for lower in (False, True):
             self.lower = lower
             words = [self.lead + w for w in _WORDS if w.isalpha()] + ["!!", ".", "%%%"]
@@ -74,20 +75,35 @@ class Memo:
 
     def _quick(self, piece: str, lead: str) -> bytes | None:
         """The ids of a piece that is a word with marks behind it, from the model; None for any other piece."""
-        start = piece[:1] == "\n" and self.lead
-        m = _WORD.fullmatch(piece, 1 if start else 0)
-        if not m or not m[1].isalpha() or not unicodedata.is_normalized("NFC", piece):
-            return None
-        ids = (self.line_feed if start else []) + self._model(("" if start else lead) + m[1])
-        if m[2]:
-            if m[2] not in self.tails:
-                self.tails[m[2]] = self._ids(m[2])
-            ids = ids + self.tails[m[2]]
-        return np.array(ids, self.dtype).tobytes()
+        start = self.lead and piece[:1] == "\n"
+        word = piece[1:] if start else piece
+        tail = ""
+        if not word.isalpha():
+            word = word.rstrip(_MARKS)
+            if not word.isalpha():
+                return None
+            tail = piece[len(word) + (1 if start else 0) :]
+        if not word.isascii():
+            if not unicodedata.is_normalized("NFC", word):
+                return None
+            if self.lower:
+                word = "".join([c.lower() for c in word])
+        elif self.lower:
+            word = word.lower()
+        if not start:
+            word = lead + word
+        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+        if start:
+            ids = self.line_feed + ids
+        if tail:
+            if tail not in self.tails:
+                self.tails[tail] = self._ids(tail)
+            ids += self.tails[tail]
+        return array(self.code, ids).tobytes()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        return [array(self.code, x.ids).tobytes() for x in found]
 
     def _odd(self, p: str) -> bool:
         """Whether a text that holds the piece p has to go to the library whole."""
