@@ -29,6 +29,18 @@ _PROBE = ("Und, dass", "été l'été", "a1 b22", "x!! (y)", "don't we'll", "ü\
 _loaded: dict = {}
 
 
+class _Pieces(dict):
+    """Pieces with their ids; a new one is encoded when it is first asked for."""
+
+    def __init__(self, memo: Memo, lead: str, known=()):
+        super().__init__(known)
+        self.memo, self.lead = memo, lead
+
+    def __missing__(self, piece: str):
+        found = self[piece] = self.memo.ids_of(piece, self.lead)
+        return found
+
+
 class Memo:
     """encode(texts) -> for each the ids as little-endian bytes of `dtype`; null texts have none."""
 
@@ -40,8 +52,8 @@ class Memo:
         self.marks = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lead = next((s for s in ("", " ") if all(
             self._ids(p) == [i for k, w in enumerate(p.split(" ")) for i in self._ids((s if k else "") + w)] for p in _PROBE)), None)
-        self.first: dict = {}
-        self.later: dict = self.first if self.lead == "" else {}
+        self.first = _Pieces(self, "")
+        self.later = self.first if self.lead == "" else _Pieces(self, self.lead or "")
         self.tails: dict = {}
         self.model, self.code = self.tokenizer.model, "H" if self.dtype.itemsize == 2 else "I"
         self.line_feed = self._ids("\n")
@@ -113,37 +125,23 @@ class Memo:
                 return True
         return any(m in p for m in self.marks)
 
-    def _learn(self, memo: dict, pieces: set[str], lead: str) -> None:
-        """False stands for an odd piece. A piece from a line's start begins with the line feed instead of the space."""
-        odd = {p for p in pieces if self._odd(p)}
-        memo.update(dict.fromkeys(odd, False))
-        plain = list(pieces - odd)
-        if self.lower is not None:
-            quick = {p: x for p in plain if (x := self._quick(p, lead)) is not None}
-            memo.update(quick)
-            plain = [p for p in plain if p not in quick]
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            memo.update(zip(part, self._whole([p if p[:1] == "\n" else lead + p for p in part])))
+    def ids_of(self, piece: str, lead: str) -> bytes | bool:
+        """A piece's ids; False for an odd one. A piece from a line's start begins with the line feed instead of the space."""
+        found = self._quick(piece, lead) if self.lower is not None else None
+        if found is None:
+            found = not self._odd(piece) and self._whole([piece if self.lead and piece[:1] == "\n" else lead + piece])[0]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list = [b"" if not t else None for t in texts]
-        todo = [i for i, x in enumerate(out) if x is None]
-        whole = todo
+        out: list = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t]
         if self.lead is not None:
+            todo, whole = whole, []
             lines = " \n" if self.lead else " "
-            first, later = self.first, self.later
-            split = [texts[i].replace("\n", lines).split(" ") for i in todo]
-            new_first = {p[0] for p in split if p[0] not in first}
-            new: set = set()
-            for pieces in split:
-                new.update([p for p in pieces if p not in later])
-            self._learn(first, new_first, "")
-            self._learn(later, {p for p in new if p not in later}, self.lead)
-            whole = []
-            for i, pieces in zip(todo, split):
-                found = list(map(later.__getitem__, pieces))
-                found[0] = first[pieces[0]]
+            first, later = self.first.__getitem__, self.later.__getitem__
+            for i in todo:
+                pieces = texts[i].replace("\n", lines).split(" ")
+                found = [first(pieces[0]), *map(later, pieces[1:])]
                 if False in found:
                     whole.append(i)
                 else:
@@ -160,7 +158,7 @@ class Memo:
         same = self.first is self.later
         for name in ("first", "later"):
             if len(memo := getattr(self, name)) > KEEP_MOST:
-                setattr(self, name, dict(islice(memo.items(), KEEP_FIRST)))
+                setattr(self, name, _Pieces(self, memo.lead, islice(memo.items(), KEEP_FIRST)))
         if same:
             self.first = self.later
 
