@@ -36,7 +36,7 @@ from .common import keep, release
 from .components import components
 from .shingles import POSITIONS, mix, sequence_key, shingle_sets, signatures, words
 
-WORDS, PERCENT, TREES, LEAF, LEVELS = 4, 80, 8, 512, 12
+WORDS, PERCENT, TREES, LEAF, LEVELS = 4, 80, 8, 1024, 12
 _U = np.uint64
 
 
@@ -185,12 +185,11 @@ def _confirm(percent: int):
 
 def _cells(classes: DataFrame, trees: int, leaf: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
     """Kept rows (cell, vid, first) of the nodes small enough to compare, and (node, vid) of the others on the last level."""
-    at = keep(classes.select("vid", "sig").mapInArrow(_grow(trees), "node long, vid long, first boolean"), "nodes")
+    at = classes.select("vid", "sig").mapInArrow(_grow(trees), "node long, vid long, first boolean")
     cells, large = [], None
     for level in range(1, levels + 1):
         sizes = at.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         rows = keep(at.join(sizes, "node"), "level")
-        release(at)
         cells.append(rows)
         big = rows.where(F.col("size") > leaf)
         if big.isEmpty():
@@ -198,7 +197,7 @@ def _cells(classes: DataFrame, trees: int, leaf: int, levels: int) -> tuple[Data
         if level == levels:
             large = keep(big.select("node", "vid").distinct(), "large")
             break
-        at = keep(big.select("node", "vid", "first").join(classes, "vid").mapInArrow(_grow(None), "node long, vid long, first boolean"), "nodes")
+        at = big.select("node", "vid", "first").join(classes, "vid").mapInArrow(_grow(None), "node long, vid long, first boolean")
     every = cells[0]
     for c in cells[1:]:
         every = every.unionByName(c)

@@ -26,9 +26,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
         jump = root.select(F.col("r").alias("to"), F.col("to").alias("to2"))
         root2 = root.join(jump, "to", "left").select("r", F.coalesce("to2", "to").alias("to"))
-        step = keep(labels.join(root2, labels["c"] == root2["r"]).select("v", F.col("to").alias("c")), "labels")
-        # A label may point at a vertex that is itself no root any more.
-        own = step.select(F.col("v").alias("c"), F.col("c").alias("c2"))
-        after = keep(step.join(own, "c", "left").select("v", F.coalesce("c2", "c").alias("c")), "labels")
-        release(labels, root, step)
+        after = keep(labels.join(root2, labels["c"] == root2["r"]).select("v", F.col("to").alias("c")), "labels")
+        release(labels, root)
         labels = after
