@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..plans.tables import keep
 from .graph import inlinks, linked_urls
 
 TITLE_MIN, TITLE_MAX, TITLE_MIN_PX, TITLE_MAX_PX = 30, 60, 200, 561
@@ -293,11 +294,25 @@ def registry_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, issue_key string, label string, severity string, issue_group string, section string, scope string, cross_page boolean")
 
 
+def exploded(rows: DataFrame, *cols) -> DataFrame:
+    """A row per issue key. explode() would infer a filter that repeats every rule below the macros; explode_outer doesn't."""
+    return rows.select(*cols, F.explode_outer("issues").alias("issue_key")).where(F.col("issue_key").isNotNull())
+
+
 def issue_long(pages: DataFrame, flags: DataFrame | None = None, resources: DataFrame | None = None) -> DataFrame:
     """url, issue_key, scope: one row per issue of a page, then of a resource."""
-    out = evaluated(pages, flags).select("url", F.explode("issues").alias("issue_key"), F.lit("page").alias("scope"))
+    pages, flags = keep(pages, "pages"), None if flags is None else keep(flags, "flags")
+    out = None
+    for section in dict.fromkeys(r.section for r in REGISTRY):
+        # One projection per section: the optimizer's time grows steeply with the rules of a plan.
+        rules = [r for r in REGISTRY if r.section == section and r.scope == "page" and (flags is not None or not r.cross)]
+        for at in range(0, len(rules), 12):
+            part = rules[at : at + 12]
+            own = flags if any(r.cross for r in part) else None
+            rows = exploded(evaluated(pages, own, tuple(r.key for r in part)), "url").withColumn("scope", F.lit("page"))
+            out = rows if out is None else out.unionByName(rows)
     if resources is not None:
-        out = out.unionByName(resource_issues(resources).select("url", F.explode("issues").alias("issue_key"), F.lit("resource").alias("scope")))
+        out = out.unionByName(exploded(resource_issues(resources), "url").withColumn("scope", F.lit("resource")))
     return out
 
 

@@ -82,7 +82,7 @@ _URL_RULES = {
 @query(f"WITH {_FIRST}, u AS (SELECT page_id, url, {_PATH} AS path, {_QUERY} AS q FROM p), v AS (SELECT *, path || q AS pq, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM u) "
        + " UNION ALL ".join(f"SELECT page_id AS seq, '{k}' AS issue_key FROM v WHERE {t}" for k, t in _URL_RULES.items()))
 def url_audit(spark, sf_dir):
-    return issues.evaluated(corpus_pages(spark, sf_dir), keys=tuple(_URL_RULES)).select("seq", F.explode("issues").alias("issue_key"))
+    return issues.exploded(issues.evaluated(corpus_pages(spark, sf_dir), keys=tuple(_URL_RULES)), "seq")
 
 
 _WIDTH_MAP = "map([" + ", ".join(str(32 + i) for i in range(95)) + "], [" + ", ".join(f"{w}.0" for w in text.WIDTHS) + "])"
@@ -185,7 +185,7 @@ def _sim(spark, sf_dir):
 def _sim_issues(spark, sf_dir, *keys):
     pages, links, hreflang = _sim(spark, sf_dir)
     flags = issues.cross_flags(pages, links, hreflang) if not keys or any(issues.BY_KEY[k].cross for k in keys) else None
-    return issues.evaluated(pages, flags, keys).select("url", F.explode("issues").alias("issue_key"))
+    return issues.exploded(issues.evaluated(pages, flags, keys), "url")
 
 
 def _union(parts: dict[str, str]) -> str:
@@ -251,7 +251,7 @@ def issue_summary(spark, sf_dir):
 @query(f"{_SIM} SELECT url, 'largeImage' AS issue_key FROM resources WHERE resource_type = 'image' AND content_length > 102400 UNION ALL "
        "SELECT url, 'broken' FROM resources WHERE status >= 400 OR error IS NOT NULL UNION ALL SELECT url, 'insecureLinks' FROM resources WHERE is_insecure")
 def resource_audit(spark, sf_dir):
-    return issues.resource_issues(simweb.sim_resources(spark, sf_dir)).select("url", F.explode("issues").alias("issue_key"))
+    return issues.exploded(issues.resource_issues(simweb.sim_resources(spark, sf_dir)), "url")
 
 
 @query(f"{_SIM} SELECT target, count(*) AS inlinks, count(DISTINCT source) AS unique_inlinks FROM links WHERE source <> target GROUP BY target")
