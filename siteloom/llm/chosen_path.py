@@ -197,7 +197,8 @@ def _cells(classes: DataFrame, trees: int, leaf: int, levels: int) -> tuple[Data
         if level == levels:
             large = keep(big.select("node", "vid").distinct(), "large")
             break
-        at = big.select("node", "vid", "first").join(classes, "vid").mapInArrow(_grow(None), "node long, vid long, first boolean")
+        # Kept, as it is read twice: for the sizes of the nodes and for their rows.
+        at = keep(big.select("node", "vid", "first").join(classes, "vid").mapInArrow(_grow(None), "node long, vid long, first boolean"), "nodes")
     every = cells[0]
     for c in cells[1:]:
         every = every.unionByName(c)
