@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ WIDTHS = (
 EMPTY_WORDS = ("click here", "here", "read more", "more", "learn more", "this", "link", "this link", "go", "continue", "details")
 SOFT_404 = r"(?i)\b(?:404|page not found|not found|page (?:does not|doesn't) exist|no longer (?:exists|available))\b"
 VALUED = ("max-snippet", "max-image-preview", "max-video-preview", "unavailable_after")
+_WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 BLANK = "(?U)^\\s+|\\s+$"
 
 
@@ -69,12 +72,31 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+def _window_hashes(found: list[str], window: int) -> np.ndarray:
+    """FNV-1a of every run of `window` words joined by a space; all runs advance together, byte by byte."""
+    data = np.frombuffer(" ".join(found).encode(), np.uint8)
+    ends = np.append(np.flatnonzero(data == 32), len(data))
+    first, sizes = np.append(0, ends[:-1] + 1)[: len(ends) - window + 1], ends[window - 1 :]
+    sizes = sizes - first
+    order = np.argsort(-sizes, kind="stable")
+    first, falling = first[order], -sizes[order]
+    hashes = np.full(len(first), 0xCBF29CE484222325, np.uint64)
+    for k in range(int(-falling[0])):
+        n = int(np.searchsorted(falling, -k))
+        hashes[:n] = (hashes[:n] ^ data[first[:n] + k]) * np.uint64(0x100000001B3)
+    return hashes
+
+
 def simhash(text: str | None, window: int = 3, least: int = 20) -> str:
-    """64-bit Charikar fingerprint of word windows as 16 hex digits; empty under `least` words."""
-    found = (text or "").lower().split()
+    """64-bit Charikar fingerprint of word windows as 16 hex digits; empty under `least` words.
+
+    A word is what stands between white space, without what is neither letter nor digit at its ends, in lower case.
+    """
+    found = [w.lower() for w in _WORD.findall(text or "")]
     if len(found) < least:
         return ""
-    hashes = np.array([fnv1a(" ".join(found[i : i + window]).encode()) for i in range(len(found) - window + 1)], np.uint64)
-    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    votes = 2 * bits.sum(0).astype(np.int64) - len(hashes)
-    return f"{sum(1 << i for i in range(64) if votes[i] > 0):016x}"
+    hashes, votes = _window_hashes(found, window), np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14), None] >> np.arange(64, dtype=np.uint64)
+        votes += (part & np.uint64(1)).sum(0).astype(np.int64)
+    return f"{sum(1 << i for i in range(64) if 2 * votes[i] > len(hashes)):016x}"

@@ -6,6 +6,7 @@ that cross_flags() joins to the page row. issue_long() evaluates a whole scope a
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -274,15 +275,29 @@ def cross_flags(pages: DataFrame, links: DataFrame, hreflang: DataFrame, near: D
     return out.select("url", "x_sitemap_used", F.when(has("x_single"), 1).otherwise(0).alias("x_unique_inlinks"), *[has(n).alias(n) for n in names])
 
 
-def evaluated(pages: DataFrame, flags: DataFrame | None = None, keys: tuple[str, ...] | None = None) -> DataFrame:
-    """A row per page: seq, url and issues, the keys that hold (of all rules or of `keys`) in registry order."""
+def _page_rules(flags: DataFrame | None, keys: tuple[str, ...] | None = None) -> list[Rule]:
+    return [r for r in REGISTRY if r.scope == "page" and (flags is not None or not r.cross) and (not keys or r.key in keys)]
+
+
+def _rows_for(pages: DataFrame, flags: DataFrame | None, rules: list[Rule]) -> DataFrame:
+    """seq, url and the macros and flags that the rules name."""
     rows = page_macros(pages)
-    rules = [r for r in REGISTRY if r.scope == "page" and (flags is not None or not r.cross) and (not keys or r.key in keys)]
     if flags is not None:
         rows = rows.join(flags, "url")
+    named = set(re.findall(r"\w+", " ".join(r.test for r in rules))) | {"seq", "url"}
+    return rows.select(*[c for c in rows.columns if c in named])
+
+
+def _held(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     return rows.select("seq", "url", F.array_compact(F.array(*[F.when(F.expr(r.test), F.lit(r.key)) for r in rules])).alias("issues"))
 
 
+def evaluated(pages: DataFrame, flags: DataFrame | None = None, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """A row per page: seq, url and issues, the keys that hold (of all rules or of `keys`) in registry order."""
+    rules = _page_rules(flags, keys)
+    return _held(_rows_for(pages, flags, rules), rules)
+
+
 def resource_issues(resources: DataFrame) -> DataFrame:
     rules = [r for r in REGISTRY if r.scope == "resource"]
     held = [F.when(F.expr(r.test), F.lit(r.key)) for r in rules] + [F.when(F.col("is_insecure"), F.lit("insecureLinks"))]
@@ -301,16 +316,10 @@ def exploded(rows: DataFrame, *cols) -> DataFrame:
 
 def issue_long(pages: DataFrame, flags: DataFrame | None = None, resources: DataFrame | None = None) -> DataFrame:
     """url, issue_key, scope: one row per issue of a page, then of a resource."""
-    pages, flags = keep(pages, "pages"), None if flags is None else keep(flags, "flags")
-    out = None
-    for section in dict.fromkeys(r.section for r in REGISTRY):
-        # One projection per section: the optimizer's time grows steeply with the rules of a plan.
-        rules = [r for r in REGISTRY if r.section == section and r.scope == "page" and (flags is not None or not r.cross)]
-        for at in range(0, len(rules), 12):
-            part = rules[at : at + 12]
-            own = flags if any(r.cross for r in part) else None
-            rows = exploded(evaluated(pages, own, tuple(r.key for r in part)), "url").withColumn("scope", F.lit("page"))
-            out = rows if out is None else out.unionByName(rows)
+    rules = _page_rules(flags)
+    # The macros are written first: merged into a hundred rules, the optimizer would copy each into every rule.
+    rows = keep(_rows_for(pages, flags, rules), "macros")
+    out = exploded(_held(rows, rules), "url").withColumn("scope", F.lit("page"))
     if resources is not None:
         out = out.unionByName(exploded(resource_issues(resources), "url").withColumn("scope", F.lit("resource")))
     return out

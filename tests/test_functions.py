@@ -11,6 +11,21 @@ def test_hashes():
     assert text.simhash("too short") == "" and len(text.simhash("word " * 30)) == 16
 
 
+def test_simhash_equals_a_plain_loop():
+    import random
+
+    rng = random.Random(5)
+    for n in (19, 20, 21, 300):
+        words = [rng.choice(["Ärger", "the", "x", "ΣΑΣ", "a-b", "9", "don't", "longer" * 9]) for _ in range(n)]
+        votes = [0] * 64
+        for i in range(n - 2):
+            h = text.fnv1a(" ".join(w.lower() for w in words[i : i + 3]).encode())
+            votes = [v + (1 if h >> b & 1 else -1) for b, v in enumerate(votes)]
+        want = f"{sum(1 << b for b, v in enumerate(votes) if v > 0):016x}" if n >= 20 else ""
+        assert text.simhash(" ".join(words)) == want
+        assert text.simhash(" \n - ".join(f'("{w}_,' for w in words)) == want
+
+
 def test_urls():
     assert urls.normalise("HTTP://Example.com:80/a/../b?x=é#f") == "http://example.com/b?x=%C3%A9"
     assert urls.normalise("https://example.com") == "https://example.com/" and urls.normalise("ftp://x/") is None and urls.normalise(None) is None
