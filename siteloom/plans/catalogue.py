@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, urls
-from ..operators import compare, graph, issues, near_duplicates, search
+from ..functions import posts, text, urls
+from ..operators import comments, compare, graph, issues, near_duplicates, search
 from ..sources import simweb
 from ..sources.corpus import corpus_pages
 from ..sources.schema import complete
@@ -158,7 +158,17 @@ def content_hash_duplicates(spark, sf_dir):
     return rows.groupBy(F.sha2("norm", 256).alias("content_hash")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1").drop("content_hash")
 
 
-@query()
+_EDGES = "'^[^\\pL\\pN]+|[^\\pL\\pN]+$'"
+_PRINTS = f"""w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda x: lower(regexp_replace(x, {_EDGES}, '', 'g'))), lambda x: x <> '') AS v FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT doc_id, array_to_string(v[i : i + 2], ' ') AS g FROM (SELECT doc_id, v, unnest(range(1, len(v) - 1)) AS i FROM w WHERE len(v) >= 20)),
+  c AS (SELECT doc_id, g, count(*) AS k FROM s GROUP BY ALL),
+  h AS (SELECT g, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda b: (strpos('0123456789ABCDEF', b[1]) * 16 + strpos('0123456789ABCDEF', b[2]) - 17)::UHUGEINT)),
+    lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS f FROM (SELECT DISTINCT g FROM c)),
+  b AS (SELECT doc_id, i, sum(CASE WHEN (f >> i::UBIGINT) & 1 = 1 THEN k ELSE -k END) > 0 AS one FROM c JOIN h USING (g), range(64) r(i) GROUP BY doc_id, i),
+  fp AS (SELECT DISTINCT v FROM (SELECT doc_id, sum(CASE WHEN one AND i > 31 THEN 1::BIGINT << (i - 32) ELSE 0 END)::UBIGINT * 4294967296::UBIGINT + sum(CASE WHEN one AND i < 32 THEN 1::BIGINT << i ELSE 0 END)::UBIGINT AS v FROM b GROUP BY doc_id))"""
+
+
+@query(f"WITH {_PRINTS} SELECT printf('%016x', x.v) AS fp1, printf('%016x', y.v) AS fp2, CAST(bit_count(xor(x.v, y.v)::UBIGINT::BIT) AS BIGINT) AS distance FROM fp x JOIN fp y ON x.v < y.v AND bit_count(xor(x.v, y.v)::UBIGINT::BIT) <= 3")
 def simhash_pairs(spark, sf_dir):
     prints = near_duplicates.fingerprinted(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text").where("content_simhash <> ''")
     return near_duplicates.near_pairs(prints)
@@ -356,6 +366,33 @@ def vote_scores(spark, sf_dir):
         F.sum(F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).cast("long").alias("score"), F.max(F.when(F.col("l_suppkey") == 7, 1).otherwise(0)).alias("mine"))
 
 
+@query("WITH c AS (SELECT o_orderkey AS id, o_custkey AS up FROM orders WHERE o_orderstatus <> 'P'), v AS (SELECT l_orderkey AS id, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) AS BIGINT) AS score, "
+       "CAST(max(CASE WHEN l_suppkey = 7 THEN CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END END) AS BIGINT) AS my_vote FROM lineitem GROUP BY 1) "
+       "SELECT c.id, p.id AS parent, coalesce(score, 0) AS score, coalesce(my_vote, 0) AS my_vote FROM c LEFT JOIN c p ON p.id = c.up LEFT JOIN v ON v.id = c.id")
+def comment_threads(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent_id"), F.when(F.col("o_orderstatus") != "P", "approved").otherwise("pending").alias("status"))
+    votes = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("comment_id"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("value"), "l_suppkey")
+    return comments.threads(rows, votes, F.col("l_suppkey") == 7)
+
+
+@query("SELECT c_custkey, '/' || trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-') || '/' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS path FROM customer")
+def post_paths(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", posts.post_path(F.col("c_mktsegment"), posts.slug(F.col("c_name"))).alias("path"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, floor(len(list_filter(string_split_regex(coalesce(text, ''), '[\\s\\x0b]+'), lambda x: x <> '')) / 200 + 0.5)) AS BIGINT) AS minutes FROM documents")
+def reading_time(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", posts.reading_minutes(F.col("text")).alias("minutes"))
+
+
+@query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h([23])((?: [^>]*)?)>(.*?)</h[23]>', 1)) AS level, unnest(regexp_extract_all(html, '(?s)<h([23])((?: [^>]*)?)>(.*?)</h[23]>', 3)) AS inner_html FROM pages), "
+       "t AS (SELECT page_id, CAST(level AS INT) AS level, trim(replace(replace(replace(replace(replace(regexp_replace(inner_html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')) AS text FROM h) "
+       "SELECT page_id, level, text, count(*) AS n FROM t WHERE text <> '' GROUP BY ALL")
+def post_headings(spark, sf_dir):
+    found = _t(spark, sf_dir, "pages").select("page_id", F.explode(posts.headings(F.col("html"))).alias("h"))
+    return found.groupBy("page_id", "h.level", "h.text").agg(F.count("*").alias("n"))
+
+
 @query("SELECT count(*) AS posts, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS published, CAST(sum(coalesce(o_custkey, 0)) AS BIGINT) AS views FROM orders")
 def post_stats(spark, sf_dir):
     return _t(spark, sf_dir, "orders").agg(F.count("*").alias("posts"), F.count_if(F.col("o_orderstatus") == "F").alias("published"), F.sum(F.coalesce("o_custkey", F.lit(0))).cast("long").alias("views"))

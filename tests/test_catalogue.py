@@ -6,7 +6,7 @@ from siteloom.plans import catalogue
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 FAST = ["duplicate_titles", "heading_outline", "html_size_and_minify", "url_tree", "url_audit", "title_pixel_width", "custom_search_counts", "content_hash_duplicates",
-        "inlink_counts", "crawl_diff", "resource_audit", "hreflang_audit", "orphan_audit", "bfs_depth", "sliding_lockout", "status_changes", "vote_scores"]
+        "inlink_counts", "crawl_diff", "resource_audit", "hreflang_audit", "orphan_audit", "bfs_depth", "sliding_lockout", "status_changes", "vote_scores", "comment_threads", "post_paths", "reading_time", "simhash_pairs"]
 
 
 def _rows(columns, rows):

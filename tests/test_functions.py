@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from siteloom.functions import text, urls
+from siteloom.functions import posts, text, urls
 from siteloom.functions.page_parser import parse
 from siteloom.operators.issues import REGISTRY
 from siteloom.sources import web
@@ -61,3 +61,16 @@ def test_columns(spark):
     df = spark.createDataFrame([("Click here…", "googlebot: noindex, max-snippet: 20", "/a/b?c")], "a string, r string, p string")
     row = df.select(text.norm_anchor(F.col("a")), text.directives(F.col("r")), text.pixel_width(F.lit("iii"), 1000), web.robots_allowed(F.col("p"), [("/a", False), ("/a/b", True)])).first()
     assert list(row) == ["click here", ["noindex", "max-snippet:20"], 666, True]
+
+
+def test_posts(spark):
+    html = "<h2>Giá &amp; <b>phí</b></h2><h3 class=x> </h3><h3>gia phi</h3><h2>!</h2><h1>no</h1>"
+    rows = spark.createDataFrame([("Hướng dẫn Đặt: 2!", html, '<img src="/media/a-1.png"><img src="/media/b.jpg">/media/a-1.png', "c.webp"), (None, None, None, None)], "a string, h string, m string, k string")
+    c = F.col
+    got = rows.select(posts.slug(c("a")), posts.category_slug(c("a")), posts.headings(c("h")), posts.media_keys(c("m"), c("k")),
+                      posts.removed_media(c("m"), c("k"), F.lit("/media/b.jpg"), F.lit("https://x/y")), posts.reading_minutes(c("a")), posts.post_path(F.lit(" ! "), F.lit("s"))).collect()
+    assert list(got[0])[:2] == ["huong-dan-dat-2", "huong-dan-at-2"]
+    assert [tuple(h) for h in got[0][2]] == [("gia-phi", "Giá & phí", 2), ("gia-phi-1", "gia phi", 3), ("section", "!", 2)]
+    assert list(got[0])[3:] == [["a-1.png", "b.jpg", "c.webp"], ["a-1.png", "c.webp"], 1, "/s"]
+    assert list(got[1]) == [None, None, [], [], [], 1, "/s"]
+    assert [r[0] for r in rows.limit(1).select(posts.slug(F.lit("x" * 99 + " yz"))).collect()] == ["x" * 99]
