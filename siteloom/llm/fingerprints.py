@@ -71,7 +71,8 @@ def _level(x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.empty(len(x), bool)
     start[0] = True
     start[1:] = tossed[1:] < tossed[:-1]
-    start[1:-1] &= tossed[1:-1] <= tossed[2:]
+    # A document's last symbol has none after it: what comes next belongs to another.
+    start[1:-1] &= (tossed[1:-1] <= tossed[2:]) | first[2:]
     start |= first
     at = np.flatnonzero(start)
     inside = np.arange(len(x)) - np.repeat(at, np.diff(at, append=len(x)))

@@ -167,6 +167,15 @@ def test_fingerprints_are_local_and_equal():
     assert near(0, 1) == 1.0 and near(0, 2) > 0.85 and 0.4 < near(0, 3) < 0.9 and near(4, 5) == 1.0 and near(0, 6) < 0.1
 
 
+def test_equal_texts_have_equal_fingerprints_whatever_stands_beside():
+    rng = np.random.default_rng(7)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 6, rng.integers(1, 80))) for _ in range(300)] + ["a", "ab", "aab", "q"]
+    alone = np.concatenate([fingerprints.fingerprints([t]) for t in texts])
+    for _ in range(3):
+        order = rng.permutation(len(texts))
+        assert (fingerprints.fingerprints([texts[i] for i in order]) == alone[order]).all()
+
+
 def test_mix_comes_near_its_targets(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "w " * int(rng.integers(1, 200)), f"s{int(rng.integers(0, 6)) // 2}") for i in range(1500)]
