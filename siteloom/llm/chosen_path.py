@@ -6,15 +6,18 @@ positions (1.25 on average, the inverse of the similarity), and a class goes on
 the position and its token there. Nodes of one class end; nodes of at most `leaf` classes are compared exhaustively by
 their tokens; larger ones branch again. `trees` independent trees are grown: a pair at the threshold shares a node of
 the first two levels of one tree with probability 0.73, of eight trees with 0.99997; a pair that shares more does so
-more surely, and levels beyond the second are met only in groups of more than `leaf` similar classes.
+more surely. Levels beyond the second are met only in groups of more than `leaf` classes; there a node always chooses
+two positions, 1.6 shared children on average at the threshold, so that a pair's chance does not fall with the depth:
+eight trees meet it with 0.99995 on the third level and with more than 0.9999 on any (positions taken as independent).
 
-Candidates are pairs of a node whose tokens agree in at least 0.8 less 3.4 standard errors. Links are confirmed on full
+Candidates are pairs of a node whose tokens agree in at least 0.8 less 5 standard errors. Links are confirmed on full
 shingle sets, inside the node. Only connectivity is wanted, so a pair within a component that is confirmed already isn't
 looked at: the first tree is confirmed alone, the others then only between different components, and a node reports
 at most one link less than it has classes. Pairs never become rows.
 
-A node that is still larger than `leaf` on the last level is held together by its smallest class first; then what is
-in other components than the node's largest is compared with all of the node, block by block, so no pair is lost.
+A node that is still larger than `leaf` on the last level is held together by its hub first, the class nearest to the
+most frequent tokens (of edited copies their original); then what is in other components than the node's largest is
+compared with all of the node, block by block, so no pair is lost.
 
 Edge cases: documents without words (null and empty texts too) are linked with nothing and are their own component; a
 null doc_id has a null component and is kept; a class that only null ids hold is linked with nothing; rows that share a
@@ -36,7 +39,7 @@ from .common import keep, release
 from .components import components
 from .shingles import POSITIONS, mix, sequence_key, shingle_sets, signatures, words
 
-WORDS, PERCENT, TREES, LEAF, LEVELS = 4, 80, 8, 1024, 12
+WORDS, PERCENT, TREES, LEAF, LEVELS = 4, 80, 8, 1024, 3
 _U = np.uint64
 
 
@@ -59,13 +62,13 @@ def _prepare(k: int):
     return prepare
 
 
-def _branch(paths: np.ndarray, rows: np.ndarray, sigs: np.ndarray, first: np.ndarray):
-    """Paths of the children, the row of each, and what their parents have as first."""
+def _branch(paths: np.ndarray, rows: np.ndarray, sigs: np.ndarray, first: np.ndarray, both: bool):
+    """Paths of the children, the row of each, and what their parents have as first; both: always two positions."""
     out_p, out_r, out_f = [], [], []
     draw = mix(paths ^ _U(0xA5A5A5A5A5A5A5A5))
     for salt in (0, 1):
         pick = mix(draw + _U(salt + 1))
-        go = np.ones(len(paths), bool) if salt == 0 else (draw >> _U(62)) == 0
+        go = np.ones(len(paths), bool) if salt == 0 or both else (draw >> _U(62)) == 0
         position = (pick % _U(POSITIONS)).astype(np.int64)[go]
         token = sigs[rows[go], position].astype(_U)
         out_p.append(mix(mix(paths[go] + _U(0x632BE59BD9B4E019) * (position.astype(_U) + _U(1))) ^ token))
@@ -74,7 +77,7 @@ def _branch(paths: np.ndarray, rows: np.ndarray, sigs: np.ndarray, first: np.nda
     return np.concatenate(out_p), np.concatenate(out_r), np.concatenate(out_f)
 
 
-def _grow(trees: int | None):
+def _grow(trees: int | None, both: bool = False):
     """Rows (vid, sig[, node, first]) to rows (node, vid, first tree); trees: how many to start, None to go on from node."""
 
     def grow(batches):
@@ -89,7 +92,7 @@ def _grow(trees: int | None):
             else:
                 paths, rows = batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(_U), np.arange(len(vids))
                 first = batch.column("first").to_numpy(zero_copy_only=False).astype(bool)
-            paths, rows, first = _branch(paths, rows, sigs, first)
+            paths, rows, first = _branch(paths, rows, sigs, first, both)
             yield pa.record_batch([pa.array(paths.view(np.int64)), pa.array(vids[rows]), pa.array(first)], names=["node", "vid", "first"])
 
     return grow
@@ -115,7 +118,7 @@ def _groups(batches, key: str):
 
 def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int):
     """Index pairs and equal tokens of classes that may be similar enough, by sizes and tokens."""
-    least = percent / 100 - 3.4 * (percent / 100 * (1 - percent / 100) / POSITIONS) ** 0.5
+    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / POSITIONS) ** 0.5
     out = []
     for i in range(len(a)):
         fits = np.flatnonzero((100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])))
@@ -198,13 +201,43 @@ def _cells(classes: DataFrame, trees: int, leaf: int, levels: int) -> tuple[Data
             large = keep(big.select("node", "vid").distinct(), "large")
             break
         # Kept, as it is read twice: for the sizes of the nodes and for their rows.
-        at = keep(big.select("node", "vid", "first").join(classes, "vid").mapInArrow(_grow(None), "node long, vid long, first boolean"), "nodes")
+        at = keep(big.select("node", "vid", "first").join(classes, "vid").mapInArrow(_grow(None, level >= 2), "node long, vid long, first boolean"), "nodes")
     every = cells[0]
     for c in cells[1:]:
         every = every.unionByName(c)
     return every.where(F.col("size") <= leaf).select(F.col("node").alias("cell"), "vid", "first").distinct(), large
 
 
+def _modes(batches):
+    """Rows (node, sig) sorted by node to each node's most frequent token of every position."""
+    for node, t in _groups(batches, "node"):
+        sig = np.sort(np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, POSITIONS), axis=0)
+        mode = []
+        for column in sig.T:
+            values, counts = np.unique(column, return_counts=True)
+            mode.append(values[counts.argmax()])
+        yield pa.record_batch([pa.array([node], pa.int64()), pa.array([np.array(mode, "<u4").tobytes()], pa.binary())], names=["node", "mode"])
+
+
+def _agreement(batches):
+    """Rows (node, vid, sig, mode) to (node, vid, equal tokens)."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, POSITIONS) for c in ("sig", "mode"))
+            yield pa.record_batch([batch.column("node"), batch.column("vid"), pa.array((a == b).sum(1), pa.int64())], names=["node", "vid", "equal"])
+
+
+def _hubs(large: DataFrame, classes: DataFrame, leaf: int) -> DataFrame:
+    """node, hub: the class that agrees most with the most frequent tokens of about `leaf` classes of the node."""
+    rows = large.join(classes.select("vid", "sig"), "vid")
+    share = large.groupBy("node").agg(F.ceil(F.count("*") / leaf).alias("parts"))
+    some = rows.join(share, "node").where(F.pmod(F.xxhash64("vid"), F.col("parts")) == 0).select("node", "sig")
+    modes = keep(some.repartition("node").sortWithinPartitions("node").mapInArrow(_modes, "node long, mode binary"), "modes")
+    near = rows.join(modes, "node", "left").select("node", "vid", "sig", F.coalesce("mode", "sig").alias("mode"))
+    near = near.mapInArrow(_agreement, "node long, vid long, equal long")
+    return near.groupBy("node").agg((-F.max(F.struct("equal", (-F.col("vid")).alias("low")))["low"]).alias("hub"))
+
+
 def _blocks(large: DataFrame, labels: DataFrame, leaf: int) -> DataFrame:
     """Rows (cell, vid, comp, side) that bring every component but the largest of a node together with all of the node."""
     rows = large.join(labels, large["vid"] == labels["v"], "left").select("node", "vid", F.coalesce("c", "vid").alias("comp"))
@@ -294,8 +327,7 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int =
     if trees > 1:
         labels = _merge(labels, _links(_labelled(cells.where("NOT first"), labels), classes, rows, k, percent))
     if large is not None:
-        hub = large.groupBy("node").agg(F.min("vid").alias("hub"))
-        star = large.join(hub, "node").where("hub < vid").withColumn("cell", F.xxhash64("node", "vid"))
+        star = large.join(_hubs(large, classes, leaf), "node").where("hub <> vid").withColumn("cell", F.xxhash64("node", "vid"))
         star = star.select("cell", F.explode(F.array("hub", "vid")).alias("vid"))
         labels = _merge(labels, _links(_labelled(star, labels), classes, rows, k, percent))
         labels = _merge(labels, _links(_blocks(large, labels, leaf), classes, rows, k, percent))

@@ -85,6 +85,20 @@ def test_near_copies_and_large_nodes(spark):
         assert [got[i].n_shingles for i in range(len(rows))] == [len(s) for s in sets]
 
 
+def test_large_group_of_edited_copies_stays_whole(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(5000, " ".join(base))]
+    for i in range(600):
+        w = list(base)
+        # Five edits apart from each other: 20 of 197 shingles go, two copies share less than the threshold asks.
+        for k in (np.arange(5) * 40 + rng.integers(2, 30, 5)).tolist():
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    got = chosen_path.digest(spark.createDataFrame(rows, "doc_id long, text string"), leaf=64).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
 @pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
 def test_remembered_ids_equal_the_library(path):
     texts = ["", " a", "a ", "a  b", "\n a b", "a \n b", "x<|endoftext|> y", "a　 b", "'s 's a's", "é é b", "A\tB  C\r\n D", "Σας ΟΔΟΣ", "Hello, world!! It's 42% | fine.\nNext", LONG[:500]]
