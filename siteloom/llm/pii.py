@@ -3,11 +3,14 @@
 Base: four fixed patterns (email, ip, card, phone), leftmost and non-overlapping per kind; a match that fails its test
 (parts of an ip, digits and Luhn sum of a card, digits of a phone) is dropped.
 
-Bootstrapping: tokens that hold a digit or @ are instances; those that base found are the seeds. Each occurrence has
-lexical patterns: the word before with the coarse shape of the token, and the token's exact shape. In each round a
-pattern's confidence is the score of its distinct instances by their number plus one, patterns count only with enough
-distinct seeds, and an instance's score is the best confidence of its patterns; seeds stay at 1. After the rounds,
-occurrences outside base spans that a pattern of high confidence matches are added, as kind `other`.
+Bootstrapping: base spans, whole, and tokens outside them that hold a digit or @ are instances; numbers that follow each
+other by one space are one token; tokens of under 6 characters are none. Base spans are the seeds. Each occurrence has
+lexical patterns: the two words to its left, the two to its right, and one on either side, none of which holds anything
+of the instance itself; the word before with the coarse shape; and the exact shape. Digits of context words are alike.
+In each round a pattern's confidence is the score of its distinct instances by their number plus one, patterns count only
+with enough distinct instances that are seeds or were found with high confidence in a round before, and an instance's
+score is the best confidence of its patterns; seeds stay at 1. After the rounds, occurrences outside base spans that a
+pattern of high confidence matches are added, as kind `other`.
 
 Edge cases: a null text is empty and has no spans; texts of any length are searched whole, with patterns that cannot
 backtrack far; a null doc_id is kept; repeated rows get equal spans; an empty table gives an empty table; only doc_id
@@ -33,7 +36,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[(]?[0-9][0-9()./-]*+(?![^\x20\x09-\x0D]))*+"
 ROUNDS, SEEDS, CONFIDENT = 2, 5, 0.85
 CONTEXT = 80
 
@@ -60,19 +63,23 @@ def _passes(kind: Column, hit: Column) -> Column:
 
 
 def _matches(kind: str, pattern: str, may_match: Column) -> Column:
-    """Array of (kind, i, gap, hit): the matches in order, each with the characters since the one before."""
+    """Array of (kind, i, gap, hit, left, right): the matches in order, each with the characters since the one before."""
     hits, gaps = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
-    # zip_with evaluates both arrays once; the gap behind the last match has no hit.
-    both = F.zip_with(hits, gaps, lambda h, g: F.struct(
-        h.alias("hit"), F.char_length(g).alias("gap"),
-        (F.right(g, F.lit(CONTEXT)) if kind == "token" else F.lit(None).cast("string")).alias("left")))
-    found = F.transform(F.filter(both, lambda x: x["hit"].isNotNull()), lambda x, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["hit"].alias("hit"), x["left"].alias("left")))
-    return F.when(may_match, found).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,hit:string,left:string>>"))
+    # Bound to a variable, both arrays are evaluated once; the gap behind the last match has no hit.
+    def placed(s):
+        hit, gap = s["hits"], s["gaps"]
+        at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+        left = lambda i: F.right(F.concat(F.right(at(gap, i - 1), F.lit(CONTEXT)), at(hit, i - 1), F.right(at(gap, i), F.lit(CONTEXT))), F.lit(CONTEXT))
+        right = lambda i: F.left(F.concat(F.left(at(gap, i + 1), F.lit(CONTEXT)), at(hit, i + 1), F.left(at(gap, i + 2), F.lit(CONTEXT))), F.lit(CONTEXT))
+        return F.transform(hit, lambda h, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), F.char_length(F.get(gap, i)).alias("gap"), h.alias("hit"), left(i).alias("left"), right(i).alias("right")))
+
+    found = F.get(F.transform(F.array(F.struct(hits.alias("hits"), gaps.alias("gaps"))), placed), F.lit(0))
+    return F.when(may_match, found).otherwise(F.array().cast("array<struct<kind:string,i:int,gap:int,hit:string,left:string,right:string>>"))
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """row, doc_id, kind, start, end, hit, left of every match; a row without matches has one row with a null kind."""
+    """row, doc_id, kind, start, end, hit, left, right of every match; a row without matches has one row with a null kind."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digit, at = F.col("text").rlike("[0-9]"), F.col("text").contains("@")
     arrays = [
@@ -81,7 +88,7 @@ def located(docs: DataFrame) -> DataFrame:
         _matches("token", TOKEN, digit | at),
     ]
     found = rows.select("row", "doc_id", F.explode_outer(F.concat(*arrays)).alias("m"))
-    found = found.select("row", "doc_id", "m.kind", "m.i", "m.gap", "m.hit", "m.left").withColumn("n", F.char_length("hit"))
+    found = found.select("row", "doc_id", "m.kind", "m.i", "m.gap", "m.hit", "m.left", "m.right").withColumn("n", F.char_length("hit"))
     run = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(run))
     found = found.where(F.col("kind").isNull() | (F.col("kind") == "token") | _passes(F.col("kind"), F.col("hit")) | (F.col("i") == 0))
@@ -89,27 +96,37 @@ def located(docs: DataFrame) -> DataFrame:
     good = F.col("kind").isNotNull() & _passes(F.col("kind"), F.col("hit"))
     return found.select(
         "row", "doc_id", F.when(good, F.col("kind")).alias("kind"), (F.col("end") - F.col("n")).cast("long").alias("start"),
-        F.col("end").cast("long").alias("end"), "hit", "left")
+        F.col("end").cast("long").alias("end"), "hit", "left", "right")
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Tokens without their edge marks: row, start, end, instance, patterns, seed, free (of base spans)."""
+    """Base spans, and tokens outside them without their edge marks: row, start, end, instance, patterns, seed."""
     base, token = F.col("kind").isin(*KINDS), F.col("kind") == "token"
     lead = F.char_length(F.regexp_extract("hit", "^[\\[(<{\"'`]*", 0))
     body = F.regexp_replace(F.regexp_replace("hit", "^[\\[(<{\"'`]*+", ""), "[\\])>}\"'`.,;:!?]++$", "")
-    rows = found.where("kind IS NOT NULL").withColumn("body", F.when(token, body)).withColumn("lead", F.when(token, lead).otherwise(0))
-    rows = rows.withColumn("start", F.col("start") + F.col("lead")).withColumn("end", F.when(token, F.col("start") + F.char_length("body")).otherwise(F.col("end")))
+    rows = found.where("kind IS NOT NULL").withColumn("body", F.when(token, body).otherwise(F.col("hit"))).withColumn("lead", F.when(token, lead).otherwise(0))
+    rows = rows.withColumn("start", F.col("start") + F.col("lead")).withColumn("end", F.col("start") + F.char_length("body"))
     upto = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     onward = Window.partitionBy("row").orderBy("start", "end").rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("reach", F.max(F.when(base, F.col("end"))).over(upto)).withColumn("next", F.min(F.when(base, F.col("start"))).over(onward))
-    rows = rows.where(token & (F.char_length("body") >= 6))
     covered = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
-    word = ascii_lower(F.substring_index(F.btrim(F.translate(F.col("left"), SPACE, " " * len(SPACE)), F.lit(" ")), " ", -1))
+    # A token that a base span overlaps is no instance of its own: the whole span is.
+    rows = rows.where(base | (token & (F.char_length("body") >= 6) & ~covered))
+    plain = lambda c: F.btrim(F.regexp_replace(F.regexp_replace(ascii_lower(c), "[0-9]++", "9"), "[\\x20\\x09-\\x0D]++", " "), F.lit(" "))
+    # The marks at a token's edges belong to neither side; those at a base span's edges are taken off as well.
+    left = plain(F.regexp_replace("left", "[\\[(<{\"'`]++$", ""))
+    right = plain(F.regexp_replace("right", "^[\\])>}\"'`.,;:!?]++", ""))
+    rows = rows.withColumn("l", left).withColumn("r", right)
+    word, after = F.substring_index("l", " ", -1), F.substring_index("r", " ", 1)
+    two_l, two_r = F.substring_index("l", " ", -2), F.substring_index("r", " ", 2)
+    full = lambda c: c.contains(" ")
     shape = F.regexp_replace(F.translate(ascii_lower(F.col("body")), "bcdefghijklmnopqrstuvwxyz012345678", "a" * 25 + "9" * 9), "a++", "a")
     coarse = F.regexp_replace(shape, "9++", "9")
-    return rows.select(
-        "row", "start", "end", ascii_lower(F.col("body")).alias("instance"), covered.alias("seed"),
-        F.array(F.concat_ws(" ", F.lit("before"), word, coarse), F.concat_ws(" ", F.lit("shape"), shape)).alias("patterns"))
+    patterns = F.array(
+        F.when(full(two_l), F.concat_ws(" ", F.lit("left"), two_l)), F.when(full(two_r), F.concat_ws(" ", F.lit("right"), two_r)),
+        F.when((word != "") & (after != ""), F.concat_ws(" ", F.lit("around"), word, F.lit("_"), after)),
+        F.concat_ws(" ", F.lit("before"), word, coarse), F.concat_ws(" ", F.lit("shape"), shape))
+    return rows.select("row", "start", "end", ascii_lower(F.col("body")).alias("instance"), base.alias("seed"), F.array_compact(patterns).alias("patterns"))
 
 
 def confident_patterns(tokens: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confident: float = CONFIDENT) -> DataFrame:
@@ -119,7 +136,7 @@ def confident_patterns(tokens: DataFrame, rounds: int = ROUNDS, seeds: int = SEE
     for last in range(rounds):
         scored = edges.drop("seed").join(own, "instance")
         patterns = scored.groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum((F.col("score") == 1).cast("long")).alias("seeds"))
+            (F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum((F.col("score") >= confident).cast("long")).alias("seeds"))
         patterns = keep(patterns.where((F.col("seeds") >= seeds) & (F.col("confidence") >= confident / 2)), "patterns")
         if last + 1 < rounds:
             best = edges.join(patterns, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))

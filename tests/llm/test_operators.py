@@ -163,6 +163,24 @@ def test_personal_data_and_discovery(spark):
     assert re.fullmatch("[0-9a-f]{64}", got[99].base_sha256) and got[99].n_email == 0
 
 
+def test_context_of_seeds_finds_other_kinds_of_identifier(spark):
+    rows = [(i, f"please reach us via user{i}@mail.example.com for any help today") for i in range(40)]
+    # Another kind in the seeds' context; then, by the shape that those hold up, in a context of its own.
+    new = [f"k{i:03d}-{i * 7 % 1000:03d}-zz" for i in range(30)]
+    rows += [(100 + i, f"please reach us via {x} for any help today") for i, x in enumerate(new[:4])]
+    cards = [f"{4000 + i} 1111 1111 1111" for i in range(90)]
+    rows += [(200 + i, f"card number {c} was charged") for i, c in enumerate(cards)]
+    rows += [(400, "card number qq77-8812-x was charged"), (401, "in room b12-444 nothing happened"), (402, "nr. 4111 1111 1111 1111 x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digest(df).collect()}
+    at = len("please reach us via ")
+    assert [got[100 + i].spans for i in range(4)] == [f"other:{at}:{at + len(x)}" for x in new[:4]]
+    assert got[401].spans == "" and "card:4:23" in got[402].spans
+    seeds = spark.createDataFrame([(f"s{i}", True, ["left a"]) for i in range(60)] + [(f"n{i}", False, ["left a", "shape b"]) for i in range(8)] + [("m", False, ["shape b"])], "instance string, seed boolean, patterns array<string>")
+    strong = seeds.unionByName(spark.createDataFrame([(f"t{i}", True, ["left a"]) for i in range(200)], seeds.schema))
+    assert {r.pattern for r in pii.confident_patterns(strong, rounds=3, confident=0.7).collect()} == {"left a", "shape b"}
+
+
 def test_toxicity_learns_and_locates(spark):
     texts = [(i, f"plain words number{i} here. quiet text follows" + (". you are a grobnak fool" if i % 3 == 0 else "")) for i in range(300)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
