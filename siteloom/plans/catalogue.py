@@ -11,6 +11,7 @@ from ..sources.corpus import corpus_pages
 from ..sources.schema import complete
 from ..sources.web import detect_technologies, robots_allowed
 from ..streaming.trackers import windowed_counts
+from .tables import keep
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,9 +112,19 @@ def page_signals(spark, sf_dir):
     return corpus_pages(spark, sf_dir).drop("custom_search_counts", "extracted", "raw", "accessibility_violations", "mobile_usability_violations")
 
 
+def _near(pages):
+    return near_duplicates.clusters(near_duplicates.candidates(pages))
+
+
 @query()
 def issue_long(spark, sf_dir):
-    return issues.issue_long(corpus_pages(spark, sf_dir))
+    # Kept, as the cross-page rules read the parsed pages many times.
+    pages = keep(corpus_pages(spark, sf_dir), "pages")
+    # Not graph.edges(): a link of a page to itself counts as a link to it here.
+    links = pages.select(F.col("url").alias("source"), F.explode("outlinks").alias("o")).select("source", F.col("o.url").alias("target"))
+    hreflang = pages.select(F.col("url").alias("source"), F.explode("hreflang_links").alias("h")).select("source", "h.lang", "h.href")
+    flags = keep(issues.cross_flags(pages, links, hreflang, near=_near(pages)), "flags")
+    return issues.issue_long(pages, flags)
 
 
 @query()
@@ -254,7 +265,7 @@ _sim_query("anchor_audit", "nonDescriptiveAnchors", "emptyAnchors")
 @query()
 def issue_summary(spark, sf_dir):
     pages, links, hreflang = _sim(spark, sf_dir)
-    found = issues.issue_long(pages, issues.cross_flags(pages, links, hreflang), simweb.sim_resources(spark, sf_dir))
+    found = issues.issue_long(pages, issues.cross_flags(pages, links, hreflang, near=_near(pages)), simweb.sim_resources(spark, sf_dir))
     return issues.issue_summary(found)
 
 
@@ -319,7 +330,7 @@ def crawl_diff(spark, sf_dir):
 def issue_deltas(spark, sf_dir):
     pages, links, hreflang = _sim(spark, sf_dir)
     after = pages.withColumn("title", F.when(F.col("seq") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("title")))
-    one, two = (issues.issue_summary(issues.issue_long(p, issues.cross_flags(p, links, hreflang))) for p in (pages, after))
+    one, two = (issues.issue_summary(issues.issue_long(p, issues.cross_flags(p, links, hreflang, near=_near(p)))) for p in (pages, after))
     return compare.issue_deltas(one, two)
 
 

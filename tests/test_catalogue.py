@@ -44,3 +44,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = duplicate_titles_stream(spark, str(tmp_path / "in"), rows.schema, "titles", str(tmp_path / "state"))
     want = rows.where("title IS NOT NULL").groupBy("title").count().where("count > 1")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_issues_of_the_pages_hold_the_cross_page_rules(spark):
+    from siteloom.operators import near_duplicates
+    from siteloom.sources.corpus import corpus_pages
+
+    pages = corpus_pages(spark, SF)
+    url = {r.seq: r.url for r in pages.select("seq", "url").collect()}
+    found = catalogue.QUERIES["issue_long"](spark, SF).collect()
+    of = lambda key: {r.url for r in found if r.issue_key == key}
+    same = {url[r.seq] for r in catalogue.QUERIES["duplicate_titles"](spark, SF).collect()}
+    assert same and of("duplicateTitles") == same
+    assert of("nearDuplicateContent") == {r.url for r in near_duplicates.clusters(near_duplicates.candidates(pages)).collect()}
