@@ -47,7 +47,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_windows),
 ]
-#: SQL cannot train the classifier or run the tokenizer; tests hold the stages against brute force.
+#: SQL cannot train the classifier or run the tokenizer; no test holds the stages against brute force yet.
 ORACLE_SQL = None
 
 
