@@ -1,4 +1,8 @@
-"""Intermediate tables in the shared folder that the cluster names in spark.checkpoint.dir."""
+"""Intermediate tables in the shared folder that the cluster names in spark.checkpoint.dir.
+
+Every application writes below a folder of its own, which the driver's file system client removes when it ends. Tables
+that are kept inside a scope() go when the scope ends.
+"""
 
 from __future__ import annotations
 
@@ -6,25 +10,76 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: str | None = None
+_marked: set[str] = set()
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset a temporary folder, in local mode only."""
     global _local
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local is None:
         _local = tempfile.mkdtemp(prefix="siteloom-")
         atexit.register(shutil.rmtree, _local, True)
     return "file://" + _local
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    own = f"{shared_folder(spark)}/siteloom/{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        at, files = _file_system(spark, own)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _marked.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: its lineage is cut and executors may be lost."""
-    path = f"{shared_folder(df.sparkSession)}/siteloom/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    for scope_ in _scopes:
+        scope_.append(out)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that keep() wrote and that nothing reads any more."""
+    for df in tables:
+        at, files = _file_system(df.sparkSession, df.kept_path)
+        files.delete(at, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Removes at its end all tables that were kept inside it; what is to outlive it has to be written before."""
+    held: list[DataFrame] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        release(*held)
+
+
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A kept table, marked for broadcast only if its counted rows are within the bound; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
