@@ -2,59 +2,32 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import keep, new_path, release, scope, shared_folder, small
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = "[\\x20\\x09-\\x0D]+"
 #: A null doc_id sorts before every other and counts as one document.
 NO_ID = -(2**63)
 
-_local: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors see: spark.checkpoint.dir, or where that is unset (tests) a local one."""
-    global _local
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if _local is None:
-        _local = tempfile.mkdtemp(prefix="siteloom-")
-        atexit.register(shutil.rmtree, _local, True)
-    return "file://" + _local
-
+__all__ = ["keep", "new_path", "release", "scope", "shared_folder", "small", "hot_join"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/siteloom/{name}-{uuid.uuid4().hex[:12]}"
 
+def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, few: int = 50_000) -> DataFrame:
+    """rows joined with a kept table of keys, whose column n says how many rows have the key, without a hot task.
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage is cut, executors may be lost."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Remove tables that keep() wrote and that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """A kept table, marked for broadcast only if its counted rows are within the bound; else Spark joins it by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    A counted small table is broadcast. Of a larger one the keys that hold over a 20000th of its rows are: there are fewer
+    than 20000 of these, and the others meet in a shuffle join.
+    """
+    if keys.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(keys), on)
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(keys.where(F.col(n) > total / 20_000))
+    cold = rows.join(hot.select(on), on, "left_anti").join(keys.where(F.col(n) <= total / 20_000), on)
+    return rows.join(hot, on).unionByName(cold)
 
 
 def partitions(spark: SparkSession) -> int:

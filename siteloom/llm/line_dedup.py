@@ -9,8 +9,8 @@ share a doc_id are one document, and identical rows get identical results; an em
 doc_id and text are read, so other columns cannot clash.
 
 Scale: the first count is combined on the map side and only finds candidate keys; the exact count of documents and the
-join touch candidate keys only, and that join is a plain equi-join that Spark may split where a key is hot. The
-document text is shuffled once, by document.
+drops touch candidate keys only. Those are broadcast if counted few; else the hot ones are, and the rest meet in a
+shuffle join, so that no key gathers in a task. The document text is shuffled once, by document.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, SPACE, ascii_lower, keep
+from .common import NO_ID, SPACE, ascii_lower, hot_join, keep
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -44,11 +44,13 @@ def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def repeated_keys(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Keys that enough documents hold, and the document that keeps them."""
+    """Kept: keys that enough documents hold, their lines (__n), and the document that keeps them."""
     key = ["__h1", "__h2"]
-    often = lines.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs).select(key)
-    held = lines.join(often, key, "left_semi").select(*key, "__doc").distinct()
-    return held.groupBy(key).agg(F.count("*").alias("__n"), F.max("__doc").alias("__keeper")).where(F.col("__n") >= min_docs).drop("__n")
+    often = keep(lines.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs), "frequent-keys")
+    # Salted by document: distinct pairs are hashed by both, and their counts are combined before they move by key.
+    held = hot_join(lines.select(*key, "__doc"), often, key, "__n").distinct()
+    found = held.groupBy(*key, "__n").agg(F.count("*").alias("__docs"), F.max("__doc").alias("__keeper"))
+    return keep(found.where(F.col("__docs") >= min_docs).drop("__docs"), "repeated-keys")
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: list[str] | None = None) -> DataFrame:
@@ -56,7 +58,7 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
     carry = ["doc_id"] if carry is None else carry
     lines = keep(long_lines(docs, min_chars), "lines")
     drops = (
-        lines.join(repeated_keys(lines, min_docs), ["__h1", "__h2"]).where(F.col("__doc") != F.col("__keeper"))
+        hot_join(lines, repeated_keys(lines, min_docs), ["__h1", "__h2"], "__n").where(F.col("__doc") != F.col("__keeper"))
         .groupBy("__doc", "__text_hash").agg(F.array_distinct(F.collect_list("__pos")).alias("__drop"))
     )
     rows = _identified(docs, [c for c in carry if c != "text"]).join(drops, ["__doc", "__text_hash"], "left")
