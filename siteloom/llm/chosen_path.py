@@ -1,6 +1,6 @@
 """MinHash near-duplicates by the chosen-path set similarity join.
 
-Every distinct sequence of words is one class, which its smallest doc_id stands for. A class has 128 minwise tokens of
+Every distinct sequence of words is one class, numbered by a row that holds it. A class has 128 minwise tokens of
 its shingle set. A tree starts from the empty path; at each node a hash of the path chooses one or two of the 128
 positions (1.25 on average, the inverse of the similarity), and a class goes on to the node of the path extended by
 the position and its token there. Nodes of one class end; nodes of at most `leaf` classes are compared exhaustively by
@@ -21,43 +21,50 @@ compared with all of the node, block by block, so no pair is lost.
 
 Edge cases: documents without words (null and empty texts too) are linked with nothing and are their own component; a
 null doc_id has a null component and is kept; a class that only null ids hold is linked with nothing; rows that share a
-doc_id are one vertex; repeated rows and ties give equal results; an empty table gives an empty table; only doc_id and
-text are read, so other columns cannot clash.
+doc_id are one vertex, so their classes are linked; repeated rows and ties give equal results; an empty table gives an
+empty table; only doc_id and text are read, so other columns cannot clash.
 
-Scale: texts are read where they lie; signatures (512 bytes a class) and, for classes that have candidates, shingle sets
-are what is shuffled. A task holds one leaf or one pair of blocks at a time. Nothing is collected but counts.
+Scale: texts are read where they lie, and those of classes with candidates are found by a broadcast of their ids if
+these are counted few, else by a shuffle join; signatures (512 bytes a class) and, for classes that have candidates,
+shingle sets are what is shuffled. A task holds one leaf or one pair of blocks at a time. Nothing is collected but counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, release
+from .common import keep, release, small
 from .components import components
 from .shingles import POSITIONS, mix, sequence_key, shingle_sets, signatures, words
 
 WORDS, PERCENT, TREES, LEAF, LEVELS = 4, 80, 8, 1024, 3
+#: Ids of texts, or of rows, that are broadcast at most.
+FEW = 200_000
 _U = np.uint64
 
 
 def _prepare(k: int):
     def prepare(batches):
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, texts = batch.column("doc").to_pylist(), batch.column("text").to_pylist()
+            ids, prints, texts = (batch.column(c) for c in ("doc", "print", "text"))
+            texts = texts.to_pylist()
             for at in range(0, len(texts), 256):
                 found = [words(t) for t in texts[at : at + 256]]
                 sets = shingle_sets(found, k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = dict(zip(full, signatures([sets[i] for i in full]))) if full else {}
                 yield pa.record_batch([
-                    pa.array(ids[at : at + 256], pa.int64()),
+                    ids.slice(at, 256), prints.slice(at, 256), pa.array(np.arange(row, row + len(found))),
                     pa.array([sequence_key(f) if f else None for f in found], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([sig[i].tobytes() if i in sig else None for i in range(len(sets))], pa.binary()),
-                ], names=["doc", "cls", "n", "sig"])
+                ], names=["doc", "print", "row", "cls", "n", "sig"])
+                row += len(found)
 
     return prepare
 
@@ -273,19 +280,28 @@ def _sets(k: int):
 
 
 def _links(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Kept links between components that rows (cell, vid, comp, side) bring together; texts: doc, text."""
+    """Kept links between components that rows (cell, vid, comp, side) bring together; texts: doc, print, text."""
     dealt = rows.join(classes, "vid").repartition("cell").sortWithinPartitions("cell", "vid")
     wanted = keep(dealt.mapInArrow(_wanted(percent), "cell long, vid long, comp long, side int"), "wanted")
-    # A class's text is that of its smallest doc_id; of repeated rows one is as good as another.
-    one = wanted.select("vid").distinct()
-    own = texts.join(one, texts["doc"] == one["vid"], "left_semi").select(F.col("doc").alias("vid"), "text").dropDuplicates(["vid"])
-    sets = keep(own.mapInArrow(_sets(k), "vid long, set binary"), "sets")
+    one = keep(classes.join(wanted.select("vid").distinct(), "vid").select("vid", "doc", "print"), "wanted-texts")
+    own = texts.join(small(one, FEW), ["doc", "print"]).select("vid", "text")
+    # Of repeated rows one is as good as another.
+    sets = keep(own.mapInArrow(_sets(k), "vid long, set binary").dropDuplicates(["vid"]), "sets")
     full = wanted.join(classes, "vid").join(sets, "vid").repartition("cell").sortWithinPartitions("cell", "vid")
-    links = keep(full.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
-    release(wanted, sets)
+    links = keep(full.select("cell", "vid", "comp", "side", "n", "sig", "set").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+    release(wanted, one, sets)
     return links
 
 
+def _shared(ready: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the classes of one doc_id: a star around the least."""
+    held = ready.where("cls IS NOT NULL AND doc IS NOT NULL").select("doc", "cls")
+    several = held.groupBy("doc").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("doc")
+    mine = keep(held.join(several, "doc", "left_semi").distinct().join(reps.select("cls", "vid"), "cls").select("doc", "vid"), "shared-ids")
+    least = mine.groupBy("doc").agg(F.min("vid").alias("a"))
+    return mine.join(least, "doc").where("a < vid").select("a", F.col("vid").alias("b")).distinct()
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (cell, vid) with their components, of cells that have several."""
     to = labels.select(F.col("v").alias("vid"), "c")
@@ -314,16 +330,16 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
-    """doc (the doc_id), n_shingles, component_id; a row per row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    ready = keep(rows.mapInArrow(_prepare(k), "doc long, cls binary, n long, sig binary"), "prepared")
-    vids = keep(ready.where("cls IS NOT NULL AND doc IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("vid")), "classes")
-    mine = vids.select(F.col("cls").alias("__cls"), "vid")
-    classes = keep(ready.join(mine, (ready["doc"] == mine["vid"]) & (ready["cls"] == mine["__cls"])).select("vid", "n", "sig"), "signatures")
-    cells, large = _cells(classes, trees, leaf, levels)
+    """doc (the doc_id), print (a hash of the text), cls, n_shingles, component_id; a row per row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("print"), "text")
+    ready = keep(rows.mapInArrow(_prepare(k), "doc long, print long, row long, cls binary, n long, sig binary"), "prepared")
+    reps = ready.where("cls IS NOT NULL AND doc IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc", "print", "row")).alias("m"))
+    reps = keep(reps.select("cls", F.col("m.row").alias("vid"), F.col("m.doc").alias("low")), "classes")
+    classes = keep(ready.join(reps.select("vid"), ready["row"] == reps["vid"]).select("vid", "n", "sig", "doc", "print"), "signatures")
+    cells, large = _cells(classes.select("vid", "sig"), trees, leaf, levels)
     cells = keep(cells, "cells")
     alone = cells.where("first").select("cell", "vid", F.col("vid").alias("comp"), F.lit(2).alias("side"))
-    labels = _merge(None, _links(alone, classes, rows, k, percent))
+    labels = _merge(None, _links(alone, classes, rows, k, percent).unionByName(_shared(ready, reps)))
     if trees > 1:
         labels = _merge(labels, _links(_labelled(cells.where("NOT first"), labels), classes, rows, k, percent))
     if large is not None:
@@ -332,10 +348,18 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int =
         labels = _merge(labels, _links(_labelled(star, labels), classes, rows, k, percent))
         labels = _merge(labels, _links(_blocks(large, labels, leaf), classes, rows, k, percent))
     release(cells)
-    named = vids.join(labels, vids["vid"] == labels["v"], "left").select(F.col("cls").alias("__cls"), F.coalesce("c", "vid").alias("__c"))
-    found = ready.select("doc", "cls", "n")
-    out = found.join(named, found["cls"] == named["__cls"], "left")
-    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("__c", "doc")).alias("component_id"))
+    # Labels are rows' numbers: a component is named by the smallest doc_id of its classes.
+    low = labels.join(reps.select(F.col("vid").alias("v"), "low"), "v").groupBy("c").agg(F.min("low").alias("__component"))
+    joined = labels.join(low, "c").select("v", "__component")
+    named = reps.join(joined, reps["vid"] == joined["v"], "left").select(F.col("cls").alias("__cls"), F.coalesce("__component", "low").alias("component_id"))
+    found = ready.select("doc", "print", "cls", F.col("n").alias("n_shingles"))
+    full = found.where("cls IS NOT NULL")
+    full = full.join(named, full["cls"] == named["__cls"], "left").select(*found.columns, F.when(F.col("doc").isNotNull(), F.col("component_id")).alias("component_id"))
+    # Without words a row adds no link, but belongs to its doc_id's vertex.
+    blank = found.where("cls IS NULL")
+    other = full.join(blank.select("doc"), "doc", "left_semi").groupBy(F.col("doc").alias("__doc")).agg(F.min("component_id").alias("component_id"))
+    blank = blank.join(other, blank["doc"] == other["__doc"], "left").select(*found.columns, F.coalesce("component_id", "doc").alias("component_id"))
+    return full.unionByName(blank)
 
 
 def digest(docs: DataFrame, **parameters) -> DataFrame:
@@ -344,7 +368,23 @@ def digest(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def apply(docs: DataFrame, k: int = 5, **parameters) -> DataFrame:
-    """docs with one document of each component, that with the smallest doc_id; null ids stay."""
-    found = linked(docs, k=k, **parameters)
-    gone = found.where("doc <> component_id").select(F.col("doc").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """docs with one row of each component: of its smallest doc_id, the text with the smallest hash, of repeated rows one.
+
+    A row without words stays. A row with a null id stays unless another row with an id, or a smaller hash, has its words.
+    """
+    found = keep(linked(docs, k=k, **parameters).where("cls IS NOT NULL").select("doc", "print", "cls", "component_id"), "found")
+    first = found.where("doc IS NOT NULL").groupBy("component_id").agg(F.min(F.struct("doc", "print")).alias("first"))
+    stays = first.select(F.col("first.doc").alias("doc"), F.col("first.print").alias("print"))
+    free = found.groupBy("cls").agg(F.min("print").alias("print"), F.count("doc").alias("n")).where("n = 0").select(F.lit(None).cast("long").alias("doc"), "print")
+    # Null ids are joined as equal.
+    pair = lambda left, right: left["doc"].eqNullSafe(right["doc"]) & left["print"].eqNullSafe(right["print"])
+    rows, staying = found.groupBy("doc", "print").agg(F.count("*").alias("n")), stays.unionByName(free)
+    gone = small(keep(rows.join(staying, pair(rows, staying), "left_anti").select("doc", "print"), "gone"), FEW)
+    twice = keep(rows.where("n > 1").join(staying, pair(rows, staying), "left_semi").select("doc", "print"), "repeated")
+    inner = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("print"))
+    left = inner.join(gone, pair(inner, gone), "left_anti")
+    if not twice.isEmpty():
+        few = small(twice, FEW)
+        same = left.join(few, pair(left, few), "left_semi").groupBy("doc", "print").agg(F.first("__row").alias("__row"))
+        left = left.join(few, pair(left, few), "left_anti").unionByName(same.select("__row", "doc", "print"))
+    return left.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

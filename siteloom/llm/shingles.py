@@ -38,7 +38,7 @@ def shingle_sets(docs: list[list[bytes]], k: int) -> list[np.ndarray]:
     hashed = pd.util.hash_array(np.array(flat, object), categorize=False)
     n = len(hashed)
     rolled = np.zeros(n, _U)
-    for i in range(k):
+    for i in range(min(k, n)):
         rolled[: n - i] += mix(hashed[i:] + _U(i + 1))
     out, at = [], 0
     for d in docs:
