@@ -11,12 +11,14 @@ of each bin the smallest name's 16-bit hash. The likeness of two is the share of
 fills, an estimate of the Jaccard similarity of the two sets of names.
 
 Edge cases: a null or empty text has no names, and two such are alike (1.0); a short text has at least one name per
-level; a null doc_id comes last in descending order; rows that share a doc_id follow each other by text; a single
-document is its own next; an empty table gives an empty table; only doc_id and text are read, so other columns cannot
-clash.
-
-Scale: one shuffle of the texts, by blocks of 256 consecutive ids, in which each document meets the next; only the first
-document of a block is sent twice. Texts are parsed many at a time, as one vector, up to a bounded number of characters.
+level; a null doc_id comes last in descending order; rows that share a doc_id follow each other by a hash of their
+texts; a single document is its own next; an empty table gives an empty table; only doc_id and text are read, so other
+columns cannot clash.
+
+Scale: one shuffle of the texts, by ranges of (doc_id, hash of the text) that hold about `range_rows` rows, whatever ids
+there are; their bounds come from a sample of at most `16 * MOST_RANGES` rows. A range is read in order as a stream, so
+no group is held; only its first document is sent a second time, to the range before it. Texts are parsed many at a
+time, as one vector, up to a bounded number of characters.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, keep, small
+from .common import NO_ID, partitions
 
 BINS, LEVELS, CHARS = 64, (2, 3), 400_000
-SHIFT = 8
+RANGE_ROWS, MOST_RANGES = 512, 65_536
 _U = np.uint64
 _EMPTY = 0xFFFFFFFF
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -120,50 +122,92 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _block(table: pa.Table) -> pa.Table:
-    rows = sorted(zip(table["__guest"].to_pylist(), [-x for x in table["__doc"].to_pylist()], table["text"].to_pylist()))
-    own = [(-d, t) for guest, d, t in rows if not guest]
-    guest = next(((-d, t) for g, d, t in rows if g), None)
-    texts = [t for _, t in own]
-    if not own:
-        return pa.Table.from_pylist([], _ARROW)
-    following = [*texts[1:], guest[1]]
-    prints = fingerprints([*texts, guest[1]])
-    changed = [edited(t, f) for t, f in zip(texts, following)]
+_ARROW = pa.schema([
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+
+
+def _compared(docs: list[int], texts: list[str]) -> pa.RecordBatch:
+    """Rows of all documents but the last, each with the one that follows it."""
+    prints = fingerprints(texts)
+    changed = [edited(t, f) for t, f in zip(texts, texts[1:])]
     changed_prints = fingerprints(changed)
     cols = [
-        [None if d == NO_ID else d for d, _ in own], [len(t) for t in texts],
+        [None if d == NO_ID else d for d in docs[:-1]], [len(t) for t in texts[:-1]],
         [hashlib.sha256(t.encode()).hexdigest() for t in changed],
         [p.astype(">u2").tobytes().hex() for p in prints[:-1]], [p.astype(">u2").tobytes().hex() for p in changed_prints],
         likeness(prints[:-1], changed_prints), likeness(prints[:-1], prints[1:]),
     ]
-    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
-
-
-_ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-
-
-def first_of_blocks(docs: DataFrame) -> DataFrame:
-    """__doc (the largest id of a block) and __block of the next higher block, where it is wanted; the highest goes to the lowest."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"))
-    tops = ids.groupBy(F.shiftright("__doc", SHIFT).alias("__own")).agg(F.max("__doc").alias("__doc"))
-    tops = tops.withColumn("__wide", F.shiftright("__own", 12))
-    wide = tops.groupBy("__wide").agg(F.min("__own").alias("__low"))
-    up = Window.orderBy("__wide")
-    lowest = F.first("__low").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    wide = wide.select("__wide", F.coalesce(F.lead("__low").over(up), lowest).alias("__beyond"))
-    tops = tops.withColumn("__next", F.lead("__own").over(Window.partitionBy("__wide").orderBy("__own")))
-    return tops.join(wide, "__wide").select("__doc", F.coalesce("__next", "__beyond").alias("__block"))
-
-
-def digest(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
-    tops = small(keep(first_of_blocks(docs), "block-tops"), 200_000)
-    own = F.struct(F.shiftright("__doc", SHIFT).alias("block"), F.lit(False).alias("guest"))
-    guest = F.when(F.col("__to").isNotNull(), F.struct(F.col("__to").alias("block"), F.lit(True).alias("guest")))
-    dealt = rows.join(tops.withColumnRenamed("__block", "__to"), "__doc", "left")
-    dealt = dealt.withColumn("__p", F.explode(F.array_compact(F.array(own, guest))))
-    dealt = dealt.select(F.col("__p.block").alias("__block"), F.col("__p.guest").alias("__guest"), "__doc", "text")
-    return dealt.groupBy("__block").applyInArrow(_block, _SCHEMA)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+
+
+def _stream(batches):
+    """Rows (part, guest, doc, text), in order inside a part, its guest last, to their results; the last document is carried on."""
+    at, docs, texts, held = None, [], [], 0
+    for batch in batches:
+        for part, guest, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "doc", "text"))):
+            if part != at:
+                if len(docs) > 1:
+                    yield _compared(docs, texts)
+                at, docs, texts, held, closed = part, [], [], 0, False
+            if closed:
+                continue
+            docs.append(doc)
+            texts.append(text)
+            held += len(text)
+            closed = guest
+            if held >= CHARS or len(docs) > 4096:
+                if len(docs) > 1:
+                    yield _compared(docs, texts)
+                docs, texts, held = docs[-1:], texts[-1:], len(texts[-1])
+    if len(docs) > 1:
+        yield _compared(docs, texts)
+
+
+def bounds(ids: DataFrame, range_rows: int = RANGE_ROWS, most: int = MOST_RANGES) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending lower bounds (doc, print) of the ranges but the first, from all rows or, if there are many, a sample."""
+    n = ids.count()
+    ranges = min(most, -(-n // range_rows))
+    if ranges < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    share = min(1.0, 16 * ranges / n)
+    some = sorted(tuple(r) for r in (ids.sample(share, seed=7) if share < 1 else ids).collect())
+    picked = sorted({some[i * len(some) // ranges] for i in range(1, ranges)}) if some else []
+    return np.array([d for d, _ in picked], np.int64), np.array([p for _, p in picked], np.int64)
+
+
+def _part(low_doc: np.ndarray, low_print: np.ndarray):
+    """(doc, print) to the number of its range."""
+
+    @F.arrow_udf("int")
+    def part(doc: pa.Array, print_: pa.Array) -> pa.Array:
+        d, p = doc.to_numpy(), print_.to_numpy()
+        first, after = np.searchsorted(low_doc, d, "left"), np.searchsorted(low_doc, d, "right")
+        out = after.copy()
+        # Bounds with the same doc decide by the hash; these are few.
+        for i in np.flatnonzero(first < after):
+            out[i] = first[i] + np.searchsorted(low_print[first[i] : after[i]], p[i], "right")
+        return pa.array(out, pa.int32())
+
+    return part
+
+
+def digest(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    low = bounds(rows.select("doc", "print"), range_rows)
+    if len(low[0]):
+        rows = rows.withColumn("part", _part(*low)("doc", "print"))
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    # One row a range: the first of each in descending order goes to the range that is read before it.
+    tops = {p: (t.doc, t.print) for p, t in rows.groupBy("part").agg(F.max(F.struct("doc", "print")).alias("t")).collect()}
+    order = sorted(tops, reverse=True)
+    to = {order[i]: order[i - 1] for i in range(len(order))}
+    table = docs.sparkSession.createDataFrame([(*tops[p], p, to[p]) for p in order], "doc long, print long, part int, to int")
+    dealt = rows.join(F.broadcast(table), ["doc", "print", "part"], "left")
+    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
+    guest = F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("part"), F.lit(True).alias("guest")))
+    dealt = dealt.withColumn("p", F.explode(F.array_compact(F.array(own, guest)))).select("p.part", "p.guest", "doc", "print", "text")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "guest", F.desc("doc"), F.desc("print"))
+    return dealt.drop("print").mapInArrow(_stream, _SCHEMA)
