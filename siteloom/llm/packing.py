@@ -12,7 +12,8 @@ rows that share a doc_id are packed one by one; a null doc_id is kept; an empty
 and text are read, so other columns cannot clash.
 
 Scale: one shuffle of the texts by group; a task holds one group at a time, whose size is a parameter and doesn't grow
-with the input. The group hash covers id and text, so no source, null id or group of near copies meets in one group.
+with the input. The group hash covers id, text and a row's place, so no source, null id, group of copies or of equal
+rows meets in one group.
 """
 
 from __future__ import annotations
@@ -145,5 +146,5 @@ def digest(docs: DataFrame, path: str, end_id: int = END_ID, tiers=TIERS, step_t
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
-    rows = rows.withColumn("__hash", F.xxhash64("doc_id", "text")).withColumn("__group", F.pmod("__hash", F.lit(groups)).cast("long"))
+    rows = rows.withColumn("__hash", F.xxhash64("doc_id", "text", F.monotonically_increasing_id())).withColumn("__group", F.pmod("__hash", F.lit(groups)).cast("long"))
     return rows.groupBy("__group").applyInArrow(_packer(path, end_id, tuple(tiers), step_tokens), SCHEMA)
