@@ -1,16 +1,18 @@
 """Token-ID files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Model, in each block from the same start: two tables remember the id that last followed the id before (order 1) and the
-two ids before (order 2); order 0 is a distribution over 64 classes of ids that adapts in the block, times the fixed
-distribution of ids in a class from the shard's header. Per context (which tables know an id, and whether they agree)
-adaptive weights mix the three: an id is coded as the order-2 guess, the order-1 guess, or by order 0, in one interval.
+Model, in each block from the same start: order 2 and order 1 remember, for the two ids before and for the id before, the
+id that last followed them and how often it held; a slot of order 2 checks its context. Order 0 counts the ids, from
+start counts in the shard's header on, in two levels of binary indexed sums. In each state (what the two orders know,
+how sure they are, whether they agree) adaptive shares mix the three: an id is coded as what order 2 or order 1 expects,
+or by order 0. Every id moves the shares, the memories and the counts.
 
-Coder: a range coder whose carries are resolved after the fact. All blocks of a shard advance in step, one id per block
-at a time, so that numpy works on vectors over blocks; encoder and decoder share the model's code.
+Coder: a 56-bit range coder whose carries are added to the bytes already written. It runs as a JVM user function, as an id
+at a time is what vectors are slow at: TokenCoder.java is compiled by the compiler that Spark itself generates code with,
+and added to the session as a jar.
 
-Shard (one row): `doc_ids`, `doc_tokens`, and `payload` =
-  b"SLR1", u32 blocks, u32 ids per block, u64 ids, u32 bytes of the header table, zlib(u16 frequency per id),
-  then per block u32 crc32 of its ids (little-endian u32), u32 words, and last all blocks' u16 words.
+Shard (one row): `doc_ids`, `doc_tokens`, and `payload`, all integers little-endian:
+  u32 "SLR2", u32 blocks, u32 ids per block, u64 ids, u32 vocabulary, u32 bytes of the header table, zlib(u32 start count
+  per id), then per block u32 crc32 of its ids (as u32) and u32 bytes, and last the bytes of all blocks.
 
 Edge cases: a null or empty text is the end id alone; repeated rows, rows that share a doc_id (ordered by text) and a
 null doc_id (first) are written like others; a text of any length is in one shard, over as many blocks as it needs; an
@@ -24,290 +26,108 @@ shards.
 
 from __future__ import annotations
 
-import struct
-import zlib
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, partitions
 from .tokens import memo, text_batches
 
 END_ID = 2
-BLOCK_IDS, SHARD_IDS = 4096, 1 << 22
-MAGIC = b"SLR1"
-CLASSES, IN_CLASS, CLASS_TOTAL = 64, 4096, 2048
-SLOTS, REFRESH, LEARN = 2048, 32, 24
-_U = np.uint64
-_TOP, _LOW = _U(46), _U(1 << 46)
-_SHARD = "part long, seq long, n_ids long, doc_ids array<long>, doc_tokens array<long>, payload binary"
-
-
-def _quantised(counts: np.ndarray) -> np.ndarray:
-    """Per id a frequency; those of a class of ids sum to IN_CLASS, and an id that occurs has at least 1."""
-    width = len(counts) // CLASSES
-    freq = np.zeros(len(counts), np.int64)
-    for c in range(CLASSES):
-        part = counts[c * width : (c + 1) * width]
-        total, used = int(part.sum()), np.flatnonzero(part)
-        if not total:
-            continue
-        f = 1 + part[used] * (IN_CLASS - len(used)) // total
-        f[np.argmax(f)] += IN_CLASS - int(f.sum())
-        freq[c * width + used] = f
-    return freq
-
-
-class _Model:
-    """Predictions for one id of every block at a time."""
-
-    def __init__(self, lanes: int, freq: np.ndarray, mass: np.ndarray):
-        self.lanes, self.width = lanes, len(freq) // CLASSES
-        self.freq = freq.astype(_U)
-        by_class = freq.reshape(CLASSES, self.width)
-        self.below = (np.cumsum(by_class, 1) - by_class).reshape(-1).astype(_U)
-        self.inverse = np.zeros(CLASSES * IN_CLASS, np.int64)
-        for c in range(CLASSES):
-            ids = np.repeat(np.arange(c * self.width, (c + 1) * self.width), by_class[c])
-            self.inverse[c * IN_CLASS : c * IN_CLASS + len(ids)] = ids
-        self.at = np.arange(lanes, dtype=np.int64)
-        self.one, self.two = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.hit = np.full(lanes * 10, 32768, np.int64)
-        self.counts = np.tile(mass, (lanes, 1))
-        self.flat = self.counts.reshape(-1)
-        self.cum = np.zeros((lanes, CLASSES + 1), np.int64)
-        self.cum_flat = self.cum.reshape(-1)
-        self.p1 = self.p2 = np.zeros(lanes, np.int64)
-        self.steps = 0
-
-    def predict(self) -> None:
-        if self.steps % REFRESH == 0:
-            total = self.counts.sum(1, keepdims=True)
-            np.cumsum(1 + self.counts * (CLASS_TOTAL - CLASSES) // total, 1, out=self.cum[:, 1:])
-            self.cum[:, CLASSES] = CLASS_TOTAL
-            if int(total.max()) > 1 << 16:
-                self.counts -= self.counts >> 1
-        self.steps += 1
-        slot1 = ((self.p1 * 40503) >> 5) & (SLOTS - 1)
-        slot2 = ((self.p1 * 40503 + self.p2 * 60493) >> 6) & (SLOTS - 1)
-        self.i1, self.i2 = self.at * SLOTS + slot1, self.at * SLOTS + slot2
-        self.g1, self.g2 = self.one[self.i1].astype(np.int64) - 1, self.two[self.i2].astype(np.int64) - 1
-        seen1, seen2, same = self.g1 >= 0, self.g2 >= 0, self.g1 == self.g2
-        context = np.where(seen2, np.where(same, 4, np.where(seen1, 3, 2)), np.where(seen1, 1, 0))
-        self.h2 = self.at * 10 + context * 2
-        self.free1 = seen1 & ~same
-        self.seen2 = seen2
-        p2, p1 = np.clip(self.hit[self.h2] >> 4, 32, 4032), np.clip(self.hit[self.h2 + 1] >> 4, 32, 4032)
-        self.w2 = np.where(seen2, p2, 0)
-        self.w1 = np.where(self.free1, np.maximum(1, ((4096 - self.w2) * p1) >> 12), 0)
-        self.w0 = 4096 - self.w2 - self.w1
-
-    def update(self, ids, as2, as1) -> None:
-        h2, hit = self.h2, self.hit
-        old = hit[h2]
-        hit[h2] = np.where(self.seen2, old + ((as2 * 65535 - old) >> 5), old)
-        old = hit[h2 + 1]
-        hit[h2 + 1] = np.where(self.free1 & ~as2, old + ((as1 * 65535 - old) >> 5), old)
-        self.flat[self.at * CLASSES + ids // self.width] += LEARN
-        self.one[self.i1] = ids + 1
-        self.two[self.i2] = ids + 1
-        self.p2, self.p1 = self.p1, ids
-
-    def interval(self, ids, as2, as1):
-        """Lower end and width of the ids' intervals, in 2**35ths; a guess's interval stands for it alone."""
-        c = self.at * (CLASSES + 1) + ids // self.width
-        lower = self.cum_flat[c]
-        wide = (self.cum_flat[c + 1] - lower).astype(_U)
-        w2, w1, w0 = self.w2.astype(_U), self.w1.astype(_U), self.w0.astype(_U)
-        cum = ((w2 + w1) << _U(23)) + w0 * ((lower.astype(_U) << _U(12)) + wide * self.below[ids])
-        cum = np.where(as2, _U(0), np.where(as1, w2 << _U(23), cum))
-        freq = np.where(as2, w2 << _U(23), np.where(as1, w1 << _U(23), w0 * wide * self.freq[ids]))
-        return cum, freq
-
-    def guesses(self, ids):
-        as2 = self.seen2 & (ids == self.g2)
-        return as2, self.free1 & (ids == self.g1) & ~as2
-
-    def find(self, value):
-        """ids whose intervals hold value."""
-        q = (value >> _U(23)).astype(np.int64)
-        as2 = q < self.w2
-        as1 = ~as2 & (q < self.w2 + self.w1)
-        rest = np.where(as2 | as1, _U(0), value - ((self.w2 + self.w1).astype(_U) << _U(23))) // self.w0.astype(_U)
-        v = (rest >> _U(12)).astype(np.int64)
-        low, size = np.zeros(self.lanes, np.int64), CLASSES
-        base = self.at * (CLASSES + 1)
-        while size > 1:
-            size //= 2
-            low += np.where(self.cum_flat[base + low + size] <= v, size, 0)
-        lower = self.cum_flat[base + low]
-        wide = self.cum_flat[base + low + 1] - lower
-        inner = (rest.astype(np.int64) - (lower << 12)) // wide
-        ids = self.inverse[low * IN_CLASS + inner]
-        return np.where(as2, self.g2, np.where(as1, self.g1, ids)), as2, as1
-
-
-def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> bytes:
-    ids = np.ascontiguousarray(ids, np.int64)
-    n = len(ids)
-    block = max(1, min(block_ids, max(256, n // 512), n))
-    lanes = -(-n // block)
-    size = -(-vocabulary // CLASSES) * CLASSES
-    counts = np.bincount(ids, minlength=size)
-    freq = _quantised(counts)
-    mass = _mass(freq)
-    table = zlib.compress(freq.astype("<u2").tobytes(), 6)
-    head = MAGIC + struct.pack("<IIQI", lanes, block, n, len(table)) + table
-    if not n:
-        return head
-    grid = np.full(lanes * block, ids[-1], np.int64)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model = _Model(lanes, freq, mass)
-    low, wide = np.zeros(lanes, _U), np.full(lanes, 1 << 62, _U)
-    out, at = np.zeros((lanes, block + 64), np.uint32), np.zeros(lanes, np.int64)
-    for t in range(block):
-        if t % 64 == 0 and int(at.max()) + 3 * 64 + 8 > out.shape[1]:
-            out = np.concatenate([out, np.zeros((lanes, block // 2 + 256), np.uint32)], 1)
-        x = grid[t]
-        model.predict()
-        as2, as1 = model.guesses(x)
-        cum, freq_x = model.interval(x, as2, as1)
-        r = wide >> _U(35)
-        low += r * cum
-        wide = r * freq_x
-        model.update(x, as2, as1)
-        go = np.flatnonzero(wide < _LOW)
-        while len(go):
-            out[go, at[go]] = (low[go] >> _TOP).astype(np.uint32)
-            at[go] += 1
-            low[go] = (low[go] & (_LOW - _U(1))) << _U(16)
-            wide[go] <<= _U(16)
-            go = go[wide[go] < _LOW]
-    rows = np.arange(lanes)
-    if int(at.max()) + 4 > out.shape[1]:
-        out = np.concatenate([out, np.zeros((lanes, 8), np.uint32)], 1)
-    for _ in range(4):
-        out[rows, at] = (low >> _TOP).astype(np.uint32)
-        at += 1
-        low = (low & (_LOW - _U(1))) << _U(16)
-    carry = np.zeros(lanes, np.uint32)
-    for k in range(int(at.max()) - 1, -1, -1):
-        column = out[:, k] + carry
-        out[:, k] = column & 0xFFFF
-        carry = column >> 16
-    u4 = ids.astype("<u4")
-    sums = [zlib.crc32(u4[b * block : (b + 1) * block].data) for b in range(lanes)]
-    words = np.stack([np.array(sums, "<u4"), at.astype("<u4")], 1).tobytes()
-    inside = np.arange(out.shape[1])[None, :] < at[:, None]
-    return head + words + out[inside].astype("<u2").tobytes()
-
-
-def _mass(freq: np.ndarray) -> np.ndarray:
-    """Start counts of the classes: those with ids weigh alike."""
-    return np.where(freq.reshape(CLASSES, -1).sum(1) > 0, 16, 0).astype(np.int64)
-
-
-def decode(payload: bytes) -> np.ndarray:
-    """The ids as u32; raises ValueError for a block whose checksum doesn't match."""
-    if payload[:4] != MAGIC:
-        raise ValueError("not a token-ID shard")
-    lanes, block, n, table = struct.unpack_from("<IIQI", payload, 4)
-    at = 24 + table
-    freq = np.frombuffer(zlib.decompress(payload[24:at]), "<u2").astype(np.int64)
-    if not n:
-        return np.zeros(0, "<u4")
-    index = np.frombuffer(payload, "<u4", 2 * lanes, at).reshape(lanes, 2).astype(np.int64)
-    words = np.frombuffer(payload, "<u2", -1, at + 8 * lanes)
-    if len(words) != int(index[:, 1].sum()):
-        raise ValueError("a shard is cut short")
-    first = np.cumsum(index[:, 1]) - index[:, 1]
-    padded = np.concatenate([words, np.zeros(8, "<u2")]).astype(_U)
-    # A 62-bit window: three words and the upper 14 bits of a fourth; later words follow 2 bits late.
-    late = ((padded[:-1] & _U(3)) << _U(14)) | (padded[1:] >> _U(2))
-    off = (padded[first] << _TOP) | (padded[first + 1] << _U(30)) | (padded[first + 2] << _U(14)) | (padded[first + 3] >> _U(2))
-    pos, last = first + 3, len(late) - 1
-    model = _Model(lanes, freq, _mass(freq))
-    wide = np.full(lanes, 1 << 62, _U)
-    grid = np.empty((block, lanes), np.int64)
-    most = _U((1 << 35) - 1)
-    for t in range(block):
-        model.predict()
-        r = wide >> _U(35)
-        x, as2, as1 = model.find(np.minimum(off // r, most))
-        cum, freq_x = model.interval(x, as2, as1)
-        off -= r * cum
-        wide = r * freq_x
-        model.update(x, as2, as1)
-        grid[t] = x
-        go = np.flatnonzero(wide < _LOW)
-        while len(go):
-            off[go] = (off[go] << _U(16)) | late[np.minimum(pos[go], last)]
-            pos[go] += 1
-            wide[go] <<= _U(16)
-            go = go[wide[go] < _LOW]
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
-    for b in range(lanes):
-        if zlib.crc32(ids[b * block : (b + 1) * block].data) != index[b, 0]:
-            raise ValueError(f"block {b} of a shard is damaged")
-    return ids
+BLOCK_IDS, SHARD_IDS = 1 << 16, 1 << 22
+FUNCTIONS = {"Encode": "binary", "Decode": "binary", "Documents": "array<struct<inside:bigint,n_tokens:bigint,ids_crc32:bigint>>"}
+_IDS = "part long, seq long, n_ids long, doc_ids array<long>, doc_tokens array<long>, width int, vocabulary int, ids binary"
+_added: set[str] = set()
+_compiled = None
+
+
+def coder(spark: SparkSession) -> dict[str, str]:
+    """Names of the session's functions; compiles them once per driver and adds their jar once per application."""
+    global _compiled
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    if _compiled is None or spark.sparkContext.applicationId not in _added:
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook((Path(__file__).parent / "TokenCoder.java").read_text())
+        folder = tempfile.mkdtemp(prefix="siteloom-jar-")
+        atexit.register(shutil.rmtree, folder, True)
+        code = compiler.getBytecodes()
+        with zipfile.ZipFile(f"{folder}/siteloom-coder.jar", "w") as jar:
+            for name in code:
+                jar.writestr(name.replace(".", "/") + ".class", bytes(code[name]))
+        spark.sql(f"ADD JAR '{folder}/siteloom-coder.jar'")
+        _compiled = compiler.getClassLoader()
+        _added.add(spark.sparkContext.applicationId)
+    names = {}
+    for name, returns in FUNCTIONS.items():
+        made = _compiled.loadClass(f"siteloom.TokenCoder${name}").getDeclaredConstructor(gateway.new_array(jvm.Class, 0)).newInstance(gateway.new_array(jvm.Object, 0))
+        names[name] = f"siteloom_token_{name.lower()}"
+        spark._jsparkSession.udf().register(names[name], made, jvm.org.apache.spark.sql.types.DataType.fromDDL(returns))
+    return names
+
+
+def encoded(spark: SparkSession, ids: Column, width: Column, vocabulary: Column, block_ids: int = BLOCK_IDS) -> Column:
+    return F.call_function(coder(spark)["Encode"], ids, width, vocabulary, F.lit(block_ids))
+
+
+def decoded(spark: SparkSession, payload: Column) -> Column:
+    """All ids of a shard as little-endian 32-bit integers."""
+    return F.call_function(coder(spark)["Decode"], payload)
 
 
 def _writer(path: str, end_id: int, shard_ids: int):
-    schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary())])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", longs), ("doc_tokens", longs),
+                        ("width", pa.int32()), ("vocabulary", pa.int32()), ("ids", pa.binary())])
 
     def write(batches):
         tokenizer, part = memo(path), TaskContext.get().partitionId()
-        vocabulary, end = tokenizer.tokenizer.get_vocab_size(with_added_tokens=True), np.array([end_id], tokenizer.dtype).tobytes()
-        seq, docs, sizes, held = 0, [], [], []
+        vocabulary, width = tokenizer.tokenizer.get_vocab_size(with_added_tokens=True), tokenizer.dtype.itemsize
+        end = np.array([end_id], tokenizer.dtype).tobytes()
+        seq, n, docs, sizes, held = 0, 0, [], [], []
 
         def row():
-            ids = np.frombuffer(b"".join(held), tokenizer.dtype)
-            return pa.record_batch([[part], [seq], [len(ids)], [docs], [sizes], [encode(ids, vocabulary)]], schema=schema)
+            return pa.record_batch([[part], [seq], [n], [docs], [sizes], [width], [vocabulary], [b"".join(held)]], schema=schema)
 
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in text_batches(texts):
                 for i, x in zip(ids[a:b], tokenizer.encode(texts[a:b])):
                     docs.append(i)
-                    held.append(x + end)
-                    sizes.append(len(held[-1]) // tokenizer.dtype.itemsize)
-                if sum(sizes) >= shard_ids:
+                    held += (x, end)
+                    sizes.append(len(x) // width + 1)
+                    n += sizes[-1]
+                if n >= shard_ids:
                     yield row()
-                    seq, docs, sizes, held = seq + 1, [], [], []
+                    seq, n, docs, sizes, held = seq + 1, 0, [], [], []
         if docs:
             yield row()
 
     return write
 
 
-def write_files(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_files(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, block_ids: int = BLOCK_IDS) -> DataFrame:
     """The kept table of shards in ascending doc_id order: by part, then seq."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return keep(rows.mapInArrow(_writer(path, end_id, shard_ids), _SHARD), "shards")
-
-
-def _reader(batches):
-    names = ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"]
-    for batch in batches:
-        for part, seq, docs, sizes, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "doc_ids", "doc_tokens", "payload"))):
-            ids = decode(payload)
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            crc = [zlib.crc32(ids[a:b].data) for a, b in zip(starts.tolist(), ends.tolist())]
-            n = len(docs)
-            cols = [pa.array([part] * n, pa.int64()), pa.array([seq] * n, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.record_batch(cols, names=names)
+    rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    raw = rows.mapInArrow(_writer(path, end_id, shard_ids), _IDS)
+    payload = encoded(spark, F.col("ids"), F.col("width"), F.col("vocabulary"), block_ids)
+    return keep(raw.select("part", "seq", "n_ids", "doc_ids", "doc_tokens", payload.alias("payload")), "shards")
 
 
 def read_files(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 as decoded from the shards."""
-    rows = shards.select("part", "seq", "doc_ids", "doc_tokens", "payload").mapInArrow(
-        _reader, "part long, seq long, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    found = F.call_function(coder(shards.sparkSession)["Documents"], F.col("payload"), F.col("doc_tokens"))
+    rows = shards.select("part", "seq", F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), found.alias("found"))))
+    rows = rows.select("part", "seq", "doc_id", "found.*")
     sizes = shards.select("part", "seq", "n_ids")
     earlier = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("__n"))

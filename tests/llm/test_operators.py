@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siteloom.llm import chosen_path, fingerprints, line_dedup, mixing, packing, pii, quality, range_coder, separator_scan, shingles, tokens, toxicity
@@ -107,14 +108,24 @@ def test_remembered_ids_equal_the_library(path):
         assert [np.frombuffer(x, m.dtype).tolist() for x in m.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
-def test_range_coder_round_trip_and_checksums():
-    ids = np.random.default_rng(1).zipf(1.3, 20_000) % 49_408
-    for n in (0, 1, 2, 300, 20_000):
-        assert (range_coder.decode(range_coder.encode(ids[:n], 49_408)) == ids[:n]).all()
-    bad = bytearray(range_coder.encode(ids, 49_408))
-    bad[-40] ^= 255
-    with pytest.raises(ValueError):
-        range_coder.decode(bytes(bad))
+def test_range_coder_round_trip_and_checksums(spark):
+    rng = np.random.default_rng(1)
+    zipf, flat, same = rng.zipf(1.3, 20_000) % 49_408, rng.integers(0, 49_408, 9_000), np.full(5_000, 7)
+    cases = [(ids, width, vocabulary) for ids in (zipf[:0], zipf[:1], zipf[:2], zipf[:300], zipf, flat, same) for width, vocabulary in ((2, 49_408), (4, 200_000))]
+    rows = [(i, bytearray(ids.astype(f"<u{width}").tobytes()), width, vocabulary) for i, (ids, width, vocabulary) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, ids binary, width int, vocabulary int")
+    for block_ids in (1000, 1 << 16):
+        got = df.select("i", range_coder.encoded(spark, F.col("ids"), F.col("width"), F.col("vocabulary"), block_ids).alias("p"))
+        back = {r.i: np.frombuffer(r.b, "<u4") for r in got.select("i", range_coder.decoded(spark, F.col("p")).alias("b")).collect()}
+        assert all((back[i] == ids).all() and len(back[i]) == len(ids) for i, (ids, _, _) in enumerate(cases))
+    sizes = {r.i: len(r.p) for r in got.collect()}
+    assert sizes[8] < 2 * 20_000 and sizes[12] < 400
+    good = got.where("i = 8").first().p
+    for at in (-40, len(good) // 2, 2):
+        bad = bytearray(good)
+        bad[at] ^= 255
+        with pytest.raises(Exception, match="damaged|not a token-ID|incorrect"):
+            spark.createDataFrame([(bad,)], "p binary").select(range_coder.decoded(spark, F.col("p"))).collect()
 
 
 def test_packed_pieces_hold_each_id_once():
