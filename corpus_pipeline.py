@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siteloom.llm import chosen_path, line_dedup, mixing, packing, toxicity
-from siteloom.llm.common import keep
+from siteloom.llm.common import new_path, release, scope
 from siteloom.llm.queries import BYTE_BPE
 
 
@@ -47,14 +47,23 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_windows),
 ]
-#: SQL cannot train the classifier or run the tokenizer; no test holds the stages against brute force yet.
+#: SQL cannot train the classifier or run the tokenizer; tests/llm/test_pipeline.py holds the stages against plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = keep(docs, f"stage-{name}")
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        # What a stage kept on its way goes when its own table is written.
+        path = new_path(spark, f"stage-{name}")
+        with scope():
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        docs.kept_path = path
+        if last is not None:
+            release(last)
+        last = docs
     return docs
