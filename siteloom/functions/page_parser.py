@@ -17,6 +17,11 @@ HIDDEN = frozenset(("script", "style", "noscript", "template"))
 MAX_HEADINGS, MAX_LEVELS, MAX_ANCHOR, MAX_OUTLINKS, MAX_HREFLANG = 20, 200, 200, 1000, 300
 
 
+_LINK_SIGNALS = ("internal_link_count", "external_link_count", "internal_nofollow_count", "unsafe_cross_origin_links", "outlinks", "image_count",
+                 "missing_alt_count", "images_missing_dimensions", "insecure_link_count")
+_LOW = {i: i + 32 for i in range(65, 91)}
+
+
 def _has(rel: str | None, value: str) -> bool:
     return value in (rel or "").lower().split()
 
@@ -149,8 +154,10 @@ def minified_bytes(html: str) -> int:
     return len(" ".join(re.sub(r"<!--.*?(-->|\Z)", "", html, flags=re.S).split()).encode())
 
 
-def parse(html: str | None, url: str) -> dict:
+def parse(html: str | None, url: str, wanted=None) -> dict:
+    """The signals of a page, or those of them that are wanted; what is costly is only computed if it is."""
     html = html or ""
+    need = lambda *names: wanted is None or any(n in wanted for n in names)
     r = _Reader()
     r.feed(html)
     r.finish()
@@ -164,7 +171,7 @@ def parse(html: str | None, url: str) -> dict:
     flat = " ".join(words)
     internal = external = nofollow = unsafe = insecure = 0
     outlinks = []
-    for a, text, image in r.anchors:
+    for a, text, image in r.anchors if need(*_LINK_SIGNALS) else ():
         to = resolve(base, a.get("href"))
         if not to:
             continue
@@ -178,7 +185,7 @@ def parse(html: str | None, url: str) -> dict:
         else:
             external += 1
             unsafe += a.get("target", "").strip().lower() == "_blank" and not (_has(a.get("rel"), "noopener") or _has(a.get("rel"), "noreferrer"))
-    images = [i for i in r.images if resolve(base, i.get("src"))]
+    images = [i for i in r.images if resolve(base, i.get("src"))] if need(*_LINK_SIGNALS) else []
     insecure += sum(https and resolve(base, i["src"]).startswith("http:") for i in images)
     canonical = [x for x in r.links if _has(x.get("rel"), "canonical") and "href" in x]
     hreflang = [x for x in r.links if _has(x.get("rel"), "alternate") and "hreflang" in x]
@@ -194,8 +201,8 @@ def parse(html: str | None, url: str) -> dict:
     h1, h2 = [t for n, t in r.heads if n == 1 and t], [t for n, t in r.heads if n == 2 and t]
     title, meta = next((t for t in r.titles if t), None), named("description")
     size = len(html.encode())
-    saved = (1 - minified_bytes(html) / size) * 100 if size else 0.0
-    return {
+    saved = (1 - minified_bytes(html) / size) * 100 if size and need("minify_savings_pct", "is_minified") else 0.0
+    out = {
         "title": title, "title_length": len(title or ""), "title_count": len(r.titles),
         "meta_description": next((m for m in meta if m), None), "meta_description_length": len(next((m for m in meta if m), "")), "meta_description_count": len(meta),
         "h1": h1[0] if h1 else None, "h1_count": len(h1), "h1_values": h1[:MAX_HEADINGS], "h2_count": len(h2), "h2_values": h2[:MAX_HEADINGS],
@@ -208,8 +215,8 @@ def parse(html: str | None, url: str) -> dict:
         "canonical_is_relative": bool(canonical) and not canonical[0]["href"].strip().lower().startswith(("http://", "https://")),
         "pagination_next": paged["next"], "pagination_prev": paged["prev"], "lang": r.lang,
         "hreflang_values": [x["hreflang"] for x in hreflang], "hreflang_links": hlinks[:MAX_HREFLANG],
-        "word_count": len(words), "content_hash": hashlib.sha256("".join(c.lower() if c.isascii() else c for c in flat).encode()).hexdigest() if flat else "",
-        "content_simhash": simhash(body), "has_lorem_ipsum": "lorem ipsum" in flat.lower(),
+        "word_count": len(words), "content_hash": hashlib.sha256(flat.translate(_LOW).encode()).hexdigest() if flat and need("content_hash") else "",
+        "content_simhash": simhash(body) if need("content_simhash") else "", "has_lorem_ipsum": "lorem ipsum" in flat.lower(),
         "internal_link_count": internal, "external_link_count": external, "internal_nofollow_count": nofollow, "unsafe_cross_origin_links": unsafe,
         "outlinks": outlinks, "image_count": len(images), "missing_alt_count": sum("alt" not in i for i in images),
         "images_missing_dimensions": sum("width" not in i or "height" not in i for i in images), "insecure_link_count": insecure,
@@ -217,6 +224,7 @@ def parse(html: str | None, url: str) -> dict:
         "html_size_bytes": size, "minify_savings_pct": saved, "is_minified": saved < 10,
         "text_ratio_pct": len(body.encode()) / size * 100 if size else 0.0, "structured_data_types": types, "structured_data_errors": errors,
     }
+    return out if wanted is None else {k: v for k, v in out.items() if k in wanted}
 
 
 __all__ = ["parse", "normalise"]

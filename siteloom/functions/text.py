@@ -22,12 +22,18 @@ WIDTHS = (
 )
 #: Anchor texts that say nothing. Fixed values.
 EMPTY_WORDS = ("click here", "here", "read more", "more", "learn more", "this", "link", "this link", "go", "continue", "details")
+#: What a page that stands for a missing one says. Fixed pattern.
 SOFT_404 = r"(?i)\b(?:404|page not found|not found|page (?:does not|doesn't) exist|no longer (?:exists|available))\b"
 VALUED = ("max-snippet", "max-image-preview", "max-video-preview", "unavailable_after")
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 BLANK = "(?U)^\\s+|\\s+$"
 
 
+def ascii_low(c: Column) -> Column:
+    """A-Z to a-z and nothing else."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def strip(c: Column) -> Column:
     """Without any Unicode white space at the ends (trim() only takes spaces)."""
     return F.regexp_replace(c, BLANK, "")

@@ -35,8 +35,41 @@ class Rule:
 
     @property
     def label(self) -> str:
-        words = "".join(f" {c.lower()}" if c.isupper() else c for c in self.key)
-        return words[:1].upper() + words[1:]
+        return LABELS[self.key]
+
+
+#: What the report calls each rule. Fixed values.
+LABELS = {
+    "4xx5xx": "4xx/5xx/Error", "blockedByRobots": "Blocked by robots.txt",
+    "missingTitle": "Missing title", "duplicateTitles": "Duplicate titles", "titleTooShort": "Title too short", "titleTooLong": "Title too long",
+    "titleOverPixels": f"Title over {TITLE_MAX_PX} px", "titleUnderPixels": f"Title below {TITLE_MIN_PX} px", "titleSameAsH1": "Title same as H1", "multipleTitles": "Multiple titles",
+    "missingMeta": "Missing meta desc.", "duplicateMeta": "Duplicate meta desc.", "metaTooLong": f"Meta desc. over {META_MAX} chars", "metaTooShort": f"Meta desc. below {META_MIN} chars",
+    "metaOverPixels": f"Meta desc. over {META_MAX_PX} px", "metaUnderPixels": f"Meta desc. below {META_MIN_PX} px", "multipleMetaDescriptions": "Multiple meta desc.",
+    "h1Issues": "H1 issues", "h1TooLong": f"H1 over {HEADING_MAX} chars", "duplicateH1": "Duplicate H1", "missingH2": "Missing H2", "multipleH2": "Multiple H2", "duplicateH2": "Duplicate H2",
+    "h2TooLong": f"H2 over {HEADING_MAX} chars", "nonSequentialHeadings": "Non-sequential headings", "duplicateContent": "Duplicate content", "loremIpsum": "Lorem ipsum placeholder",
+    "soft404": "Soft 404 pages", "nearDuplicateContent": "Near-duplicate content", "lowTextRatio": "Low text/HTML ratio", "lowWordCount": f"Low content (<{LOW_WORDS} words)",
+    "missingAlt": "Missing alt text", "nofollowLinks": "Nofollow links", "unminified": "Unminified pages",
+    "multipleCanonical": "Multiple canonical tags", "brokenCanonicalTarget": "Canonical points to broken page", "missingCanonical": "Missing canonical",
+    "canonicalIsRelative": "Relative canonical URL", "canonicalised": "Canonicalised", "canonicalToNonIndexable": "Canonical to non-indexable page", "canonicalToRedirect": "Canonical to redirect",
+    "directiveNoindex": "Noindex directive", "directiveNofollow": "Nofollow directive", "directiveNone": "None directive", "xRobotsTagPresent": "Directives in X-Robots-Tag",
+    "redirectChainTooLong": "Long redirect chains", "internalRedirect": "Internal redirects", "redirectToError": "Redirects to a non-200 page", "metaRefresh": "Meta refresh",
+    "paginationTargetError": "Pagination to non-200 or uncrawled URL", "orphanPage": "Orphan pages (sitemap only)", "deepPage": f"Deep pages (depth >{DEEP})",
+    "sitemapNonIndexable": "Non-indexable URLs in sitemap", "sitemapNon200": "Non-200 URLs in sitemap", "notInSitemap": "Indexable URLs not in sitemap",
+    "nonDescriptiveAnchors": "Non-descriptive anchor text", "emptyAnchors": "Links with empty anchor text", "singleInlink": "Only one inlink", "linksToErrorPages": "Links to non-200 pages",
+    "noInternalOutlinks": "No internal outlinks", "highInternalOutlinks": f"Over {HIGH_INTERNAL:,} internal outlinks", "highExternalOutlinks": f"Over {HIGH_EXTERNAL} external outlinks",
+    "outlinksToLocalhost": "Links to localhost", "slowResponse": f"Slow response (>{SLOW_MS}ms)", "largeHtml": "Large HTML (>1 MB)", "largeImage": "Large images (>100 KB)",
+    "imageMissingDimensions": "Images missing width/height", "missingSocialTags": "Missing OG/Twitter tags", "missingViewport": "Missing viewport tag", "mobileUsabilityIssues": "Mobile usability issues",
+    "jsChangesTitle": "JavaScript changes the title", "jsChangesCanonical": "JavaScript changes the canonical", "jsChangesRobots": "JavaScript changes meta robots",
+    "jsAddsMostContent": f"Most content added by JavaScript (raw under {RAW_WORDS * 100:.0f}% of words)", "jsAddsLinks": f"JavaScript adds internal links (over {RAW_LINKS})",
+    "structuredDataErrors": "Invalid structured data", "missingStructuredData": "No structured data", "accessibilityIssues": "Accessibility violations",
+    "broken": "Broken links/images", "insecureLinks": "Insecure links", "httpUrl": "Page served over HTTP", "unsafeCrossOriginLinks": "Unsafe cross-origin links", "missingHsts": "Missing HSTS",
+    "mixedContent": "Mixed content", "missingCsp": "Missing CSP", "missingFrameOptions": "Missing X-Frame-Options", "missingContentTypeOptions": "Missing X-Content-Type-Options",
+    "missingReferrerPolicy": "Missing Referrer-Policy", "missingLang": "Missing lang attr.", "missingHreflang": "Missing hreflang", "hreflangMissingReturn": "Hreflang missing return link",
+    "hreflangMissingSelf": "Hreflang missing self-reference", "hreflangMissingXDefault": "Hreflang missing x-default", "hreflangInvalidCode": "Invalid hreflang code",
+    "hreflangTargetError": "Hreflang to non-200/non-indexable", "urlUppercase": "Uppercase in URL", "urlUnderscores": "Underscores in URL", "urlParameters": "URL has parameters",
+    "urlOver115": f"URL over {URL_MAX} characters", "urlNonAscii": "Non-ASCII characters in URL", "urlMultipleSlashes": "Multiple slashes in URL", "urlRepetitivePath": "Repetitive path in URL",
+    "urlContainsSpace": "Space in URL", "urlGaTracking": "GA tracking parameters in URL", "urlInternalSearch": "Internal search URL",
+}
 
 
 def _rules(section: str, rows: list[tuple]) -> list[Rule]:
@@ -225,54 +258,84 @@ def iso_codes(spark) -> dict[str, list[str]]:
     return {"languages": [x.lower() for x in locale.getISOLanguages()], "regions": [x.lower() for x in locale.getISOCountries()], "scripts": sorted(s.lower() for s in scripts)}
 
 
-def cross_flags(pages: DataFrame, links: DataFrame, hreflang: DataFrame, near: DataFrame | None = None, list_mode: bool = False) -> DataFrame:
-    """url and the x_ flags of the cross-page rules, each from a join or a window over url or value; a row per page."""
-    html_2xx = (F.col("html_size_bytes") > 0) & F.coalesce((F.col("status") >= 200) & (F.col("status") < 300), F.lit(False)) & (F.size("redirect_chain") == 0)
-    p = pages.select("seq", "url", "status", "redirect_url", "redirect_chain", "indexability", "canonical", "pagination_next", "pagination_prev", "discovered_via_sitemap",
-                     "title", "meta_description", "h1", F.get("h2_values", F.lit(0)).alias("h2"), "content_hash", "html_size_bytes", html_2xx.alias("content"))
+_DUPLICATES = {f"x_duplicate_{n}": n for n in ("title", "meta_description", "h1", "h2", "content_hash")}
+FLAGS = (*_DUPLICATES, "x_canonical_broken", "x_canonical_non_indexable", "x_canonical_redirect", "x_pagination_error", "x_linked", "x_single",
+         "x_links_to_error", "x_hreflang_error", "x_hreflang_no_return", "x_near_duplicate")
+
+
+def last_pages(pages: DataFrame) -> DataFrame:
+    """One row per URL with what a link to it meets; of equal URLs the page crawled last."""
     blocked = F.col("status").isNull() & (F.col("indexability") == "Non-Indexable (robots.txt)")
-    target = p.select(F.col("url").alias("t_url"), F.col("status").alias("t_status"), F.col("indexability").alias("t_index"), F.col("redirect_url").alias("t_redirect"),
-                      (F.size("redirect_chain") > 0).alias("t_chain"), F.col("seq").alias("t_seq"), (F.col("html_size_bytes") > 0).alias("t_html"), blocked.alias("t_blocked"))
+    what = F.struct(
+        F.col("status").alias("t_status"), F.col("indexability").alias("t_index"), F.col("redirect_url").alias("t_redirect"), (F.size("redirect_chain") > 0).alias("t_chain"),
+        F.col("seq").alias("t_seq"), (F.col("html_size_bytes") > 0).alias("t_html"), blocked.alias("t_blocked"))
+    return pages.groupBy(F.col("url").alias("t_url")).agg(F.max_by(what, "seq").alias("t")).select("t_url", "t.*")
+
+
+def cross_flags(pages: DataFrame, links: DataFrame, hreflang: DataFrame, near: DataFrame | None = None, list_mode: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """url and flags, the x_ flags that hold for it; a row per URL that has any. Only joins that the rules named by keys need are made.
+
+    All that the joins compare is one narrow row per page or link; pages' texts and bodies are not read.
+    """
+    wanted = {w for r in REGISTRY if r.cross and (not keys or r.key in keys) for w in re.findall(r"x_\w+", r.test)}
+    html_2xx = (F.col("html_size_bytes") > 0) & F.coalesce((F.col("status") >= 200) & (F.col("status") < 300), F.lit(False)) & (F.size("redirect_chain") == 0)
+    p = pages.withColumns({"h2": F.get("h2_values", F.lit(0)), "content": html_2xx})
     non200 = ~F.col("t_blocked") & (~F.col("t_status").eqNullSafe(200) | F.col("t_chain"))
-    out = p.select("url")
     flags: list[DataFrame] = []
-    for name in ("title", "meta_description", "h1", "h2", "content_hash"):
-        rows = p.where(F.col("content") & (F.coalesce(name, F.lit("")) != ""))
-        often = rows.groupBy(name).agg(F.count("*").alias("k")).where("k > 1").select(name)
-        flags.append(rows.join(often, name, "left_semi").select("url", F.lit(f"x_duplicate_{name}").alias("flag")))
-    canon = p.where("canonical <> url").join(target, F.col("canonical") == F.col("t_url"))
-    for name, test in (
-        ("canonical_broken", F.col("t_status").isNull() | (F.col("t_status") >= 400)), ("canonical_non_indexable", F.col("t_index") != "Indexable"),
-        ("canonical_redirect", F.col("t_status").between(300, 399) | (F.coalesce("t_redirect", F.lit("")) != "")),
-    ):
-        flags.append(canon.where(test).select("url", F.lit(f"x_{name}").alias("flag")))
-    paged = p.select("url", F.explode(F.array_compact(F.array("pagination_next", "pagination_prev"))).alias("to")).join(target, F.col("to") == F.col("t_url"), "left")
-    lost = F.col("t_url").isNull() if not list_mode else F.lit(False)
-    flags.append(paged.where(lost | (F.col("t_url").isNotNull() & (~F.col("t_status").eqNullSafe(200) | F.col("t_chain")))).select("url", F.lit("x_pagination_error").alias("flag")))
-    flags.append(linked_urls(pages, links, hreflang).withColumn("flag", F.lit("x_linked")))
-    flags.append(inlinks(links).where("unique_inlinks = 1").select(F.col("target").alias("url"), F.lit("x_single").alias("flag")))
-    bad_links = links.where("source <> target").join(target, F.col("target") == F.col("t_url")).where(non200)
-    flags.append(bad_links.select(F.col("source").alias("url"), F.lit("x_links_to_error").alias("flag")))
-    source = p.where("html_size_bytes > 0 AND size(redirect_chain) = 0").select(F.col("url").alias("source"), "seq")
-    pairs = hreflang.join(source, "source").join(target, F.col("href") == F.col("t_url"))
-    error = non200 | (~F.col("t_blocked") & (F.col("t_index") != "Indexable"))
-    flags.append(pairs.where(error).select(F.col("source").alias("url"), F.lit("x_hreflang_error").alias("flag")))
-    same = urls.scheme_host(F.col("source")) == urls.scheme_host(F.col("href"))
-    asked = pairs.where(~error & F.col("t_html") & (F.col("source") != F.col("href")) & (same | (F.col("t_seq") < F.col("seq"))))
-    back = hreflang.select(F.col("source").alias("href"), F.col("href").alias("source")).distinct()
-    flags.append(asked.join(back, ["source", "href"], "left_anti").select(F.col("source").alias("url"), F.lit("x_hreflang_no_return").alias("flag")))
-    if near is not None:
-        flags.append(near.select("url", F.lit("x_near_duplicate").alias("flag")))
+
+    def add(name: str, urls_: DataFrame) -> None:
+        flags.append(urls_.select("url", F.lit(name).alias("flag")))
+
+    for flag, name in _DUPLICATES.items():
+        if flag in wanted:
+            rows = p.where(F.col("content") & (F.coalesce(name, F.lit("")) != "")).select("url", name)
+            often = rows.groupBy(name).agg(F.count("*").alias("k")).where("k > 1").select(name)
+            add(flag, rows.join(often, name, "left_semi"))
+    if wanted & {"x_canonical_broken", "x_canonical_non_indexable", "x_canonical_redirect"}:
+        tests = {
+            "x_canonical_broken": F.col("t_status").isNull() | (F.col("t_status") >= 400), "x_canonical_non_indexable": F.col("t_index") != "Indexable",
+            "x_canonical_redirect": F.col("t_status").between(300, 399) | (F.coalesce("t_redirect", F.lit("")) != "")}
+        canon = p.where("canonical <> url").select("url", "canonical").join(last_pages(pages), F.col("canonical") == F.col("t_url"))
+        held = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
+        flags.append(canon.select("url", F.explode_outer(held).alias("flag")).where("flag IS NOT NULL"))
+    if "x_pagination_error" in wanted:
+        paged = p.select("url", F.explode(F.array_compact(F.array("pagination_next", "pagination_prev"))).alias("to")).join(last_pages(pages), F.col("to") == F.col("t_url"), "left")
+        lost = F.col("t_url").isNull() if not list_mode else F.lit(False)
+        add("x_pagination_error", paged.where(lost | (F.col("t_url").isNotNull() & (~F.col("t_status").eqNullSafe(200) | F.col("t_chain")))))
+    if "x_linked" in wanted:
+        add("x_linked", linked_urls(pages, links, hreflang))
+    if "x_single" in wanted or "x_unique_inlinks" in wanted:
+        add("x_single", inlinks(links).where("unique_inlinks = 1").select(F.col("target").alias("url")))
+    if "x_links_to_error" in wanted:
+        bad = last_pages(pages).where(non200).select("t_url")
+        add("x_links_to_error", links.where("source <> target").join(bad, F.col("target") == F.col("t_url"), "left_semi").select(F.col("source").alias("url")).distinct())
+    if wanted & {"x_hreflang_error", "x_hreflang_no_return"}:
+        source = p.where("html_size_bytes > 0 AND size(redirect_chain) = 0").select(F.col("url").alias("source"), "seq")
+        pairs = hreflang.join(source, "source").join(last_pages(pages), F.col("href") == F.col("t_url"))
+        error = non200 | (~F.col("t_blocked") & (F.col("t_index") != "Indexable"))
+        if "x_hreflang_error" in wanted:
+            add("x_hreflang_error", pairs.where(error).select(F.col("source").alias("url")))
+        if "x_hreflang_no_return" in wanted:
+            same = urls.scheme_host(F.col("source")) == urls.scheme_host(F.col("href"))
+            asked = pairs.where(~error & F.col("t_html") & (F.col("source") != F.col("href")) & (same | (F.col("t_seq") < F.col("seq"))))
+            back = hreflang.select(F.col("source").alias("href"), F.col("href").alias("source")).distinct()
+            add("x_hreflang_no_return", asked.join(back, ["source", "href"], "left_anti").select(F.col("source").alias("url")))
+    if near is not None and "x_near_duplicate" in wanted:
+        add("x_near_duplicate", near)
+    if not flags:
+        return pages.sparkSession.createDataFrame([], "url string, flags array<string>")
     every = flags[0]
     for f in flags[1:]:
         every = every.unionByName(f)
-    held = every.groupBy("url").agg(F.collect_set("flag").alias("flags"))
-    used = p.agg(F.coalesce(F.bool_or("discovered_via_sitemap"), F.lit(False)).alias("x_sitemap_used"))
-    out = out.join(held, "url", "left").crossJoin(F.broadcast(used))
-    names = [*(f"x_duplicate_{n}" for n in ("title", "meta_description", "h1", "h2", "content_hash")), "x_canonical_broken", "x_canonical_non_indexable", "x_canonical_redirect",
-             "x_pagination_error", "x_linked", "x_links_to_error", "x_hreflang_error", "x_hreflang_no_return", "x_near_duplicate"]
+    return every.groupBy("url").agg(F.collect_set("flag").alias("flags"))
+
+
+def with_flags(pages: DataFrame, flags: DataFrame) -> DataFrame:
+    """pages with every x_ column; whether a sitemap was used is one value of all pages."""
+    used = pages.agg(F.coalesce(F.bool_or("discovered_via_sitemap"), F.lit(False)).alias("x_sitemap_used"))
+    rows = pages.join(flags, "url", "left").crossJoin(F.broadcast(used))
     has = lambda n: F.coalesce(F.array_contains("flags", n), F.lit(False))
-    return out.select("url", "x_sitemap_used", F.when(has("x_single"), 1).otherwise(0).alias("x_unique_inlinks"), *[has(n).alias(n) for n in names])
+    return rows.withColumns({n: has(n) for n in FLAGS}).withColumn("x_unique_inlinks", F.when(has("x_single"), 1).otherwise(0)).drop("flags")
 
 
 def _page_rules(flags: DataFrame | None, keys: tuple[str, ...] | None = None) -> list[Rule]:
@@ -283,7 +346,7 @@ def _rows_for(pages: DataFrame, flags: DataFrame | None, rules: list[Rule]) -> D
     """seq, url and the macros and flags that the rules name."""
     rows = page_macros(pages)
     if flags is not None:
-        rows = rows.join(flags, "url")
+        rows = with_flags(rows, flags)
     named = set(re.findall(r"\w+", " ".join(r.test for r in rules))) | {"seq", "url"}
     return rows.select(*[c for c in rows.columns if c in named])
 

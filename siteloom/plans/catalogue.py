@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import posts, text, urls
 from ..operators import comments, compare, graph, issues, near_duplicates, search
 from ..sources import simweb
-from ..sources.corpus import corpus_pages
+from ..sources.corpus import corpus_pages, corpus_urls
 from ..sources.schema import complete
 from ..sources.web import detect_technologies, robots_allowed
 from ..streaming.trackers import windowed_counts
@@ -40,33 +40,33 @@ _TITLE = "trim(" + _TEXT.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</t
 
 @query(f"WITH {_FIRST}, t AS (SELECT page_id, {_TITLE} AS title FROM p) SELECT page_id AS seq, title FROM t WHERE title <> '' AND title IN (SELECT title FROM t GROUP BY title HAVING count(*) > 1)")
 def duplicate_titles(spark, sf_dir):
-    pages = corpus_pages(spark, sf_dir).where("title IS NOT NULL").select("seq", "title")
+    pages = corpus_pages(spark, sf_dir, "title").where("title IS NOT NULL").select("seq", "title")
     return pages.join(pages.groupBy("title").agg(F.count("*").alias("k")).where("k > 1").select("title"), "title", "left_semi")
 
 
 @query(f"WITH {_FIRST}, t AS (SELECT length({_TITLE}) AS n FROM p) SELECT (n // 10) * 10 AS bucket, count(*) AS pages FROM t GROUP BY 1")
 def title_length_buckets(spark, sf_dir):
-    return corpus_pages(spark, sf_dir).groupBy((F.floor(F.col("title_length") / 10) * 10).cast("long").alias("bucket")).agg(F.count("*").alias("pages"))
+    return corpus_pages(spark, sf_dir, "title_length").groupBy((F.floor(F.col("title_length") / 10) * 10).cast("long").alias("bucket")).agg(F.count("*").alias("pages"))
 
 
 @query(f"WITH {_FIRST}, h AS (SELECT page_id, regexp_extract_all(html, '(?i)<h([1-6])[\\s>]', 1) AS v FROM p) SELECT page_id AS seq, array_to_string(v[1:200], ',') AS levels, CAST(len(list_filter(v, lambda x: x = '1')) AS BIGINT) AS h1_count, CAST(len(list_filter(v, lambda x: x = '2')) AS BIGINT) AS h2_count FROM h")
 def heading_outline(spark, sf_dir):
-    return corpus_pages(spark, sf_dir).select("seq", F.array_join(F.col("heading_levels").cast("array<string>"), ",").alias("levels"), "h1_count", "h2_count")
+    return corpus_pages(spark, sf_dir, "heading_levels", "h1_count", "h2_count").select("seq", F.array_join(F.col("heading_levels").cast("array<string>"), ",").alias("levels"), "h1_count", "h2_count")
 
 
 @query(f"WITH {_FIRST}, h AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<h([1-6])[\\s>]', 1), lambda x: CAST(x AS INT)) AS v FROM p) SELECT page_id AS seq FROM h WHERE len(list_filter(range(2, len(v) + 1), lambda i: v[i] - v[i-1] > 1)) > 0")
 def heading_skips(spark, sf_dir):
-    return issues.evaluated(corpus_pages(spark, sf_dir), keys=("nonSequentialHeadings",)).where(F.size("issues") > 0).select("seq")
+    return issues.evaluated(corpus_pages(spark, sf_dir, "heading_levels"), keys=("nonSequentialHeadings",)).where(F.size("issues") > 0).select("seq")
 
 
 @query(f"WITH {_FIRST} SELECT page_id AS seq, strlen(html) AS html_size_bytes, floor((1 - strlen(trim(regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\\z)', '', 'g'), '\\s+', ' ', 'g')))::DOUBLE / strlen(html)) * 1000 + 0.5) / 10 AS saved_pct FROM p")
 def html_size_and_minify(spark, sf_dir):
-    return corpus_pages(spark, sf_dir).select("seq", "html_size_bytes", (F.floor(F.col("minify_savings_pct") * 10 + 0.5) / 10).alias("saved_pct"))
+    return corpus_pages(spark, sf_dir, "html_size_bytes", "minify_savings_pct").select("seq", "html_size_bytes", (F.floor(F.col("minify_savings_pct") * 10 + 0.5) / 10).alias("saved_pct"))
 
 
 @query()
 def word_count_audit(spark, sf_dir):
-    return corpus_pages(spark, sf_dir).where("word_count < 200").select("seq", "word_count")
+    return corpus_pages(spark, sf_dir, "word_count").where("word_count < 200").select("seq", "word_count")
 
 
 _PATH = "CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) END"
@@ -83,7 +83,7 @@ _URL_RULES = {
 @query(f"WITH {_FIRST}, u AS (SELECT page_id, url, {_PATH} AS path, {_QUERY} AS q FROM p), v AS (SELECT *, path || q AS pq, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM u) "
        + " UNION ALL ".join(f"SELECT page_id AS seq, '{k}' AS issue_key FROM v WHERE {t}" for k, t in _URL_RULES.items()))
 def url_audit(spark, sf_dir):
-    return issues.exploded(issues.evaluated(corpus_pages(spark, sf_dir), keys=tuple(_URL_RULES)), "seq")
+    return issues.exploded(issues.evaluated(corpus_urls(spark, sf_dir), keys=tuple(_URL_RULES)), "seq")
 
 
 _WIDTH_MAP = "map([" + ", ".join(str(32 + i) for i in range(95)) + "], [" + ", ".join(f"{w}.0" for w in text.WIDTHS) + "])"
@@ -91,12 +91,12 @@ _WIDTH_MAP = "map([" + ", ".join(str(32 + i) for i in range(95)) + "], [" + ", "
 
 @query(f"WITH {_FIRST}, t AS (SELECT page_id, {_TITLE} AS title FROM p) SELECT page_id AS seq, CAST(floor(list_sum(list_transform(regexp_extract_all(title, '(?s).'), lambda c: coalesce({_WIDTH_MAP}[unicode(c)], {sum(text.WIDTHS)}.0 / 95))) * 20 / 1000 + 0.5) AS BIGINT) AS title_px FROM t")
 def title_pixel_width(spark, sf_dir):
-    return corpus_pages(spark, sf_dir).select("seq", text.pixel_width(F.col("title"), 20).alias("title_px"))
+    return corpus_pages(spark, sf_dir, "title").select("seq", text.pixel_width(F.col("title"), 20).alias("title_px"))
 
 
 @query(f"WITH {_FIRST}, h AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, strlen(html) AS n FROM p) SELECT host, count(*) AS pages, CAST(sum(n) AS BIGINT) AS bytes FROM h GROUP BY host")
 def host_rollup(spark, sf_dir):
-    return corpus_pages(spark, sf_dir).groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.sum("html_size_bytes").alias("bytes"))
+    return corpus_pages(spark, sf_dir, "html_size_bytes").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.sum("html_size_bytes").alias("bytes"))
 
 
 @query(f"""WITH {_FIRST}, u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) AS site, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host,
@@ -104,7 +104,7 @@ def host_rollup(spark, sf_dir):
   n AS (SELECT unnest(range(0, len(segs) + 1)) AS level, root, segs FROM u JOIN r USING (host))
   SELECT CASE WHEN level = 0 THEN root ELSE root || '/' || array_to_string(segs[1:level], '/') END AS node, level, count(*) AS total_pages FROM n GROUP BY ALL""")
 def url_tree(spark, sf_dir):
-    return graph.url_tree(corpus_pages(spark, sf_dir)).select("node", "level", "total_pages")
+    return graph.url_tree(corpus_urls(spark, sf_dir)).select("node", "level", "total_pages")
 
 
 @query()
@@ -129,7 +129,7 @@ def issue_long(spark, sf_dir):
 
 @query()
 def outlinks(spark, sf_dir):
-    return graph.edges(corpus_pages(spark, sf_dir))
+    return graph.edges(corpus_pages(spark, sf_dir, "outlinks"))
 
 
 @query("SELECT page_id, array_to_string(list_filter(['__next', '__nuxt', 'data-reactroot', 'data-v-', 'ng-version', 'jquery', 'bootstrap', 'tailwind', 'google-analytics.com', 'googletagmanager.com', 'cloudflare'], lambda s: contains(lower(html), s)), ',') AS found FROM pages")
@@ -205,7 +205,7 @@ def _sim(spark, sf_dir):
 
 def _sim_issues(spark, sf_dir, *keys):
     pages, links, hreflang = _sim(spark, sf_dir)
-    flags = issues.cross_flags(pages, links, hreflang) if not keys or any(issues.BY_KEY[k].cross for k in keys) else None
+    flags = issues.cross_flags(pages, links, hreflang, _near(pages) if "nearDuplicateContent" in keys else None, keys=keys) if any(issues.BY_KEY[k].cross for k in keys) else None
     return issues.exploded(issues.evaluated(pages, flags, keys), "url")
 
 
@@ -235,7 +235,7 @@ _LOCAL = {
     "missingMeta": "sim p WHERE p.status BETWEEN 200 AND 299 AND p.hops = 0 AND p.meta_description IS NULL", "metaTooShort": "sim p WHERE p.meta_description IS NOT NULL AND length(p.meta_description) < 70",
     "h1Issues": "sim p WHERE p.status BETWEEN 200 AND 299 AND p.hops = 0 AND p.h1 IS NULL", "lowWordCount": "sim p WHERE p.status BETWEEN 200 AND 299 AND p.word_count < 200",
     "missingCanonical": "sim p WHERE p.status BETWEEN 200 AND 299 AND p.hops = 0 AND p.canonical IS NULL", "canonicalised": "sim p WHERE p.indexability = 'Canonicalised'",
-    "directiveNoindex": "sim p WHERE p.noindex", "redirectChainTooLong": "sim p WHERE p.hops > 1", "redirectToError": "sim p WHERE p.hops > 0 AND p.status IS DISTINCT FROM 200",
+    "directiveNoindex": "sim p WHERE list_contains(directives, 'noindex')", "redirectChainTooLong": "sim p WHERE p.hops > 1", "redirectToError": "sim p WHERE p.hops > 0 AND p.status IS DISTINCT FROM 200",
     "deepPage": "sim p WHERE p.status IS NOT NULL AND p.depth > 3", "sitemapNonIndexable": "sim p WHERE p.discovered_via_sitemap AND p.indexability <> 'Indexable'",
     "sitemapNon200": "sim p WHERE p.discovered_via_sitemap AND (p.status IS DISTINCT FROM 200 OR p.hops > 0)",
     "nonDescriptiveAnchors": "sim p JOIN links l ON l.source = p.url WHERE lower(l.anchor) IN ('read more', 'click here')", "emptyAnchors": "sim p JOIN links l ON l.source = p.url WHERE l.anchor = ''",
@@ -244,6 +244,48 @@ _LOCAL = {
 }
 
 
+_CONTENT = "p.status BETWEEN 200 AND 299 AND p.hops = 0"
+_PIXELS = f"CAST(floor(list_sum(list_transform(regexp_extract_all(p.{{0}}, '(?s).'), lambda c: coalesce({_WIDTH_MAP}[unicode(c)], {sum(text.WIDTHS)}.0 / 95))) * {{1}} / 1000 + 0.5) AS BIGINT)"
+_CLEAN = "trim(lower(regexp_replace(p.{0}, '\\s+', ' ', 'g')))"
+_COMPARED = "p.status IS NOT NULL AND p.rendered AND p.has_raw"
+_CAPTURED = "p.status IS NOT NULL AND p.captured_headers"
+_NEAR = ("(SELECT a.url FROM (SELECT *, ('0x' || fp_hex)::UBIGINT AS v FROM sim WHERE status = 200 AND hops = 0 AND indexability = 'Indexable') a JOIN "
+         "(SELECT *, ('0x' || fp_hex)::UBIGINT AS v FROM sim WHERE status = 200 AND hops = 0 AND indexability = 'Indexable') b ON a.url <> b.url AND "
+         "(a.v <> b.v AND bit_count(xor(a.v, b.v)::BIT) <= 3 OR a.v = b.v AND a.content_hash <> b.content_hash)) p")
+_LOCAL |= {
+    "titleTooLong": "sim p WHERE length(p.title) > 60", "titleOverPixels": f"sim p WHERE p.title IS NOT NULL AND {_PIXELS.format('title', 20)} > 561",
+    "titleUnderPixels": f"sim p WHERE p.title IS NOT NULL AND {_PIXELS.format('title', 20)} < 200", "titleSameAsH1": f"sim p WHERE p.title IS NOT NULL AND {_CLEAN.format('title')} = {_CLEAN.format('h1')}",
+    "multipleTitles": "sim p WHERE p.title_count > 1", "metaTooLong": "sim p WHERE length(p.meta_description) > 155",
+    "metaOverPixels": f"sim p WHERE p.meta_description IS NOT NULL AND {_PIXELS.format('meta_description', 14)} > 985", "metaUnderPixels": f"sim p WHERE p.meta_description IS NOT NULL AND {_PIXELS.format('meta_description', 14)} < 400",
+    "multipleMetaDescriptions": "sim p WHERE p.meta_description_count > 1", "h1TooLong": "sim p WHERE length(p.h1) > 70",
+    "missingH2": "sim p WHERE p.status BETWEEN 200 AND 299 AND p.h2_count = 0 AND (p.outline <> '' OR p.h1 IS NULL)", "multipleH2": "sim p WHERE p.h2_count > 1",
+    "h2TooLong": "sim p WHERE p.h2_count > 0 AND length(p.h2) > 70", "nonSequentialHeadings": "sim p WHERE regexp_matches(p.outline, '1,[3-6]|2,[4-6]|3,[56]|4,6')", "loremIpsum": f"sim p WHERE {_CONTENT} AND p.has_lorem_ipsum",
+    "soft404": f"sim p WHERE {_CONTENT} AND regexp_matches(lower(coalesce(p.title, '') || ' / ' || coalesce(p.h1, '')), '\\bpage not found\\b|\\b404\\b')", "lowTextRatio": "sim p WHERE p.status IS NOT NULL AND p.text_ratio_pct < 10",
+    "missingAlt": "sim p WHERE p.missing_alt_count > 0", "nofollowLinks": "sim p WHERE p.internal_nofollow_count > 0", "unminified": "sim p WHERE p.status IS NOT NULL AND NOT p.is_minified",
+    "multipleCanonical": "sim p WHERE p.canonical_count > 1", "canonicalIsRelative": f"sim p WHERE {_CONTENT} AND p.canonical_is_relative", "directiveNofollow": "sim p WHERE list_contains(directives, 'nofollow')",
+    "directiveNone": "sim p WHERE list_contains(directives, 'none')", "xRobotsTagPresent": "sim p WHERE regexp_matches(p.x_robots_tag, '[a-z]')", "metaRefresh": "sim p WHERE coalesce(p.meta_refresh, '') <> ''",
+    "noInternalOutlinks": f"sim p WHERE {_CONTENT} AND p.internal_link_count = 0", "highInternalOutlinks": f"sim p WHERE {_CONTENT} AND p.internal_link_count > 1000", "highExternalOutlinks": f"sim p WHERE {_CONTENT} AND p.external_link_count > 10",
+    "slowResponse": "sim p WHERE p.response_time_ms > 600", "largeHtml": "sim p WHERE p.status IS NOT NULL AND p.size > 1048576", "imageMissingDimensions": "sim p WHERE p.images_missing_dimensions > 0",
+    "missingSocialTags": "sim p WHERE p.status IS NOT NULL AND NOT p.has_open_graph AND NOT p.has_twitter_card", "missingViewport": "sim p WHERE p.status IS NOT NULL AND coalesce(p.viewport, '') = ''",
+    "mobileUsabilityIssues": "sim p WHERE p.n_mobile > 0", "accessibilityIssues": "sim p WHERE p.n_axe > 0",
+    "jsChangesTitle": "sim p WHERE p.rendered AND p.has_raw AND trim(regexp_replace(coalesce(p.title, ''), '\\s+', ' ', 'g')) <> coalesce(p.raw_title, '')", "jsChangesCanonical": "sim p WHERE p.rendered AND p.has_raw AND n % 21 = 0 AND p.canonical IS NOT NULL",
+    "jsChangesRobots": "sim p WHERE p.rendered AND p.has_raw AND list_sort(list_filter(meta_directives, lambda x: x NOT IN ('all', 'index', 'follow'))) <> list_sort(list_filter(raw_directives, lambda x: x NOT IN ('all', 'index', 'follow')))",
+    "jsAddsMostContent": "sim p WHERE p.rendered AND p.has_raw AND p.word_count > 0 AND p.raw_words < p.word_count * 0.5", "jsAddsLinks": "sim p WHERE p.rendered AND p.has_raw AND p.internal_link_count > p.raw_links + 5",
+    "structuredDataErrors": "sim p WHERE p.has_data_error", "missingStructuredData": "sim p WHERE p.status IS NOT NULL AND NOT p.has_data_type", "insecureLinks": "sim p WHERE p.insecure_link_count > 0",
+    "httpUrl": f"sim p WHERE {_CONTENT} AND p.url LIKE 'http:%'", "unsafeCrossOriginLinks": f"sim p WHERE {_CONTENT} AND p.unsafe_cross_origin_links > 0", "missingHsts": f"sim p WHERE {_CAPTURED} AND p.url LIKE 'https:%' AND NOT p.hsts",
+    "mixedContent": "sim p WHERE p.url LIKE 'https:%' AND p.mixed_content_count > 0", "missingCsp": f"sim p WHERE {_CAPTURED} AND trim(coalesce(p.content_security_policy, '')) = ''",
+    "missingFrameOptions": f"sim p WHERE {_CAPTURED} AND trim(coalesce(p.x_frame_options, '')) = '' AND NOT contains(lower(coalesce(p.content_security_policy, '')), 'frame-ancestors')",
+    "missingContentTypeOptions": f"sim p WHERE {_CAPTURED} AND trim(lower(coalesce(p.x_content_type_options, ''))) <> 'nosniff'", "missingReferrerPolicy": f"sim p WHERE {_CAPTURED} AND trim(coalesce(p.referrer_policy, '')) = ''",
+    "missingLang": "sim p WHERE p.status IS NOT NULL AND coalesce(p.lang, '') = ''", "missingHreflang": "sim p WHERE p.status IS NOT NULL AND p.url NOT IN (SELECT source FROM hreflang)",
+    "hreflangInvalidCode": "sim p JOIN hreflang h ON h.source = p.url WHERE p.status IS NOT NULL AND p.hops = 0 AND h.lang IN ('en-uk', 'german')",
+    "nearDuplicateContent": _NEAR, "duplicateH2": _DUP.format("h2"),
+    **{k: f"(SELECT url, {_PATH} AS path, {_QUERY} AS q, status, {_PATH} || {_QUERY} AS pq, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS segs FROM sim) p WHERE p.status BETWEEN 200 AND 399 AND ({t})" for k, t in _URL_RULES.items()},
+}
+_DIRECTIVES = "list_distinct(list_filter(list_transform(string_split(lower({0}), ','), lambda x: CASE WHEN regexp_matches(trim(x), '^(max-snippet|max-image-preview|max-video-preview|unavailable_after):') THEN regexp_replace(trim(x), '\\s*:\\s*', ':') ELSE trim(regexp_replace(x, '^[^:]+:', '')) END), lambda x: x <> ''))"
+_SIM = _SIM.replace(" AS indexability FROM sim0)", f" AS indexability, lpad(hex(fp), 16, '0') AS fp_hex, {_DIRECTIVES.format(chr(34) + 'meta_robots' + chr(34))} AS md, {_DIRECTIVES.format('x_robots_tag')} AS xd, "
+                    f"coalesce({_DIRECTIVES.format('raw_robots')}, []) AS raw_directives, coalesce(md, []) AS meta_directives, list_distinct(list_concat(coalesce(md, []), coalesce(xd, []))) AS directives FROM sim0)", 1)
+
+
 def _sim_query(name: str, *keys: str):
     every = _CROSS | _LOCAL
     QUERIES[name] = lambda spark, sf_dir: _sim_issues(spark, sf_dir, *keys)
@@ -262,15 +304,39 @@ _sim_query("content_audit", "missingTitle", "titleTooShort", "missingMeta", "met
 _sim_query("anchor_audit", "nonDescriptiveAnchors", "emptyAnchors")
 
 
-@query()
+_sim_query("title_audit", "titleTooLong", "titleOverPixels", "titleUnderPixels", "titleSameAsH1", "multipleTitles", "soft404")
+_sim_query("description_audit", "metaTooLong", "metaOverPixels", "metaUnderPixels", "multipleMetaDescriptions", "loremIpsum", "lowTextRatio", "unminified")
+_sim_query("heading_audit", "h1TooLong", "missingH2", "multipleH2", "duplicateH2", "h2TooLong", "nonSequentialHeadings")
+_sim_query("near_duplicate_audit", "nearDuplicateContent")
+_sim_query("directive_audit", "multipleCanonical", "canonicalIsRelative", "directiveNofollow", "directiveNone", "xRobotsTagPresent", "metaRefresh")
+_sim_query("link_audit", "missingAlt", "nofollowLinks", "noInternalOutlinks", "highInternalOutlinks", "highExternalOutlinks", "unsafeCrossOriginLinks")
+_sim_query("performance_audit", "slowResponse", "largeHtml", "imageMissingDimensions", "missingSocialTags", "missingViewport", "mobileUsabilityIssues", "accessibilityIssues")
+_sim_query("javascript_audit", "jsChangesTitle", "jsChangesCanonical", "jsChangesRobots", "jsAddsMostContent", "jsAddsLinks", "structuredDataErrors", "missingStructuredData")
+_sim_query("security_audit", "httpUrl", "insecureLinks", "missingHsts", "mixedContent", "missingCsp", "missingFrameOptions", "missingContentTypeOptions", "missingReferrerPolicy")
+_sim_query("international_audit", "missingLang", "missingHreflang", "hreflangInvalidCode")
+_RESOURCE = {
+    "largeImage": "resources p WHERE resource_type = 'image' AND content_length > 102400", "broken": "resources p WHERE status >= 400 OR error IS NOT NULL", "insecureLinks": "resources p WHERE is_insecure",
+    "outlinksToLocalhost": "resources p WHERE resource_type = 'link' AND regexp_matches(url, '^https?://([^/]*[.])?localhost[:/]') AND NOT regexp_matches(source_page, '^https?://127[.]0[.]0[.]1/')",
+}
+
+
+def _labelled(parts: dict[str, str], scope: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS issue_key, '{scope}' AS scope, count(*) AS n FROM (SELECT DISTINCT p.url FROM {body})" for k, body in parts.items())
+
+
+_REGISTRY_SQL = ", ".join(f"({i}, '{r.key}', '{r.label.replace(chr(39), chr(39) * 2)}', '{r.severity}', '{r.group}', '{r.section}', '{r.scope}')" for i, r in enumerate(issues.REGISTRY))
+
+
+@query(f"{_SIM}, c AS ({_labelled(_CROSS | _LOCAL, 'page')} UNION ALL {_labelled(_RESOURCE, 'resource')}), "
+       f"g(pos, issue_key, label, severity, issue_group, section, scope) AS (VALUES {_REGISTRY_SQL}) SELECT g.*, coalesce(c.n, -1) AS n FROM g LEFT JOIN c USING (issue_key, scope)")
 def issue_summary(spark, sf_dir):
     pages, links, hreflang = _sim(spark, sf_dir)
+    pages = keep(pages, "sim")
     found = issues.issue_long(pages, issues.cross_flags(pages, links, hreflang, near=_near(pages)), simweb.sim_resources(spark, sf_dir))
     return issues.issue_summary(found)
 
 
-@query(f"{_SIM} SELECT url, 'largeImage' AS issue_key FROM resources WHERE resource_type = 'image' AND content_length > 102400 UNION ALL "
-       "SELECT url, 'broken' FROM resources WHERE status >= 400 OR error IS NOT NULL UNION ALL SELECT url, 'insecureLinks' FROM resources WHERE is_insecure")
+@query(f"{_SIM} {_union(_RESOURCE)}")
 def resource_audit(spark, sf_dir):
     return issues.exploded(issues.resource_issues(simweb.sim_resources(spark, sf_dir)), "url")
 

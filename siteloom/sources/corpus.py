@@ -1,32 +1,47 @@
-"""List-mode crawl of the pages table: exactly its URLs, depth 0, nothing followed, every page fetched as 200."""
+"""List-mode crawl of the pages table: exactly its URLs, depth 0, nothing followed, every page fetched as 200.
+
+Of URLs that differ in the fragment only the first page_id is kept. That is found over ids and URLs alone; the HTML is
+never shuffled, and queries over URLs don't read it.
+"""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.page_parser import parse
 from ..functions.urls import normalise
+from ..plans.tables import keep, small
 from .schema import PARSED, complete, struct_of
 
 _OUT = struct_of(f"seq bigint, url string, {PARSED}")
 
 
-def _parser(batches):
-    schema = to_arrow_schema(_OUT)
-    for batch in batches:
-        rows = []
-        for seq, url, html in zip(*(batch.column(c).to_pylist() for c in ("seq", "url", "html"))):
-            rows.append({"seq": seq, "url": url} | parse(html, url))
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+def _parser(columns: tuple[str, ...]):
+    schema = to_arrow_schema(_fields(columns))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for seq, raw, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "raw", "html"))):
+                url = normalise(raw)
+                rows.append({"seq": seq, "url": url} | parse(html, url, columns))
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
+
+
+def _fields(columns: tuple[str, ...]) -> T.StructType:
+    return T.StructType([f for f in _OUT.fields if f.name in ("seq", "url") or f.name in columns])
 
 
 def _normaliser(batches):
     for batch in batches:
         urls = [normalise(u) for u in batch.column("raw").to_pylist()]
-        yield pa.record_batch([batch.column("page_id"), pa.array(urls, pa.string()), batch.column("html")], names=["page_id", "url", "html"])
+        yield pa.record_batch([batch.column("page_id"), pa.array(urls, pa.string())], names=["page_id", "url"])
 
 
 def indexability(df: DataFrame) -> DataFrame:
@@ -39,13 +54,25 @@ def indexability(df: DataFrame) -> DataFrame:
     return df.withColumn("indexability", value)
 
 
-def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page rows of the pages table; of URLs that differ in the fragment only, the first page_id is kept."""
-    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("raw"), "html")
-    pages = raw.mapInArrow(_normaliser, "page_id bigint, url string, html string").where("url IS NOT NULL")
+def corpus_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page rows without what only the HTML tells."""
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("raw"))
+    rows = raw.mapInArrow(_normaliser, "page_id bigint, url string").where("url IS NOT NULL")
     first = Window.partitionBy("url").orderBy("page_id")
-    pages = pages.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("page_id").alias("seq"), "url", "html")
-    rows = pages.mapInArrow(_parser, _OUT)
+    rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("page_id").alias("seq"), "url")
+    return complete(rows.withColumns({"status": F.lit(200), "status_text": F.lit("200 OK"), "content_type": F.lit("text/html"), "indexability": F.lit("Indexable")}))
+
+
+def corpus_pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Page rows of the pages table, all columns, or seq, url, what a fetch tells and the named signals only."""
+    every = tuple(f.name for f in _OUT.fields)
+    wanted = tuple(columns) + (("canonical", "meta_robots") if columns else every)
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("raw"), "html")
+    found = raw.select("page_id", "raw").mapInArrow(_normaliser, "page_id bigint, url string")
+    place = F.row_number().over(Window.partitionBy("url").orderBy("page_id"))
+    gone = keep(found.withColumn("n", place).where("url IS NULL OR n > 1").select("page_id"), "gone-pages")
+    pages = raw.join(small(gone), "page_id", "left_anti")
+    rows = pages.mapInArrow(_parser(wanted), _fields(wanted))
     rows = rows.withColumns({"status": F.lit(200), "status_text": F.lit("200 OK"), "content_type": F.lit("text/html"),
                              "redirect_url": F.lit(None).cast("string"), "x_robots_tag": F.lit(None).cast("string")})
     return complete(indexability(rows))

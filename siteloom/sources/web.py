@@ -9,6 +9,7 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_low
 from ..functions.urls import normalise
 
 
@@ -78,23 +79,65 @@ def sitemap_locations(xml: str) -> tuple[bool, list[str]]:
     return root.tag.endswith("sitemapindex"), [e.text.strip() for e in root.iter() if e.tag.rpartition("}")[2] == "loc" and (e.text or "").strip()]
 
 
-#: Substrings that give away a system or library. Fixed values.
-CMS = (("WordPress", "wp-content"), ("WordPress", "wp-includes"), ("Shopify", "cdn.shopify.com"), ("Wix", "wixstatic.com"), ("Squarespace", "squarespace.com"),
-       ("Drupal", "drupal-settings-json"), ("Joomla", "/media/jui/"), ("Ghost", 'content="ghost'))
-TECHNOLOGIES = (("Next.js", "__next"), ("Nuxt", "__nuxt"), ("React", "data-reactroot"), ("Vue.js", "data-v-"), ("Angular", "ng-version"), ("jQuery", "jquery"),
-                ("Bootstrap", "bootstrap"), ("Tailwind CSS", "tailwind"), ("Google Analytics", "google-analytics.com"), ("Google Tag Manager", "googletagmanager.com"), ("Cloudflare", "cloudflare"))
+#: Substrings of lower-cased HTML that give away a content system (the first that any sign of holds) or a library
+#: (all that hold), and response headers that give away a network. Fixed values.
+CMS = (
+    ("WordPress", ("wp-content", "wp-includes")), ("Drupal", ("/sites/default/files", "drupal.settings")), ("Joomla", ("joomla!", "/media/jui/")),
+    ("Shopify", ("cdn.shopify.com", "shopify.theme")), ("Wix", ("static.wixstatic.com", "wix.com")), ("Squarespace", ("squarespace",)),
+    ("Webflow", ("cdn.webflow.com",)),
+)
+TECHNOLOGIES = (
+    ("Next.js", ("_next/static", "__next_data__")), ("Nuxt.js", ("__nuxt__",)), ("Angular", ("ng-version",)), ("React", ("data-reactroot", "react-dom")),
+    ("Vue.js", ("data-v-app", "vue.js", "__vue__")), ("jQuery", ("jquery",)), ("Bootstrap", ("bootstrap",)), ("Tailwind CSS", ("tailwind",)),
+    ("Google Tag Manager", ("googletagmanager.com/gtm.js",)), ("Google Analytics", ("google-analytics.com", "gtag(")), ("jsDelivr CDN", ("cdn.jsdelivr.net",)),
+)
+#: (network, header, substring of its value; none: the header alone is enough), in order of precedence.
+NETWORKS = (
+    ("Cloudflare", "cf-ray", ""), ("Cloudflare", "server", "cloudflare"), ("Amazon CloudFront", "x-amz-cf-id", ""), ("Fastly", "x-served-by", "cache"),
+    ("Vercel", "x-vercel-id", ""), ("Netlify", "x-nf-request-id", ""), ("Akamai", "x-akamai-request-id", ""), ("Akamai", "server", "akamaighost"),
+)
+
+
+def _any_sign(low: Column, signs: tuple[str, ...]) -> Column:
+    held = F.lit(False)
+    for sign in signs:
+        held = held | low.contains(sign)
+    return held
 
 
 def detect_cms(html: Column) -> Column:
-    low, out = F.lower(html), F.lit(None).cast("string")
-    for name, sign in reversed(CMS):
-        out = F.when(low.contains(sign), name).otherwise(out)
+    low, out = ascii_low(html), F.lit(None).cast("string")
+    for name, signs in reversed(CMS):
+        out = F.when(_any_sign(low, signs), name).otherwise(out)
     return out
 
 
 def detect_technologies(html: Column) -> Column:
-    low = F.lower(html)
-    return F.array_compact(F.array(*[F.when(low.contains(s), F.lit(n)) for n, s in TECHNOLOGIES]))
+    low = ascii_low(html)
+    return F.array_compact(F.array(*[F.when(_any_sign(low, signs), F.lit(name)) for name, signs in TECHNOLOGIES]))
+
+
+def header(headers: Column, name: str) -> Column:
+    """A response header by its lower-case name; headers: map of lower-case names."""
+    return F.try_element_at(headers, F.lit(name))
+
+
+def detect_from_headers(headers: Column) -> Column:
+    """struct<server, powered_by, cdn>."""
+    cdn = F.lit(None).cast("string")
+    for network, name, part in reversed(NETWORKS):
+        value = header(headers, name)
+        cdn = F.when(F.coalesce(ascii_low(value).contains(part), F.lit(False)) if part else value.isNotNull(), network).otherwise(cdn)
+    return F.struct(header(headers, "server").alias("server"), header(headers, "x-powered-by").alias("powered_by"), cdn.alias("cdn"))
+
+
+def accessibility_violations(json: Column) -> Column:
+    """The violations of a scanner's JSON list: id, impact, description, help_url, node_count; empty for other input."""
+    raw = F.from_json(json, "array<struct<id:string,impact:string,description:string,helpUrl:string,nodes:array<string>>>")
+    return F.coalesce(F.transform(raw, lambda v: F.struct(
+        F.coalesce(v["id"], F.lit("unknown")).alias("id"), v["impact"].alias("impact"), F.coalesce(v["description"], F.lit("")).alias("description"),
+        F.coalesce(v["helpUrl"], F.lit("")).alias("help_url"), F.greatest(F.size(v["nodes"]), F.lit(0)).cast("long").alias("node_count"))),
+        F.array().cast("array<struct<id:string,impact:string,description:string,help_url:string,node_count:bigint>>"))
 
 
 def resource_queue(rows: DataFrame) -> DataFrame:
