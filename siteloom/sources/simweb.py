@@ -12,7 +12,9 @@ from .schema import RESOURCE, complete
 
 
 def _url(expr: str) -> str:
-    return f"concat(CASE WHEN ({expr}) % 71 = 8 THEN 'http' ELSE 'https' END, '://example.com/p', CAST({expr} AS STRING))"
+    tail = ("CASE ({0}) % 97 WHEN 1 THEN '/Upper' WHEN 2 THEN '/a_b' WHEN 3 THEN '?x=1' WHEN 4 THEN repeat('/long-path', 11) WHEN 5 THEN '/%C3%BC' WHEN 6 THEN '//x' WHEN 7 THEN '/a/b/a' "
+            "WHEN 8 THEN '/a%20b' WHEN 9 THEN '?utm_source=x' WHEN 10 THEN '/?q=Search' ELSE '' END")
+    return f"concat(CASE WHEN ({expr}) % 71 = 8 THEN 'http' ELSE 'https' END, '://example.com/p', CAST({expr} AS STRING), {tail.format(expr)})"
 
 
 WIDE = "(m + m DIV 10)"
@@ -58,7 +60,9 @@ INDEXABILITY = (
     "CASE WHEN status IS NULL THEN (CASE WHEN n % 46 = 2 THEN 'Non-Indexable (robots.txt)' ELSE 'Error' END) "
     "WHEN status >= 400 THEN concat('Non-Indexable (', CAST(status AS STRING), ')') WHEN hops > 0 THEN 'Redirected' "
     "WHEN noindex THEN 'Non-Indexable (noindex)' WHEN canonical <> url THEN 'Canonicalised' ELSE 'Indexable' END")
-LINK_TARGET = f"CASE WHEN k = 11 THEN n DIV 10 ELSE (n * 7 + k) % {WIDE} END"
+_PLAIN_TARGET = f"CASE WHEN k = 11 THEN n DIV 10 ELSE (n * 7 + k) % {WIDE} END"
+#: Nothing links to some pages, and one link each to some others.
+LINK_TARGET = f"({_PLAIN_TARGET}) + CASE WHEN ({_PLAIN_TARGET}) % 15 = 3 OR (({_PLAIN_TARGET}) % 15 = 9 AND k <> 3) THEN 1 ELSE 0 END"
 LINKS = {
     "source": _url("n"), "pos": "CAST(k AS INT)", "target": _url(LINK_TARGET),
     "anchor": "CASE k % 4 WHEN 0 THEN 'Read more' WHEN 1 THEN 'click here' WHEN 2 THEN '' ELSE 'Pricing' END", "nofollow": "(n + k) % 20 = 0",
