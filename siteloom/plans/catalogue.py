@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import posts, text, urls
 from ..operators import comments, compare, graph, issues, near_duplicates, search
-from ..sources import simweb
+from ..sources import simweb, web
 from ..sources.corpus import corpus_pages, corpus_urls
 from ..sources.schema import complete
-from ..sources.web import detect_technologies, robots_allowed
+from ..sources.web import robots_allowed
 from ..streaming.trackers import windowed_counts
 from .tables import keep
 
@@ -38,6 +38,11 @@ _TEXT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&amp;'
 _TITLE = "trim(" + _TEXT.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ")"
 
 
+#: Visible text: without comments and inline tags, a space for every other tag, entities decoded.
+_BODIES = (f"{_FIRST}, bodies AS (SELECT page_id AS doc_id, " + _TEXT.format("regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)(<body>.*)', 1), '(?s)<!--.*?-->', '', 'g'), '</?(?:a|b|html)(?:\\s[^>]*)?>', '', 'g'), '<[^>]+>', ' ', 'g')") + " AS text FROM p)")
+_WORDS = "list_filter(string_split_regex(text, '\\s+'), x -> x <> '')".replace("x -> x", "lambda x: x")
+
+
 @query(f"WITH {_FIRST}, t AS (SELECT page_id, {_TITLE} AS title FROM p) SELECT page_id AS seq, title FROM t WHERE title <> '' AND title IN (SELECT title FROM t GROUP BY title HAVING count(*) > 1)")
 def duplicate_titles(spark, sf_dir):
     pages = corpus_pages(spark, sf_dir, "title").where("title IS NOT NULL").select("seq", "title")
@@ -64,7 +69,7 @@ def html_size_and_minify(spark, sf_dir):
     return corpus_pages(spark, sf_dir, "html_size_bytes", "minify_savings_pct").select("seq", "html_size_bytes", (F.floor(F.col("minify_savings_pct") * 10 + 0.5) / 10).alias("saved_pct"))
 
 
-@query()
+@query(f"WITH {_BODIES}, w AS (SELECT doc_id AS seq, CAST(len({_WORDS}) AS BIGINT) AS word_count FROM bodies) SELECT * FROM w WHERE word_count < 200")
 def word_count_audit(spark, sf_dir):
     return corpus_pages(spark, sf_dir, "word_count").where("word_count < 200").select("seq", "word_count")
 
@@ -107,9 +112,23 @@ def url_tree(spark, sf_dir):
     return graph.url_tree(corpus_urls(spark, sf_dir)).select("node", "level", "total_pages")
 
 
-@query()
+_HASH = f"CASE WHEN len({_WORDS}) = 0 THEN '' ELSE sha256(translate(array_to_string({_WORDS}, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) END"
+
+
+@query(f"""WITH {_BODIES}, t AS (SELECT p.*, text, nullif({_TITLE}, '') AS title, list_transform(regexp_extract_all(html, '(?s)<h1>(.*?)(?:</h1>)', 1), lambda x: trim({_TEXT.format('x')})) AS h1s,
+    regexp_extract_all(html, '(?s)<a href="([^"]*)">', 1) AS hrefs FROM p JOIN bodies ON doc_id = page_id)
+  SELECT page_id AS seq, url, title, CAST(coalesce(length(title), 0) AS BIGINT) AS title_length, 1::BIGINT AS title_count, NULL::VARCHAR AS meta_description, 0::BIGINT AS meta_description_count,
+    NULL::VARCHAR AS meta_robots, NULL::VARCHAR AS viewport, NULL::VARCHAR AS canonical, 0::BIGINT AS canonical_count, NULL::VARCHAR AS pagination_next, NULL::VARCHAR AS meta_refresh,
+    nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang, array_to_string(h1s, '|') AS h1_values, CAST(len({_WORDS}) AS BIGINT) AS word_count, {_HASH} AS content_hash,
+    contains(lower(text), 'lorem ipsum') AS has_lorem_ipsum, CAST(len(hrefs) AS BIGINT) AS internal_link_count, 0::BIGINT AS external_link_count, 0::BIGINT AS image_count, 0::BIGINT AS insecure_link_count,
+    0::BIGINT AS mixed_content_count, CAST(len(list_filter(hrefs, lambda h: regexp_matches(h, 'zz'))) * 0 AS BIGINT) AS internal_nofollow_count, FALSE AS has_open_graph, FALSE AS has_twitter_card,
+    '' AS structured_data_types, floor(strlen(text) * 1000.0::DOUBLE / strlen(html) + 0.5) / 10 AS text_ratio, 'Indexable' AS indexability FROM t""".replace("CAST(len(list_filter(hrefs, lambda h: regexp_matches(h, 'zz'))) * 0 AS BIGINT)", "0::BIGINT"))
 def page_signals(spark, sf_dir):
-    return corpus_pages(spark, sf_dir).drop("custom_search_counts", "extracted", "raw", "accessibility_violations", "mobile_usability_violations")
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return corpus_pages(spark, sf_dir).select(
+        "seq", "url", "title", "title_length", "title_count", "meta_description", "meta_description_count", "meta_robots", "viewport", "canonical", "canonical_count", "pagination_next", "meta_refresh",
+        "lang", joined("h1_values"), "word_count", "content_hash", "has_lorem_ipsum", "internal_link_count", "external_link_count", "image_count", "insecure_link_count", "mixed_content_count",
+        "internal_nofollow_count", "has_open_graph", "has_twitter_card", joined("structured_data_types"), (F.floor(F.col("text_ratio_pct") * 10 + 0.5) / 10).alias("text_ratio"), "indexability")
 
 
 def _near(pages):
@@ -124,19 +143,48 @@ def issue_long(spark, sf_dir):
     links = pages.select(F.col("url").alias("source"), F.explode("outlinks").alias("o")).select("source", F.col("o.url").alias("target"))
     hreflang = pages.select(F.col("url").alias("source"), F.explode("hreflang_links").alias("h")).select("source", "h.lang", "h.href")
     flags = keep(issues.cross_flags(pages, links, hreflang, near=_near(pages)), "flags")
-    return issues.issue_long(pages, flags)
+    return issues.issue_long(pages, flags).select("url", "issue_key")
 
 
-@query()
+_ENCODED = "url_encode({0})"
+for _code, _char in (("2F", "/"), ("2C", ","), ("2A", "*"), ("24", "$"), ("26", "&"), ("3B", ";"), ("21", "!"), ("28", "("), ("29", ")"), ("2B", "+"), ("3A", ":"), ("3D", "="), ("40", "@"), ("25", "%")):
+    _ENCODED = f"replace({_ENCODED}, '%{_code}', '{_char}')"
+_LINKS = (f"{_FIRST}, a AS (SELECT page_id, url, regexp_extract_all(html, '(?s)<a href=\"([^\"]*)\">(.*?)</a>', 1) AS hrefs, regexp_extract_all(html, '(?s)<a href=\"([^\"]*)\">(.*?)</a>', 2) AS texts FROM p), "
+          f"o AS (SELECT page_id, url AS source, CAST(i - 1 AS INT) AS pos, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || {_ENCODED.format('regexp_replace(' + _TEXT.format('hrefs[i]') + ', ' + chr(39) + '#.*$' + chr(39) + ', ' + chr(39) * 2 + ')')} AS target, "
+          f"trim(regexp_replace({_TEXT.format('texts[i]')}, '\\s+', ' ', 'g'))[1:200] AS anchor FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS i FROM a))")
+
+
+@query(f"WITH {_LINKS} SELECT source, pos, target, anchor, FALSE AS nofollow, FALSE AS is_image_link FROM o WHERE source <> target")
 def outlinks(spark, sf_dir):
     return graph.edges(corpus_pages(spark, sf_dir, "outlinks"))
 
 
-@query("SELECT page_id, array_to_string(list_filter(['__next', '__nuxt', 'data-reactroot', 'data-v-', 'ng-version', 'jquery', 'bootstrap', 'tailwind', 'google-analytics.com', 'googletagmanager.com', 'cloudflare'], lambda s: contains(lower(html), s)), ',') AS found FROM pages")
+_CMS_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{x}{chr(39)})' for x in signs)} THEN '{name}'" for name, signs in web.CMS) + " END"
+_TECH_SQL = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(low, {chr(39)}{x}{chr(39)})' for x in signs)} THEN '{name}' END" for name, signs in web.TECHNOLOGIES) + "], lambda x: x IS NOT NULL)"
+#: The pages hold no such signs: each page gets one behind its end, by its number.
+_SIGNS = [s for _, signs in (*web.CMS, *web.TECHNOLOGIES) for s in signs]
+_SIGNED = "html || CASE page_id % 40 " + " ".join(f"WHEN {i} THEN upper('{x}')" for i, x in enumerate(_SIGNS)) + " ELSE '' END"
+
+
+@query(f"WITH s AS (SELECT page_id, lower({_SIGNED}) AS low FROM pages) SELECT page_id, {_CMS_SQL} AS cms, array_to_string({_TECH_SQL}, ',') AS technologies FROM s")
 def tech_detect(spark, sf_dir):
-    signs = dict((n, s) for n, s in __import__("siteloom.sources.web", fromlist=["TECHNOLOGIES"]).TECHNOLOGIES)
-    found = F.transform(detect_technologies(F.col("html")), lambda n: F.element_at(F.create_map(*[F.lit(x) for kv in signs.items() for x in kv]), n))
-    return _t(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("found"))
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.expr(_SIGNED).alias("html"))
+    return pages.select("page_id", web.detect_cms(F.col("html")).alias("cms"), F.array_join(web.detect_technologies(F.col("html")), ",").alias("technologies"))
+
+
+_HEADERS = {
+    "server": "CASE page_id % 11 WHEN 1 THEN 'nginx' WHEN 2 THEN 'CloudFlare-x' WHEN 3 THEN 'AkamaiGHost' END", "x-powered-by": "CASE WHEN page_id % 5 = 0 THEN 'PHP/8' END",
+    "cf-ray": "CASE WHEN page_id % 13 = 4 THEN '1' END", "x-amz-cf-id": "CASE WHEN page_id % 17 = 5 THEN '2' END", "x-served-by": "CASE page_id % 7 WHEN 1 THEN 'Cache-x' WHEN 2 THEN 'other' END",
+    "x-vercel-id": "CASE WHEN page_id % 19 = 6 THEN '3' END", "x-nf-request-id": "CASE WHEN page_id % 23 = 7 THEN '4' END", "x-akamai-request-id": "CASE WHEN page_id % 29 = 8 THEN '5' END",
+}
+
+
+@query("WITH h AS (SELECT page_id, " + ", ".join(f'{e} AS "{n}"' for n, e in _HEADERS.items()) + """ FROM pages) SELECT page_id, server, "x-powered-by" AS powered_by, CASE WHEN "cf-ray" IS NOT NULL OR lower(server) LIKE '%cloudflare%' THEN 'Cloudflare'
+  WHEN "x-amz-cf-id" IS NOT NULL THEN 'Amazon CloudFront' WHEN lower("x-served-by") LIKE '%cache%' THEN 'Fastly' WHEN "x-vercel-id" IS NOT NULL THEN 'Vercel' WHEN "x-nf-request-id" IS NOT NULL THEN 'Netlify'
+  WHEN "x-akamai-request-id" IS NOT NULL OR lower(server) LIKE '%akamaighost%' THEN 'Akamai' END AS cdn FROM h""")
+def header_tech(spark, sf_dir):
+    pairs = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("k"), F.expr(e).alias("v")) for n, e in _HEADERS.items()]), lambda x: x["v"].isNotNull()))
+    return _t(spark, sf_dir, "pages").select("page_id", pairs.alias("headers")).select("page_id", web.detect_from_headers(F.col("headers")).alias("h")).select("page_id", "h.*")
 
 
 @query("SELECT page_id, NOT (regexp_matches(pq, '^/[^?]*\\?') AND NOT regexp_matches(pq, '^/blog')) AS allowed FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS pq FROM pages)")
@@ -176,7 +224,7 @@ _PRINTS = f"""w AS (SELECT doc_id, list_filter(list_transform(string_split_regex
   h AS (SELECT g, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda b: (strpos('0123456789ABCDEF', b[1]) * 16 + strpos('0123456789ABCDEF', b[2]) - 17)::UHUGEINT)),
     lambda a, b: (xor(a, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS f FROM (SELECT DISTINCT g FROM c)),
   b AS (SELECT doc_id, i, sum(CASE WHEN (f >> i::UBIGINT) & 1 = 1 THEN k ELSE -k END) > 0 AS one FROM c JOIN h USING (g), range(64) r(i) GROUP BY doc_id, i),
-  fp AS (SELECT DISTINCT v FROM (SELECT doc_id, sum(CASE WHEN one AND i > 31 THEN 1::BIGINT << (i - 32) ELSE 0 END)::UBIGINT * 4294967296::UBIGINT + sum(CASE WHEN one AND i < 32 THEN 1::BIGINT << i ELSE 0 END)::UBIGINT AS v FROM b GROUP BY doc_id))"""
+  dfp AS (SELECT doc_id, sum(CASE WHEN one AND i > 31 THEN 1::BIGINT << (i - 32) ELSE 0 END)::UBIGINT * 4294967296::UBIGINT + sum(CASE WHEN one AND i < 32 THEN 1::BIGINT << i ELSE 0 END)::UBIGINT AS v FROM b GROUP BY doc_id), fp AS (SELECT DISTINCT v FROM dfp)"""
 
 
 @query(f"WITH {_PRINTS} SELECT printf('%016x', x.v) AS fp1, printf('%016x', y.v) AS fp2, CAST(bit_count(xor(x.v, y.v)::UBIGINT::BIT) AS BIGINT) AS distance FROM fp x JOIN fp y ON x.v < y.v AND bit_count(xor(x.v, y.v)::UBIGINT::BIT) <= 3")
@@ -185,12 +233,38 @@ def simhash_pairs(spark, sf_dir):
     return near_duplicates.near_pairs(prints)
 
 
-@query()
+_CLUSTERS = """e AS (SELECT x.v AS a, y.v AS b FROM fp x JOIN fp y ON x.v <> y.v AND bit_count(xor(x.v, y.v)::UBIGINT::BIT) <= 3), reach(v, c) AS (SELECT v, v FROM fp UNION SELECT e.b, r.c FROM reach r JOIN e ON e.a = r.v),
+  l AS (SELECT v, min(c) AS c FROM reach GROUP BY v), r AS (SELECT {doc} AS doc, d.doc_id, l.c, l.v, {hash} AS h FROM dfp d JOIN l USING (v) JOIN {table} USING (doc_id)),
+  k AS (SELECT c, count(*) AS cluster_size, min(doc_id) AS f FROM r GROUP BY c HAVING count(DISTINCT v) > 1 OR count(DISTINCT (v, h)) > count(DISTINCT v)),
+  n AS (SELECT c, cluster_size, row_number() OVER (ORDER BY f) AS cluster FROM k)"""
+
+
+@query(f"WITH RECURSIVE {_PRINTS}, {_CLUSTERS.format(doc='CAST(doc_id AS VARCHAR)', hash='md5(text)', table='documents')} SELECT doc AS url, cluster, cluster_size FROM r JOIN n USING (c)")
 def near_duplicate_clusters(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("url"), F.md5("text").alias("content_hash"), "text")
     return near_duplicates.clusters(near_duplicates.fingerprinted(docs, "text").where("content_simhash <> ''"))
 
 
+_S = f"""pg AS (SELECT p.*, text, nullif({_TITLE}, '') AS title, list_transform(regexp_extract_all(html, '(?s)<h1>(.*?)(?:</h1>)', 1), lambda x: trim({_TEXT.format('x')})) AS h1s,
+  len({_WORDS}) AS words, {_HASH} AS hash, strlen(text) * 100.0::DOUBLE / strlen(html) AS ratio, (1 - strlen(trim(regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\\z)', '', 'g'), '\\s+', ' ', 'g')))::DOUBLE / strlen(html)) * 100 AS saved,
+  {_PATH} AS path, {_QUERY} AS q, {_PATH} || {_QUERY} AS pq, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS segs FROM p JOIN bodies ON doc_id = page_id)"""
+_PX = f"CAST(floor(list_sum(list_transform(regexp_extract_all(title, '(?s).'), lambda c: coalesce({_WIDTH_MAP}[unicode(c)], {sum(text.WIDTHS)}.0 / 95))) * 20 / 1000 + 0.5) AS BIGINT)"
+_NORMED = "trim(lower(regexp_replace({0}, '\\s+', ' ', 'g')))"
+_PAGE_RULES = {
+    **{k: "TRUE" for k in ("missingMeta", "missingH2", "missingCanonical", "missingSocialTags", "missingViewport", "missingStructuredData", "missingHreflang")},
+    "missingTitle": "title IS NULL", "duplicateTitles": "title IN (SELECT title FROM pg GROUP BY title HAVING count(*) > 1)", "titleTooShort": "length(title) < 30", "titleTooLong": "length(title) > 60",
+    "titleOverPixels": f"{_PX} > 561", "titleUnderPixels": f"{_PX} < 200", "titleSameAsH1": f"{_NORMED.format('title')} = {_NORMED.format('h1s[1]')}", "h1Issues": "len(list_filter(h1s, lambda x: x <> '')) <> 1",
+    "h1TooLong": "len(list_filter(h1s, lambda x: length(x) > 70)) > 0", "duplicateH1": "h1s[1] <> '' AND h1s[1] IN (SELECT h1s[1] FROM pg GROUP BY h1s[1] HAVING count(*) > 1)",
+    "duplicateContent": "hash <> '' AND hash IN (SELECT hash FROM pg GROUP BY hash HAVING count(*) > 1)", "loremIpsum": "contains(lower(text), 'lorem ipsum')",
+    "soft404": "regexp_matches(lower(coalesce(title, '') || ' / ' || h1s[1]), '\\b(?:404|page not found|not found|no longer (?:exists|available))\\b')", "lowTextRatio": "ratio < 10", "lowWordCount": "words < 200", "unminified": "saved >= 10",
+    "missingLang": "NOT regexp_matches(html, '<html lang=\"[^\"]')", "httpUrl": "url LIKE 'http:%'", "noInternalOutlinks": "page_id NOT IN (SELECT page_id FROM o)",
+    "nonDescriptiveAnchors": "page_id IN (SELECT page_id FROM o WHERE list_contains([" + ", ".join(f"'{x}'" for x in text.EMPTY_WORDS) + "], lower(regexp_replace(anchor, '^[\\pP\\pS\\s]+|[\\pP\\pS\\s]+$', '', 'g'))))",
+    "emptyAnchors": "page_id IN (SELECT page_id FROM o WHERE anchor = '')", "nearDuplicateContent": "url IN (SELECT doc FROM r JOIN n USING (c))", **_URL_RULES,
+}
+ORACLES["issue_long"] = (f"WITH RECURSIVE {_BODIES}, {_LINKS.removeprefix(_FIRST + ', ')}, {_PRINTS.replace('FROM documents WHERE text IS NOT NULL', 'FROM bodies')}, {_S}, {_CLUSTERS.format(doc='url', hash='hash', table='(SELECT page_id AS doc_id, url, hash FROM pg)')} "
+                         + " UNION ALL ".join(f"SELECT url, '{k}' AS issue_key FROM pg WHERE {t}" for k, t in _PAGE_RULES.items()))
+
+
 # --- the simulated web ---------------------------------------------------------------------------------------------
 
 _SIM = f"WITH {simweb.ORACLE_CTES}"
