@@ -70,6 +70,7 @@ class Memo:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.shown_lead = self.lead.translate(self.alphabet)
         for lower in (False, True):
             self.lower = lower
             words = [self.lead + w for w in _WORDS if w.isalpha()] + ["!!", ".", "%%%"]
@@ -95,16 +96,18 @@ class Memo:
             if not word.isalpha():
                 return None
             tail = piece[len(word) + (1 if start else 0) :]
-        if not word.isascii():
+        if word.isascii():
+            # Letters stand for themselves in the byte alphabet.
+            word = word.lower() if self.lower else word
+            if lead and not start:
+                word = self.shown_lead + word
+        else:
             if not unicodedata.is_normalized("NFC", word):
                 return None
             if self.lower:
                 word = "".join([c.lower() for c in word])
-        elif self.lower:
-            word = word.lower()
-        if not start:
-            word = lead + word
-        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+            word = (word if start else lead + word).encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(word)]
         if start:
             ids = self.line_feed + ids
         if tail:
@@ -138,14 +141,13 @@ class Memo:
         if self.lead is not None:
             todo, whole = whole, []
             lines = " \n" if self.lead else " "
-            first, later = self.first.__getitem__, self.later.__getitem__
+            first, later, same = self.first.__getitem__, self.later.__getitem__, self.first is self.later
             for i in todo:
                 pieces = texts[i].replace("\n", lines).split(" ")
-                found = [first(pieces[0]), *map(later, pieces[1:])]
-                if False in found:
+                try:
+                    out[i] = b"".join(map(later, pieces)) if same else first(pieces[0]) + b"".join(map(later, pieces[1:]))
+                except TypeError:  # an odd piece is False
                     whole.append(i)
-                else:
-                    out[i] = b"".join(found)
             self._forget()
         for i in range(0, len(whole), 64):
             part = whole[i : i + 64]
