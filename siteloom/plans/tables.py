@@ -52,8 +52,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: its lineage is cut and executors may be lost."""
-    path = new_path(df.sparkSession, name)
+    path, context = new_path(df.sparkSession, name), df.sparkSession.sparkContext
+    context.setJobDescription(f"siteloom {name}")
     df.write.option("compression", "zstd").parquet(path)
+    context.setJobDescription(None)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_path = path
     for scope_ in _scopes:
