@@ -15,9 +15,9 @@ shingle sets, inside the node. Only connectivity is wanted, so a pair within a c
 looked at: the first tree is confirmed alone, the others then only between different components, and a node reports
 at most one link less than it has classes. Pairs never become rows.
 
-A node that is still larger than `leaf` on the last level is held together by its hub first, the class nearest to the
-most frequent tokens (of edited copies their original); then what is in other components than the node's largest is
-compared with all of the node, block by block, so no pair is lost.
+A node that is still larger than `leaf` on the last level is held together by its hub before all else, the class nearest
+to the most frequent tokens (of edited copies their original); at the end, what is in other components than the node's
+largest is compared with all of the node, block by block, so no pair is lost.
 
 Edge cases: documents without words (null and empty texts too) are linked with nothing and are their own component; a
 null doc_id has a null component and is kept; a class that only null ids hold is linked with nothing; rows that share a
@@ -44,6 +44,7 @@ from .shingles import POSITIONS, mix, sequence_key, shingle_sets, signatures, wo
 WORDS, PERCENT, TREES, LEAF, LEVELS = 4, 80, 8, 1024, 3
 #: Ids of texts, or of rows, that are broadcast at most.
 FEW = 200_000
+_CELL = ("cell", "vid", "comp", "side", "n", "sig")
 _U = np.uint64
 
 
@@ -154,13 +155,9 @@ def _wanted(percent: int):
     """Sorted rows (cell, vid, comp, side, n, sig) to those that have a candidate in their cell."""
 
     def wanted(batches):
-        cells, vids, comps, sides = [], [], [], []
-        for cell, t in _groups(batches, "cell"):
+        for _, t in _groups(batches, "cell"):
             if t.num_rows > 1 and (found := sorted({x for i, j, _ in _possible(t, percent) for x in (i, j)})):
-                cells += [cell] * len(found)
-                for to, c in ((vids, "vid"), (comps, "comp"), (sides, "side")):
-                    to += t.column(c).take(found).to_pylist()
-        yield pa.record_batch([pa.array(cells, pa.int64()), pa.array(vids, pa.int64()), pa.array(comps, pa.int64()), pa.array(sides, pa.int32())], names=["cell", "vid", "comp", "side"])
+                yield from t.take(found).to_batches()
 
     return wanted
 
@@ -247,7 +244,7 @@ def _hubs(large: DataFrame, classes: DataFrame, leaf: int) -> DataFrame:
 
 def _blocks(large: DataFrame, labels: DataFrame, leaf: int) -> DataFrame:
     """Rows (cell, vid, comp, side) that bring every component but the largest of a node together with all of the node."""
-    rows = large.join(labels, large["vid"] == labels["v"], "left").select("node", "vid", F.coalesce("c", "vid").alias("comp"))
+    rows = large.join(small(labels, FEW), large["vid"] == labels["v"], "left").select("node", "vid", F.coalesce("c", "vid").alias("comp"))
     rows = keep(rows, "large-labelled")
     per = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
     shape = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
@@ -281,15 +278,16 @@ def _sets(k: int):
 
 def _links(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Kept links between components that rows (cell, vid, comp, side) bring together; texts: doc, print, text."""
-    dealt = rows.join(classes, "vid").repartition("cell").sortWithinPartitions("cell", "vid")
-    wanted = keep(dealt.mapInArrow(_wanted(percent), "cell long, vid long, comp long, side int"), "wanted")
-    one = keep(classes.join(wanted.select("vid").distinct(), "vid").select("vid", "doc", "print"), "wanted-texts")
+    dealt = rows.join(classes.select("vid", "n", "sig"), "vid").select(*_CELL).repartition("cell").sortWithinPartitions("cell", "vid")
+    wanted = keep(dealt.mapInArrow(_wanted(percent), dealt.schema), "wanted")
+    ids = keep(wanted.select("vid").distinct(), "wanted-ids")
+    one = keep(classes.select("vid", "doc", "print").join(small(ids, FEW), "vid"), "wanted-texts")
     own = texts.join(small(one, FEW), ["doc", "print"]).select("vid", "text")
     # Of repeated rows one is as good as another.
-    sets = keep(own.mapInArrow(_sets(k), "vid long, set binary").dropDuplicates(["vid"]), "sets")
-    full = wanted.join(classes, "vid").join(sets, "vid").repartition("cell").sortWithinPartitions("cell", "vid")
-    links = keep(full.select("cell", "vid", "comp", "side", "n", "sig", "set").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
-    release(wanted, one, sets)
+    sets = own.mapInArrow(_sets(k), "vid long, set binary").dropDuplicates(["vid"])
+    full = wanted.join(sets, "vid").select(*_CELL, "set").repartition("cell").sortWithinPartitions("cell", "vid")
+    links = keep(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    release(wanted, ids, one)
     return links
 
 
@@ -304,29 +302,18 @@ def _shared(ready: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (cell, vid) with their components, of cells that have several."""
-    to = labels.select(F.col("v").alias("vid"), "c")
+    to = small(labels, FEW).select(F.col("v").alias("vid"), "c")
     named = keep(rows.select("cell", "vid").join(to, "vid", "left").select("cell", "vid", F.coalesce("c", "vid").alias("comp")), "labelled")
     mixed = named.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
     return named.join(mixed, "cell", "left_semi").withColumn("side", F.lit(2))
 
 
-def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (v, c) after further links; both kept."""
-    if labels is None:
-        return components(links)
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (v, c) after further kept links; both kept."""
     if links.isEmpty():
         return labels
-    named = links
-    for end in ("a", "b"):
-        to = labels.select(F.col("v").alias(end), F.col("c").alias("__c"))
-        named = named.join(to, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
-    merged = components(named.where("a <> b"))
-    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
-    every = labels.unionByName(ends.join(labels, "v", "left_anti").select("v", F.col("v").alias("c")))
-    to = merged.select(F.col("v").alias("c"), F.col("c").alias("__c"))
-    out = keep(every.join(to, "c", "left").select("v", F.coalesce("__c", "c").alias("c")), "labels")
-    release(merged)
-    return out
+    # A label is itself a link of a vertex with its component.
+    return components(keep(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(links.select("a", "b")), "links"))
 
 
 def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
@@ -338,19 +325,22 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int =
     classes = keep(ready.join(reps.select("vid"), ready["row"] == reps["vid"]).select("vid", "n", "sig", "doc", "print"), "signatures")
     cells, large = _cells(classes.select("vid", "sig"), trees, leaf, levels)
     cells = keep(cells, "cells")
-    alone = cells.where("first").select("cell", "vid", F.col("vid").alias("comp"), F.lit(2).alias("side"))
-    labels = _merge(None, _links(alone, classes, rows, k, percent).unionByName(_shared(ready, reps)))
-    if trees > 1:
-        labels = _merge(labels, _links(_labelled(cells.where("NOT first"), labels), classes, rows, k, percent))
+    labels = components(keep(_shared(ready, reps), "links"))
     if large is not None:
+        # First the hubs: what they hold together isn't looked at again.
         star = large.join(_hubs(large, classes, leaf), "node").where("hub <> vid").withColumn("cell", F.xxhash64("node", "vid"))
         star = star.select("cell", F.explode(F.array("hub", "vid")).alias("vid"))
         labels = _merge(labels, _links(_labelled(star, labels), classes, rows, k, percent))
+    labels = _merge(labels, _links(_labelled(cells.where("first"), labels), classes, rows, k, percent))
+    if trees > 1:
+        labels = _merge(labels, _links(_labelled(cells.where("NOT first"), labels), classes, rows, k, percent))
+    if large is not None:
         labels = _merge(labels, _links(_blocks(large, labels, leaf), classes, rows, k, percent))
     release(cells)
     # Labels are rows' numbers: a component is named by the smallest doc_id of its classes.
-    low = labels.join(reps.select(F.col("vid").alias("v"), "low"), "v").groupBy("c").agg(F.min("low").alias("__component"))
-    joined = labels.join(low, "c").select("v", "__component")
+    lows = reps.select(F.col("vid").alias("v"), "low").join(small(labels, FEW), "v")
+    low = small(keep(lows.groupBy("c").agg(F.min("low").alias("__component")), "lows"), FEW)
+    joined = small(keep(labels.join(low, "c").select("v", "__component"), "named"), FEW)
     named = reps.join(joined, reps["vid"] == joined["v"], "left").select(F.col("cls").alias("__cls"), F.coalesce("__component", "low").alias("component_id"))
     found = ready.select("doc", "print", "cls", F.col("n").alias("n_shingles"))
     full = found.where("cls IS NOT NULL")
