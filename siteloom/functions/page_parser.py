@@ -154,6 +154,14 @@ def minified_bytes(html: str) -> int:
     return len(" ".join(re.sub(r"<!--.*?(-->|\Z)", "", html, flags=re.S).split()).encode())
 
 
+def body_text(html: str | None) -> str:
+    """The visible text of the body."""
+    r = _Reader()
+    r.feed(html or "")
+    r.finish()
+    return "".join(r.body)
+
+
 def parse(html: str | None, url: str, wanted=None) -> dict:
     """The signals of a page, or those of them that are wanted; what is costly is only computed if it is."""
     html = html or ""

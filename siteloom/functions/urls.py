@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from urllib.parse import quote, urljoin, urlsplit
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_PORT = {"http": "80", "https": "443"}
@@ -42,7 +43,7 @@ def normalise(url: str | None) -> str | None:
     try:
         parts = urlsplit(url)
         scheme, host = parts.scheme.lower(), (parts.hostname or "").lower()
-        if scheme not in DEFAULT_PORT or not host:
+        if scheme not in DEFAULT_PORT or not host or re.search(r"[\s#/<>?@\\^|%]", host):
             return None
         port = f":{parts.port}" if parts.port is not None and str(parts.port) != DEFAULT_PORT[scheme] else ""
         if not host.isascii():
@@ -90,3 +91,43 @@ def query(url: Column) -> Column:
 
 def is_local(h: Column) -> Column:
     return h.isin(*LOCAL_HOSTS) | h.endswith(".localhost")
+
+
+#: Characters whose escapes stay escaped for display. Fixed values.
+RESERVED = ";/?:@&=+$,#"
+
+
+def shown(url: str | None) -> str | None:
+    """Readable: escapes of UTF-8 become characters, those of reserved characters stay; a malformed one leaves all as it is."""
+    if url is None:
+        return None
+
+    def read(m: re.Match) -> str:
+        raw = bytes.fromhex(m[0].replace("%", ""))
+        text = raw.decode()
+        return "".join(f"%{ord(c):02X}" if c in RESERVED else c for c in text)
+
+    if re.search(r"%(?![0-9A-Fa-f]{2})", url):
+        return url
+    try:
+        return re.sub(r"(?:%[0-9A-Fa-f]{2})+", read, url)
+    except UnicodeDecodeError:
+        return url
+
+
+def _mapped(rows: DataFrame, column: str, out: str, f) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            found = [f(x) for x in batch.column(batch.schema.names.index(column)).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
+
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, `{out}` string")
+
+
+def normalised(rows: DataFrame, column: str, out: str) -> DataFrame:
+    return _mapped(rows, column, out, normalise)
+
+
+def displayed(rows: DataFrame, column: str, out: str) -> DataFrame:
+    return _mapped(rows, column, out, shown)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -86,6 +86,20 @@ def url_tree(pages: DataFrame, issues: DataFrame | None = None) -> DataFrame:
         F.count("*").alias("total_pages"), F.sum(F.coalesce("n_issues", F.lit(0))).cast("long").alias("total_issues"))
 
 
+def ranked_siblings(tree: DataFrame) -> DataFrame:
+    """node, parent (empty for a root), place among its siblings: most pages first, then by label."""
+    root = F.col("level") == 0
+    rows = tree.withColumn("parent", F.when(root, "").otherwise(F.regexp_replace("node", "/[^/]*$", ""))).withColumn("label", F.regexp_extract("node", "[^/]*$", 0))
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("total_pages"), "label"))
+    return rows.select("node", "parent", place.cast("long").alias("place"))
+
+
+def first_inlinks(links: DataFrame, most: int) -> DataFrame:
+    """At most so many inlinks of each target, in crawl order."""
+    rows = links.where("source <> target")
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("source", "pos"))).where(F.col("rn") <= most).drop("rn")
+
+
 def follow_redirects(hops: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
     """url, final, chain (array), capped: hops(from_url, to_url) followed up to `most` times, loops stopped."""
     at = start.select("url", F.col("url").alias("final"), F.array().cast("array<string>").alias("chain"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -272,10 +272,11 @@ def last_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy(F.col("url").alias("t_url")).agg(F.max_by(what, "seq").alias("t")).select("t_url", "t.*")
 
 
-def cross_flags(pages: DataFrame, links: DataFrame, hreflang: DataFrame, near: DataFrame | None = None, list_mode: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+def cross_flags(pages: DataFrame, links: DataFrame, hreflang: DataFrame, near: DataFrame | None = None, list_mode: bool = False, keys: tuple[str, ...] = (), linked: DataFrame | None = None) -> DataFrame:
     """url and flags, the x_ flags that hold for it; a row per URL that has any. Only joins that the rules named by keys need are made.
 
-    All that the joins compare is one narrow row per page or link; pages' texts and bodies are not read.
+    All that the joins compare is one narrow row per page or link; pages' texts and bodies are not read. linked: the URLs
+    that count as linked, if a crawl kept them.
     """
     wanted = {w for r in REGISTRY if r.cross and (not keys or r.key in keys) for w in re.findall(r"x_\w+", r.test)}
     html_2xx = (F.col("html_size_bytes") > 0) & F.coalesce((F.col("status") >= 200) & (F.col("status") < 300), F.lit(False)) & (F.size("redirect_chain") == 0)
@@ -303,7 +304,7 @@ def cross_flags(pages: DataFrame, links: DataFrame, hreflang: DataFrame, near: D
         lost = F.col("t_url").isNull() if not list_mode else F.lit(False)
         add("x_pagination_error", paged.where(lost | (F.col("t_url").isNotNull() & (~F.col("t_status").eqNullSafe(200) | F.col("t_chain")))))
     if "x_linked" in wanted:
-        add("x_linked", linked_urls(pages, links, hreflang))
+        add("x_linked", linked_urls(pages, links, hreflang) if linked is None else linked)
     if "x_single" in wanted or "x_unique_inlinks" in wanted:
         add("x_single", inlinks(links).where("unique_inlinks = 1").select(F.col("target").alias("url")))
     if "x_links_to_error" in wanted:
@@ -395,3 +396,8 @@ def issue_summary(issues: DataFrame) -> DataFrame:
     return table.join(counts, ["issue_key", "scope"], "left").select("pos", "issue_key", "label", "severity", "issue_group", "section", "scope", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def section_totals(summary: DataFrame) -> DataFrame:
+    """section, total, place: sections in the order of their first rule; rules without a section are in no total."""
+    rows = summary.where("section <> ''").groupBy("section").agg(F.sum("n").cast("long").alias("total"), F.min("pos").alias("first"))
+    # A row per section: a window over a dozen rows.
+    return rows.select("section", "total", F.row_number().over(Window.orderBy("first")).cast("long").alias("place"))

@@ -53,3 +53,26 @@ def state_changes(events: DataFrame, key: str, state: str, *order: str) -> DataF
     """Rows whose state differs from the one before of their key; a key's first row counts."""
     w = Window.partitionBy(key).orderBy(*order)
     return events.withColumn("was", F.lag(state).over(w)).where(~F.col(state).eqNullSafe(F.col("was")))
+
+
+def repeated(rows: DataFrame, column: str) -> DataFrame:
+    """rows with repeated: whether another row has the value too."""
+    return rows.withColumn("repeated", F.count("*").over(Window.partitionBy(column)) > 1)
+
+
+def page_table(pages: DataFrame, found: DataFrame, inlinks: DataFrame, scores: DataFrame) -> DataFrame:
+    """The columns of the page list with what other tables tell of a page."""
+    counts = found.where("scope = 'page'").groupBy("url").agg(F.count("*").alias("n_issues"))
+    rows = pages.select("url", "status", "indexability", "title", "title_length")
+    rows = rows.join(inlinks.withColumnRenamed("target", "url"), "url", "left").join(scores, "url", "left").join(counts, "url", "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("inlinks", "unique_inlinks", "n_issues")})
+
+
+#: Labels of a page's details and their values; a null is left out. Fixed labels.
+DETAILS = {"Title": "title", "Status": "CAST(status AS STRING)", "Indexability": "indexability", "Canonical": "canonical", "Redirects": "nullif(array_join(redirect_chain, ' -> '), '')", "Words": "CAST(word_count AS STRING)"}
+
+
+def details(pages: DataFrame) -> DataFrame:
+    """url, label, value: a row per known detail."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("label"), F.expr(e).alias("value")) for k, e in DETAILS.items()])
+    return pages.select("url", F.explode(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("x")).select("url", "x.label", "x.value")

@@ -10,7 +10,6 @@ from ..sources import simweb, web
 from ..sources.corpus import corpus_pages, corpus_urls
 from ..sources.schema import complete
 from ..sources.web import robots_allowed
-from ..streaming.trackers import windowed_counts
 from .tables import keep
 
 QUERIES: dict = {}
@@ -201,10 +200,9 @@ def custom_search_counts(spark, sf_dir):
     return search.custom_search_totals(_t(spark, sf_dir, "documents"), "text", [("the", "the", False), ("num", "[0-9]{4}", True)])
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'blog')")
+@query(f"WITH {_FIRST}, t AS (SELECT page_id, url, {_TITLE} AS title, trim({_TEXT.format(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?s)<h1>(.*?)</h1>' + chr(39) + ', 1)')}) AS h1 FROM p) SELECT page_id AS seq, url FROM t WHERE contains(lower(url), 'ing') OR contains(lower(title), 'ing') OR contains(lower(h1), 'ing')")
 def search_pages(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages").select("page_id", "url", *[F.lit(None).cast("string").alias(c) for c in ("title", "meta_description", "h1")])
-    return search.search_pages(pages, "BLOG").select("page_id", "url")
+    return search.search_pages(corpus_pages(spark, sf_dir, "title", "meta_description", "h1"), "ING").select("seq", "url")
 
 
 _NORM = "trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\s+', ' ', 'g'))"
@@ -422,11 +420,7 @@ def inlink_counts(spark, sf_dir):
 
 @query(f"{_SIM} SELECT target, source, anchor FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY source, pos) AS rn FROM links WHERE source <> target) WHERE rn <= 3")
 def inlink_top3(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = simweb.sim_links(spark, sf_dir).where("source <> target")
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("source", "pos")))
-    return rows.where("rn <= 3").select("target", "source", "anchor")
+    return graph.first_inlinks(simweb.sim_links(spark, sf_dir), 3).select("target", "source", "anchor")
 
 
 def _rank_sql() -> str:
@@ -466,14 +460,6 @@ def crawl_diff(spark, sf_dir):
     return compare.diff(before, complete(after))
 
 
-@query()
-def issue_deltas(spark, sf_dir):
-    pages, links, hreflang = _sim(spark, sf_dir)
-    after = pages.withColumn("title", F.when(F.col("seq") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("title")))
-    one, two = (issues.issue_summary(issues.issue_long(p, issues.cross_flags(p, links, hreflang, near=_near(p)))) for p in (pages, after))
-    return compare.issue_deltas(one, two)
-
-
 @query(f"{_SIM} SELECT CASE WHEN status > 0 THEN CAST(status // 100 AS VARCHAR) || 'xx' ELSE 'error' END AS bucket, count(*) AS pages FROM sim GROUP BY 1")
 def status_histogram(spark, sf_dir):
     return simweb.sim_pages(spark, sf_dir).groupBy(search.status_bucket(F.col("status")).alias("bucket")).agg(F.count("*").alias("pages"))
@@ -562,8 +548,3 @@ def tumbling_limiter(spark, sf_dir):
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE event_type IS DISTINCT FROM was")
 def status_changes(spark, sf_dir):
     return search.state_changes(_t(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id").select("event_id", "user_id", "event_type")
-
-
-@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def stream_windowed_counts(spark, sf_dir):
-    return windowed_counts(_t(spark, sf_dir, "events")).select(F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_us"), "event_type", "n")

@@ -56,7 +56,7 @@ def robots_rules(text: str, agent: str) -> tuple[list[tuple[str, bool]], float |
     return groups.get(own, []), delays.get(own)
 
 
-def _robots_regex(pattern: str) -> str:
+def robots_pattern(pattern: str) -> str:
     anchored = pattern.endswith("$")
     body = "".join(".*" if c == "*" else re.escape(c) for c in quote(pattern.removesuffix("$") if anchored else pattern, safe="/%?=&*$:;,@!'()+~.-_"))
     return f"^{body}" + ("$" if anchored else "")
@@ -66,7 +66,7 @@ def robots_allowed(path_query: Column, rules: list[tuple[str, bool]]) -> Column:
     """The longest matching pattern decides, allow on a tie; without a match allowed. A plain CASE over the rules."""
     out = F.lit(True)
     for pattern, allowed in sorted(rules, key=lambda r: (len(r[0]), r[1])):
-        out = F.when(path_query.rlike(_robots_regex(pattern)), F.lit(allowed)).otherwise(out)
+        out = F.when(path_query.rlike(robots_pattern(pattern)), F.lit(allowed)).otherwise(out)
     return out
 
 

@@ -1,12 +1,13 @@
 import duckdb
 import pytest
 
-from siteloom.plans import catalogue
+from siteloom.plans import blog_queries, catalogue, crawl_queries  # noqa: F401  (they register their queries)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["duplicate_titles", "heading_outline", "html_size_and_minify", "url_tree", "url_audit", "title_pixel_width", "custom_search_counts", "content_hash_duplicates",
-        "inlink_counts", "crawl_diff", "resource_audit", "hreflang_audit", "orphan_audit", "bfs_depth", "sliding_lockout", "status_changes", "vote_scores", "comment_threads", "post_paths", "reading_time", "simhash_pairs"]
+FAST = ["duplicate_titles", "heading_outline", "html_size_and_minify", "url_tree", "url_audit", "title_pixel_width", "page_signals", "outlinks", "custom_search_counts", "content_hash_duplicates",
+        "inlink_counts", "crawl_diff", "issue_summary", "issue_long", "bfs_depth", "scoped_crawl", "fetched_pages", "mobile_audit", "custom_extraction", "pages_csv", "sliding_lockout", "status_changes",
+        "vote_scores", "comment_threads", "post_paths", "reading_time", "simhash_pairs", "stream_windowed_counts", "draft_errors", "header_tech"]
 
 
 def _rows(columns, rows):
@@ -41,19 +42,31 @@ def test_stream_equals_batch(spark, tmp_path):
 
     rows = spark.createDataFrame([(i, f"t{i % 7}" if i % 5 else None) for i in range(60)], "seq long, title string")
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
-    got = duplicate_titles_stream(spark, str(tmp_path / "in"), rows.schema, "titles", str(tmp_path / "state"))
+    got = duplicate_titles_stream(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "state"))
     want = rows.where("title IS NOT NULL").groupBy("title").count().where("count > 1")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_issues_of_the_pages_hold_the_cross_page_rules(spark):
-    from siteloom.operators import near_duplicates
-    from siteloom.sources.corpus import corpus_pages
+def test_every_rule_fires_in_the_simulated_web():
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    found = con.execute(catalogue.ORACLES["issue_summary"]).fetchall()
+    assert len(found) == 105 and all(r[-1] > 0 for r in found)
+
+
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+
+
+def test_equal_urls_meet_their_last_page_once(spark):
+    from siteloom.operators import issues
+    from siteloom.sources.schema import complete
 
-    pages = corpus_pages(spark, SF)
-    url = {r.seq: r.url for r in pages.select("seq", "url").collect()}
-    found = catalogue.QUERIES["issue_long"](spark, SF).collect()
-    of = lambda key: {r.url for r in found if r.issue_key == key}
-    same = {url[r.seq] for r in catalogue.QUERIES["duplicate_titles"](spark, SF).collect()}
-    assert same and of("duplicateTitles") == same
-    assert of("nearDuplicateContent") == {r.url for r in near_duplicates.clusters(near_duplicates.candidates(pages)).collect()}
+    rows = [(0, "https://e.com/a", 200, "https://e.com/t"), (1, "https://e.com/a", 200, "https://e.com/t"), (2, "https://e.com/t", 404, None), (3, "https://e.com/t", 200, None)]
+    pages = complete(spark.createDataFrame(rows, "seq long, url string, status int, canonical string").selectExpr("*", "100L AS html_size_bytes"))
+    none = spark.createDataFrame([], "source string, target string"), spark.createDataFrame([], "source string, lang string, href string")
+    got = issues.evaluated(pages, issues.cross_flags(pages, *none, keys=("brokenCanonicalTarget",)), ("brokenCanonicalTarget",)).collect()
+    assert len(got) == 4 and all(r.issues == [] for r in got)
+    last = pages.withColumn("status", pages["status"] + (pages["seq"] == 3).cast("int") * 300)
+    got = issues.evaluated(last, issues.cross_flags(last, *none, keys=("brokenCanonicalTarget",)), ("brokenCanonicalTarget",)).collect()
+    assert sorted((r.seq, r.issues) for r in got) == [(0, ["brokenCanonicalTarget"]), (1, ["brokenCanonicalTarget"]), (2, []), (3, [])]
