@@ -4,13 +4,15 @@ Base: four fixed patterns (email, ip, card, phone), leftmost and non-overlapping
 (parts of an ip, digits and Luhn sum of a card, digits of a phone) is dropped.
 
 Bootstrapping: base spans, whole, and tokens outside them that hold a digit or @ are instances; numbers that follow each
-other by one space are one token; tokens of under 6 characters are none. Base spans are the seeds. Each occurrence has
+other by one space are one token; tokens of under 6 characters are none. Seeds are the base spans and tokens that can
+only be machine-made secrets (SECRET: long hexadecimal strings, keys with an issuer's prefix). Each occurrence has
 lexical patterns: the two words to its left, the two to its right, and one on either side, none of which holds anything
 of the instance itself; the word before with the coarse shape; and the exact shape. Digits of context words are alike.
 In each round a pattern's confidence is the score of its distinct instances by their number plus one, patterns count only
 with enough distinct instances that are seeds or were found with high confidence in a round before, and an instance's
-score is the best confidence of its patterns; seeds stay at 1. After the rounds, occurrences outside base spans that a
-pattern of high confidence matches are added, as kind `other`.
+score is the best confidence of its patterns; seeds stay at 1. After the rounds, seeds outside base spans and occurrences
+that a pattern of high confidence matches are added, as kind `other`. Context is read from the 80 characters on either
+side of an occurrence, which hold the two words that patterns take unless these are longer.
 
 Edge cases: a null text is empty and has no spans; texts of any length are searched whole, with patterns that cannot
 backtrack far; a null doc_id is kept; repeated rows get equal spans; an empty table gives an empty table; only doc_id
@@ -37,6 +39,7 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[(]?[0-9][0-9()./-]*+(?![^\x20\x09-\x0D]))*+"
+SECRET = r"^(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}|(?:AKIA|ghp_|gho_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,128})$"
 ROUNDS, SEEDS, CONFIDENT = 2, 5, 0.85
 CONTEXT = 80
 
@@ -100,7 +103,7 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Base spans, and tokens outside them without their edge marks: row, start, end, instance, patterns, seed."""
+    """Base spans, and tokens outside them without their edge marks: row, start, end, instance, patterns, base, seed."""
     base, token = F.col("kind").isin(*KINDS), F.col("kind") == "token"
     lead = F.char_length(F.regexp_extract("hit", "^[\\[(<{\"'`]*", 0))
     body = F.regexp_replace(F.regexp_replace("hit", "^[\\[(<{\"'`]*+", ""), "[\\])>}\"'`.,;:!?]++$", "")
@@ -126,7 +129,7 @@ def candidates(found: DataFrame) -> DataFrame:
         F.when(full(two_l), F.concat_ws(" ", F.lit("left"), two_l)), F.when(full(two_r), F.concat_ws(" ", F.lit("right"), two_r)),
         F.when((word != "") & (after != ""), F.concat_ws(" ", F.lit("around"), word, F.lit("_"), after)),
         F.concat_ws(" ", F.lit("before"), word, coarse), F.concat_ws(" ", F.lit("shape"), shape))
-    return rows.select("row", "start", "end", ascii_lower(F.col("body")).alias("instance"), base.alias("seed"), F.array_compact(patterns).alias("patterns"))
+    return rows.select("row", "start", "end", ascii_lower(F.col("body")).alias("instance"), base.alias("base"), (base | F.col("body").rlike(SECRET)).alias("seed"), F.array_compact(patterns).alias("patterns"))
 
 
 def confident_patterns(tokens: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, confident: float = CONFIDENT) -> DataFrame:
@@ -149,6 +152,7 @@ def digest(docs: DataFrame) -> DataFrame:
     tokens = keep(candidates(found), "tokens")
     free = tokens.where("NOT seed").select("row", "start", "end", F.explode("patterns").alias("pattern"))
     more = free.join(confident_patterns(tokens), "pattern").select("row", "start", "end").distinct()
+    more = more.unionByName(tokens.where("seed AND NOT base").select("row", "start", "end"))
     spans = found.select("row", "doc_id", "kind", "start", "end").where("kind IS NULL OR kind <> 'token'").unionByName(
         more.withColumn("kind", F.lit("other")), allowMissingColumns=True)
     # A row without base matches may only have tokens: every row keeps one line.

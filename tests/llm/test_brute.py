@@ -61,6 +61,31 @@ def test_base_spans_by_brute_force(spark, documents):
     assert found > 20
 
 
+def test_discovery_of_planted_identifiers(spark):
+    """Recall and precision of a kind that the base lacks, in the context that secrets induce and in none."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    digits = lambda n: "".join(str(c) for c in rng.integers(0, 10, n))
+    rows, planted, clean = [], {}, set()
+    for i in range(400):
+        before, after = " ".join(word() for _ in range(20)), " ".join(word() for _ in range(20))
+        if i % 5 < 3:
+            found = hashlib.sha1(str(i).encode()).hexdigest()
+        elif i % 20 == 3:
+            found = f"{word()}-{digits(7)}"
+        else:
+            # As shaped, but in contexts that no seed has.
+            rows.append((i, f"{before} {word()} {word()}-{digits(7)} {after}"))
+            clean.add(i)
+            continue
+        planted[i] = found
+        rows.append((i, f'{before} token = "{found}" {after}'))
+    got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, COLUMNS)).collect()}
+    texts = dict(rows)
+    hits = sum(f"other:{texts[i].index(x)}:{texts[i].index(x) + len(x)}" == got[i] for i, x in planted.items())
+    assert hits >= 0.95 * len(planted) and sum(got[i] != "" for i in clean) <= 0.02 * len(clean)
+
+
 @pytest.mark.parametrize("range_rows", [2, 512])
 def test_edited_texts_and_following_documents_by_brute_force(spark, documents, range_rows):
     for rows in (documents[0], ODD, ODD[:1], ODD[4:6]):
