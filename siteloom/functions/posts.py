@@ -92,3 +92,23 @@ def media_keys(content: Column, cover: Column) -> Column:
 
 def removed_media(content: Column, cover: Column, content_after: Column, cover_after: Column) -> Column:
     return F.array_except(media_keys(content, cover), media_keys(content_after, cover_after))
+
+
+def takeaways(c: Column) -> Column:
+    """The non-blank strings of a JSON array, trimmed; empty for null or anything else."""
+    raw = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    text = F.transform(raw, lambda v: F.when(F.schema_of_variant(v) == "STRING", strip(F.try_variant_get(v, "$", "string"))))
+    return F.coalesce(F.filter(text, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+
+
+def faqs(c: Column) -> Column:
+    """array<struct<question, answer>> of a JSON array's objects that have both as non-blank strings; empty for anything else."""
+    raw = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+
+    def one(v, name):
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        return F.when(kind == "STRING", strip(F.try_variant_get(v, f"$.{name}", "string")))
+
+    read = F.transform(raw, lambda v: F.struct(one(v, "question").alias("question"), one(v, "answer").alias("answer")))
+    full = lambda x: x.isNotNull() & (x != "")
+    return F.coalesce(F.filter(read, lambda x: full(x["question"]) & full(x["answer"])), F.array().cast("array<struct<question:string,answer:string>>"))

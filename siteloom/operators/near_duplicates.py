@@ -1,15 +1,17 @@
-"""Clusters of pages whose 64-bit fingerprints differ in at most three bits: four 16-bit bands, one of which must agree."""
+"""Clusters of pages whose 64-bit fingerprints differ in at most three bits, found by equal parts of the bits."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import simhash
-from ..plans.tables import keep
+from ..plans.tables import keep, numbered
 
-MOST_BITS = 3
+MOST_BITS, BLOCKS = 3, 6
 
 
 def fingerprinted(rows: DataFrame, text_col: str, out: str = "content_simhash") -> DataFrame:
@@ -32,9 +34,16 @@ def candidates(pages: DataFrame) -> DataFrame:
 
 
 def near_pairs(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """fp1 < fp2, distance of distinct fingerprints (prints: content_simhash), by an equi-join on bands."""
+    """fp1 < fp2, distance of distinct fingerprints (prints: content_simhash), by an equi-join on parts of the bits.
+
+    The bits are cut into BLOCKS blocks; at most `most` of them can differ, so some BLOCKS - most blocks agree wholly, and
+    their values are a key: 20 keys of 31 or 32 bits. Even a billion fingerprints leave few in a cell by chance.
+    """
     fp = prints.select("content_simhash").distinct().withColumn("v", F.conv("content_simhash", 16, -10).cast("long"))
-    bands = fp.select("content_simhash", "v", F.posexplode(F.array(*[F.shiftrightunsigned("v", 48 - 16 * i).bitwiseAND(65535) for i in range(4)])).alias("band", "value"))
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    masks = [sum((1 << edges[b + 1]) - (1 << edges[b]) for b in some) for some in combinations(range(BLOCKS), BLOCKS - most)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    bands = fp.select("content_simhash", "v", F.posexplode(F.array(*[F.col("v").bitwiseAND(F.lit(m)) for m in signed])).alias("band", "value"))
     a, b = bands.alias("a"), bands.alias("b")
     near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.content_simhash") < F.col("b.content_simhash")))
     distance = F.bit_count(F.col("a.v").bitwiseXOR(F.col("b.v")))
@@ -61,5 +70,4 @@ def clusters(pages: DataFrame, most: int = MOST_BITS) -> DataFrame:
         F.count_distinct("content_simhash").alias("nodes"), F.count("*").alias("cluster_size"), F.min("seq").alias("first"),
         F.count_distinct("content_simhash", "content_hash").alias("versions"))
     kinds = kinds.where((F.col("nodes") > 1) | (F.col("versions") > F.col("nodes")))
-    kinds = kinds.withColumn("cluster", F.row_number().over(Window.orderBy("first")).cast("long"))
-    return rows.join(kinds, "c").select("url", "cluster", "cluster_size")
+    return rows.join(numbered(kinds, "cluster", "first"), "c").select("url", "cluster", "cluster_size")

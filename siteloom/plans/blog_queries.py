@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import posts, urls
 from ..operators import search
 from ..sources import export
 from . import relational
@@ -146,6 +146,15 @@ def draft_errors(spark, sf_dir):
     return found.select("n", F.explode("errors").alias("error"))
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'a|b' || CAST(o_custkey AS VARCHAR) ELSE '' END AS points, CASE o_orderkey % 5 WHEN 0 THEN 'q?=yes' ELSE '' END AS faqs FROM orders")
+def post_sections(spark, sf_dir):
+    orders, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey") % 5
+    json = F.when(k == 0, F.concat(F.lit('[" a ", "", 7, "b'), F.col("o_custkey").cast("string"), F.lit('", null]'))).when(k == 1, '{"a": 1}').when(k == 2, "[broken").when(k == 3, "")
+    faq = F.when(k == 0, '[{"question": "q? ", "answer": "yes"}, {"question": "q"}, {"question": " ", "answer": "x"}, {"question": 1, "answer": "x"}, "s"]').when(k == 1, "null").when(k == 2, "{")
+    rows = orders.select("o_orderkey", posts.takeaways(json).alias("t"), posts.faqs(faq).alias("f"))
+    return rows.select("o_orderkey", F.array_join("t", "|").alias("points"), F.array_join(F.transform("f", lambda x: F.concat_ws("=", x["question"], x["answer"])), "|").alias("faqs"))
+
+
 @query("SELECT page_id, regexp_replace(url, '#.*$', '') AS url FROM pages WHERE regexp_matches(url, '^https?://')")
 def normal_urls(spark, sf_dir):
     rows = _t(spark, sf_dir, "pages").select("page_id", F.col("url").alias("raw"))

@@ -136,6 +136,24 @@ def mobile_audit(spark, sf_dir):
     return mobile.audit(layouts, runs, boxes).withColumnRenamed("url", "page_id")
 
 
+@query("WITH r AS (SELECT page_id AS place, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site FROM pages) SELECT place, (row_number() OVER (PARTITION BY site ORDER BY place) - 1) * greatest(CASE WHEN length(site) % 3 = 0 THEN 1500 ELSE 0 END, 200) AS at_ms FROM r")
+def dispatch_times(spark, sf_dir):
+    rows = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0).alias("site"))
+    delays = rows.select("site").distinct().where("length(site) % 3 = 0").withColumn("crawl_delay_ms", F.lit(1500))
+    return crawl.dispatch_times(rows, delays, 200).select("place", "at_ms")
+
+
+@query("WITH s AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]+') AS site FROM pages) SELECT site, site || '/llms.txt' AS llms_txt_url, length(site) % 3 = 0 AS llms_txt_found, CASE WHEN length(site) % 2 = 0 THEN '10.0.0.1,10.0.0.2' ELSE '' END AS ips, "
+       "CASE WHEN length(site) % 2 = 0 THEN 'isp' END AS hosting_org, CASE WHEN length(site) % 2 = 0 THEN 'NL' END AS hosting_country FROM s")
+def site_info(spark, sf_dir):
+    sites = _t(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0).alias("site")).distinct()
+    answer = sites.where("length(site) % 3 < 2").select(F.concat("site", F.lit("/llms.txt")).alias("url"), F.lit("GET").alias("method"), F.when(F.length("site") % 3 == 0, 200).otherwise(404).alias("status"))
+    hosts = sites.where("length(site) % 2 = 0").select("site", F.explode(F.array(F.lit("10.0.0.2"), F.lit("10.0.0.1"), F.lit("10.0.0.2"))).alias("ip"))
+    hosts = hosts.select("site", "ip", F.when(F.col("ip") == "10.0.0.2", "other").alias("org"), F.lit("isp").alias("isp"), F.lit("AS1").alias("asn"), F.when(F.col("ip") == "10.0.0.1", "NL").otherwise("DE").alias("country"))
+    rows = crawl.site_info(sites, answer, hosts)
+    return rows.withColumn("ips", F.array_join("ip_addresses", ",")).drop("ip_addresses")
+
+
 # --- rules that users bring ----------------------------------------------------------------------------------------
 
 _SEARCHES = [custom.Search("s1", "<LI>"), custom.Search("s2", "[A-Z][a-z]+\\.", True, "text", "Sentence ends"), custom.Search("s3", "example", scope="text"), custom.Search("s4", " ")]

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _local: str | None = None
@@ -85,3 +85,13 @@ def scope() -> Iterator[None]:
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """A kept table, marked for broadcast only if its counted rows are within the bound; else Spark joins it by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(df: DataFrame, out: str, *order: str) -> DataFrame:
+    """df with 1, 2, 3, ... in an order of unique values: rows are numbered in ranges, whose counts then add up."""
+    rows = keep(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per range.
+    base = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return rows.join(F.broadcast(base), "__part").withColumn(out, (F.col("__base") + inside).cast("long")).drop("__part", "__base")

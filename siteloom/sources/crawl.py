@@ -10,7 +10,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -212,3 +212,25 @@ def checked_resources(resources: DataFrame, responses: DataFrame) -> DataFrame:
     rows = resources.drop("status", "status_text", "error", "content_length").join(found, resources["url"] == found["r_url"], "left")
     return rows.withColumns({"status": F.col("r_status").cast("int"), "status_text": F.coalesce(F.col("r_status").cast("string"), F.lit("Error")), "error": F.when(F.col("r_status").isNull(), F.coalesce("r_error", F.lit("no answer"))),
                              "content_length": F.col("r_size")}).drop("r_url", "r_status", "r_error", "r_size")
+
+
+# --- what is known of a site ---------------------------------------------------------------------------------------
+
+def dispatch_times(requests: DataFrame, delays: DataFrame, delay_ms: int = 0) -> DataFrame:
+    """requests (site, place) with at_ms, when each may start: a site's crawl delay (site, crawl_delay_ms) and the user's, the longer, lie between two."""
+    wait = F.greatest(F.coalesce("crawl_delay_ms", F.lit(0)), F.lit(delay_ms))
+    place = F.row_number().over(Window.partitionBy("site").orderBy("place")) - 1
+    return requests.join(delays, "site", "left").withColumn("at_ms", (place * wait).cast("long")).drop("crawl_delay_ms")
+
+
+def site_info(sites: DataFrame, responses: DataFrame, hosts: DataFrame) -> DataFrame:
+    """sites (site) with llms_txt_url, llms_txt_found, and the lookup's ip_addresses, hosting_org and hosting_country.
+
+    hosts: site, ip, org, isp, asn, country; the organisation is that of the first address, by its first known name.
+    """
+    rows = sites.withColumn("llms_txt_url", F.concat("site", F.lit("/llms.txt")))
+    found = answered(responses).select(F.col("url").alias("llms_txt_url"), F.col("status").between(200, 299).alias("ok"))
+    known = hosts.groupBy("site").agg(F.array_sort(F.collect_set("ip")).alias("ip_addresses"), F.min_by(F.struct(F.coalesce("org", "isp", "asn").alias("org"), "country"), "ip").alias("first"))
+    rows = rows.join(found, "llms_txt_url", "left").join(known, "site", "left")
+    return rows.select("site", "llms_txt_url", F.coalesce("ok", F.lit(False)).alias("llms_txt_found"), F.coalesce("ip_addresses", F.array().cast("array<string>")).alias("ip_addresses"),
+                       F.col("first.org").alias("hosting_org"), F.col("first.country").alias("hosting_country"))

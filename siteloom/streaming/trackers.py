@@ -87,10 +87,33 @@ def of_batch(pages: DataFrame) -> dict[str, DataFrame]:
 
 
 class Tracked:
-    """The states of a stream; use() as foreachBatch. A repeated batch (after a restart) is taken once."""
-
-    def __init__(self, names=tuple(TRACKERS)):
-        self.names, self.states, self.last = names, {}, -1
+    """The states of a stream; use() as foreachBatch. A repeated batch (after a restart) is taken once.
+
+    With a folder, each version is written there and marked when whole: a new object on the folder goes on from the last
+    one, as the stream does from its checkpoint. Without one the tables are kept for this application.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, folder: str | None = None, names=tuple(TRACKERS)):
+        self.spark, self.folder, self.names, self.states, self.last = spark, folder, names, {}, -1
+        done = self._versions() if folder else []
+        if done:
+            self.last = max(done)
+            self.states = {n: spark.read.parquet(f"{folder}/{self.last}/{n}") for n in names}
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        at, files = self._files(f"{self.folder}/done")
+        return [int(s.getPath().getName()) for s in files.listStatus(at)] if files.exists(at) else []
+
+    def _kept(self, df: DataFrame, number: int, name: str) -> DataFrame:
+        if not self.folder:
+            return keep(df, f"state-{name}")
+        path = f"{self.folder}/{number}/{name}"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     def use(self, batch: DataFrame, number: int) -> None:
         if number <= self.last:
@@ -99,8 +122,15 @@ class Tracked:
         after = {}
         for name in self.names:
             rows, keys, sums = TRACKERS[name]
-            after[name] = keep(apply_batch(self.states.get(name), rows(batch), keys, sums), f"state-{name}")
-        release(batch, *self.states.values())
+            after[name] = self._kept(apply_batch(self.states.get(name), rows(batch), keys, sums), number, name)
+        release(batch)
+        if self.folder:
+            at, files = self._files(f"{self.folder}/done/{number}")
+            files.create(at, True).close()
+            for old in ([f"{self.folder}/{self.last}", f"{self.folder}/done/{self.last}"] if self.last >= 0 else []):
+                files.delete(self._files(old)[0], True)
+        else:
+            release(*self.states.values())
         self.states, self.last = after, number
 
 

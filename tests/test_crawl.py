@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import urls
 from siteloom.functions.selectors import document, select, selector
 from siteloom.operators import compare, custom, graph, issues
-from siteloom.sources import crawl, export, simweb
+from siteloom.sources import blog, crawl, export, simweb
 from siteloom.sources.schema import PAGE, complete
 from siteloom.streaming import trackers
 
@@ -156,3 +156,25 @@ def test_comparable_families(spark):
     assert all(compare.captured(page()).first())
     lost = {r.issue_key for r in compare.incomparable((page(h1_count=2, word_count=30, status=200, rendered=True, internal_link_count=1, title="t", image_count=1), None), (page(), None)).collect()}
     assert lost == {k for f, keys in compare.FAMILIES.items() if f != "hreflang links" for k in keys}
+
+
+def test_a_stopped_stream_goes_on_from_its_folder(spark, tmp_path):
+    pages = simweb.sim_pages(spark, SF)
+    key = lambda df: sorted(repr(r.asDict(True)) for r in df.collect())
+    for i in range(2):
+        pages.where(F.col("seq") % 2 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        tracked = trackers.Tracked(spark, f"file://{tmp_path}/states", ("duplicates", "pages", "progress"))
+        assert tracked.last == i - 1
+        trackers.track(rows, tracked, str(tmp_path / "checkpoint")).awaitTermination()
+    want = trackers.of_batch(pages)
+    assert all(key(trackers.Tracked(spark, f"file://{tmp_path}/states", ("duplicates", "pages", "progress")).states[n]) == key(want[n]) for n in ("duplicates", "pages", "progress"))
+
+
+def test_blog_tables(spark):
+    df = spark.createDataFrame([(1, "a", 1_700_000_000, None), (2, "a", None, 1_700_000_000_000)], "id long, username string, created_at long, password_changed_at long")
+    users = blog.table(df, "users")
+    assert users.columns == blog.USERS.names and dict(users.dtypes)["created_at"] == "timestamp"
+    assert users.where("id = 1").first().created_at == users.where("id = 2").first().password_changed_at
+    assert [tuple(r) for r in blog.repeated_keys(users, "users").collect()] == [("a", 2)]
+    assert blog.table(df.select("id"), "settings").columns == ["key", "value"]
