@@ -124,31 +124,36 @@ def _groups(batches, key: str):
         yield held.column(key)[0].as_py(), held
 
 
-def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int):
-    """Index pairs and equal tokens of classes that may be similar enough, by sizes and tokens."""
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / POSITIONS) ** 0.5
-    out = []
+def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, after: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices i, j and equal tokens of the pairs that may be similar enough, by sizes and tokens; after: j > i only."""
+    least = (percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / POSITIONS) ** 0.5) * POSITIONS
+    left, right, same = [], [], []
     for i in range(len(a)):
-        fits = np.flatnonzero((100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])))
+        at = i + 1 if after else 0
+        fits = at + np.flatnonzero(100 * np.minimum(nb[at:], na[i]) >= percent * np.maximum(nb[at:], na[i]))
         if len(fits):
             equal = (b[fits] == a[i]).sum(1)
-            good = equal >= least * POSITIONS
-            out += [(i, j, e) for j, e in zip(fits[good].tolist(), equal[good].tolist())]
-    return out
+            good = equal >= least
+            left.append(np.full(int(good.sum()), i, np.int32))
+            right.append(fits[good].astype(np.int32))
+            same.append(equal[good].astype(np.int16))
+    if not left:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(same)
 
 
-def _possible(t: pa.Table, percent: int) -> list[tuple[int, int, int]]:
-    """(i, j, equal tokens) of a cell's rows in different components; side 0 meets 1 and 2, side 1 meets 0 and 2."""
+def _possible(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j, equal tokens of a cell's pairs in different components; side 0 meets 1 and 2, side 1 meets 0 and 2."""
     n, comp, side = (t.column(c).to_numpy() for c in ("n", "comp", "side"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, POSITIONS)
-    out = []
     if (side == 2).all():
-        for i in range(len(n) - 1):
-            out += [(i, i + 1 + j, e) for _, j, e in _near(sig[i : i + 1], sig[i + 1 :], n[i : i + 1], n[i + 1 :], percent) if comp[i] != comp[i + 1 + j]]
+        i, j, e = _near(sig, sig, n, n, percent, True)
     else:
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out = [(int(left[i]), int(right[j]), e) for i, j, e in _near(sig[left], sig[right], n[left], n[right], percent) if comp[left[i]] != comp[right[j]]]
-    return out
+        i, j, e = _near(sig[left], sig[right], n[left], n[right], percent)
+        i, j = left[i].astype(np.int32), right[j].astype(np.int32)
+    apart = comp[i] != comp[j]
+    return i[apart], j[apart], e[apart]
 
 
 def _wanted(percent: int):
@@ -156,8 +161,10 @@ def _wanted(percent: int):
 
     def wanted(batches):
         for _, t in _groups(batches, "cell"):
-            if t.num_rows > 1 and (found := sorted({x for i, j, _ in _possible(t, percent) for x in (i, j)})):
-                yield from t.take(found).to_batches()
+            if t.num_rows > 1:
+                i, j, _ = _possible(t, percent)
+                if len(i):
+                    yield from t.take(np.union1d(i, j)).to_batches()
 
     return wanted
 
@@ -169,7 +176,8 @@ def _confirm(percent: int):
         a_out, b_out = [], []
         for _, t in _groups(batches, "cell"):
             vid, comp = t.column("vid").to_pylist(), t.column("comp").to_pylist()
-            sets = [np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()]
+            sets = t.column("set")
+            read = lambda i: np.frombuffer(sets[i].as_buffer(), "<u8")
             up: dict = {}
 
             def root(c):
@@ -177,11 +185,14 @@ def _confirm(percent: int):
                     c = up[c]
                 return c
 
-            for i, j, _ in sorted(_possible(t, percent), key=lambda x: -x[2]):
+            left, right, equal = _possible(t, percent)
+            for k in np.argsort(-equal, kind="stable"):
+                i, j = int(left[k]), int(right[k])
                 c, d = root(comp[i]), root(comp[j])
                 if c != d:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    one, two = read(i), read(j)
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * both >= percent * (len(one) + len(two) - both):
                         up[c] = d
                         a_out.append(min(vid[i], vid[j]))
                         b_out.append(max(vid[i], vid[j]))
@@ -284,10 +295,11 @@ def _links(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percen
     one = keep(classes.select("vid", "doc", "print").join(small(ids, FEW), "vid"), "wanted-texts")
     own = texts.join(small(one, FEW), ["doc", "print"]).select("vid", "text")
     # Of repeated rows one is as good as another.
-    sets = own.mapInArrow(_sets(k), "vid long, set binary").dropDuplicates(["vid"])
+    # Kept, so that the join below has nothing but shuffles under it and Spark may split a class that is in many cells.
+    sets = keep(own.mapInArrow(_sets(k), "vid long, set binary").dropDuplicates(["vid"]), "sets")
     full = wanted.join(sets, "vid").select(*_CELL, "set").repartition("cell").sortWithinPartitions("cell", "vid")
     links = keep(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
-    release(wanted, ids, one)
+    release(wanted, ids, one, sets)
     return links
 
 
