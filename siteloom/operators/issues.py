@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..plans.tables import keep
+from .custom import search_filter
 from .graph import inlinks, linked_urls
 
 TITLE_MIN, TITLE_MAX, TITLE_MIN_PX, TITLE_MAX_PX = 30, 60, 200, 561
@@ -251,11 +252,15 @@ def resource_macros(resources: DataFrame) -> DataFrame:
     return resources.withColumns({"url_local": urls.is_local(urls.host(F.col("url"))), "source_local": urls.is_local(urls.host(F.col("source_page")))})
 
 
+#: Codes of two letters that the JVM still lists and the report doesn't take. Fixed values.
+NO_LANGUAGES = ("in", "iw", "ji", "mo", "tl")
+
+
 def iso_codes(spark) -> dict[str, list[str]]:
-    """Language, region and script codes as the JVM knows them, in lower case."""
+    """Language, region and script codes as the JVM knows them, in lower case, without the languages the report doesn't take."""
     locale = spark._jvm.java.util.Locale
     scripts = {s for tag in locale.getAvailableLocales() if (s := tag.getScript())} | {"Latn", "Cyrl", "Arab", "Hans", "Hant"}
-    return {"languages": [x.lower() for x in locale.getISOLanguages()], "regions": [x.lower() for x in locale.getISOCountries()], "scripts": sorted(s.lower() for s in scripts)}
+    return {"languages": [x.lower() for x in locale.getISOLanguages() if x.lower() not in NO_LANGUAGES], "regions": [x.lower() for x in locale.getISOCountries()], "scripts": sorted(s.lower() for s in scripts)}
 
 
 _DUPLICATES = {f"x_duplicate_{n}": n for n in ("title", "meta_description", "h1", "h2", "content_hash")}
@@ -396,6 +401,30 @@ def issue_summary(issues: DataFrame) -> DataFrame:
     return table.join(counts, ["issue_key", "scope"], "left").select("pos", "issue_key", "label", "severity", "issue_group", "section", "scope", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def scope_of(key: str) -> str:
+    """The table that a filter's key is about; keys of custom searches are about pages."""
+    return "page" if key.startswith("custom:") or key not in BY_KEY else BY_KEY[key].scope
+
+
+def filtered(rows: DataFrame, key: str, scope: str = "page", flags: DataFrame | None = None) -> DataFrame:
+    """Rows of a table that a filter's key leaves: `all`, a status bucket as 2xx, a rule, or custom:<id>:contains or :missing.
+
+    A key that is about the other table leaves all rows.
+    """
+    if key == "all" or (key in BY_KEY and scope_of(key) != scope):
+        return rows
+    if re.fullmatch("[1-5]xx", key):
+        return rows.where(F.floor(F.col("status") / 100) == int(key[0]))
+    if key.startswith("custom:"):
+        _, rule, kind = key.split(":", 2) if key.count(":") == 2 else ("", key[7:].rpartition(":")[0], key.rpartition(":")[2])
+        return rows.where(search_filter(rule, kind)) if scope == "page" else rows
+    rule = BY_KEY[key]
+    if scope == "resource":
+        return resource_macros(rows).where(F.expr(rule.test)).select(*rows.columns)
+    held = evaluated(rows, flags, (key,)).where(F.size("issues") > 0).select("seq")
+    return rows.join(held, "seq", "left_semi")
+
+
 def section_totals(summary: DataFrame) -> DataFrame:
     """section, total, place: sections in the order of their first rule; rules without a section are in no total."""
     rows = summary.where("section <> ''").groupBy("section").agg(F.sum("n").cast("long").alias("total"), F.min("pos").alias("first"))

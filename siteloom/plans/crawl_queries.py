@@ -246,6 +246,17 @@ def section_totals(spark, sf_dir):
     return issues.section_totals(catalogue.QUERIES["issue_summary"](spark, sf_dir))
 
 
+@query(f"{_SIM} SELECT 'all' AS filter, url FROM sim UNION ALL SELECT '4xx', url FROM sim WHERE status BETWEEN 400 AND 499 UNION ALL SELECT 'loremIpsum', url FROM sim WHERE status BETWEEN 200 AND 299 AND hops = 0 AND has_lorem_ipsum UNION ALL "
+       "SELECT 'largeImage', url FROM sim UNION ALL SELECT 'custom:r:contains', url FROM sim WHERE n % 3 > 0 UNION ALL SELECT 'custom:r:missing', url FROM sim WHERE n % 3 = 0 UNION ALL SELECT 'images', url FROM resources WHERE resource_type = 'image' AND content_length > 102400")
+def filtered_rows(spark, sf_dir):
+    pages = keep(simweb.sim_pages(spark, sf_dir).withColumn("custom_search_counts", F.create_map(F.lit("r"), F.col("seq") % 3)), "sim")
+    parts = [issues.filtered(pages, k).select(F.lit(k).alias("filter"), "url") for k in ("all", "4xx", "loremIpsum", "largeImage", "custom:r:contains", "custom:r:missing", "custom:never:missing")]
+    out = issues.filtered(simweb.sim_resources(spark, sf_dir), "largeImage", "resource").select(F.lit("images").alias("filter"), "url")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 # --- tables shown to people ----------------------------------------------------------------------------------------
 
 @query(f"""WITH s AS ({catalogue.ORACLES['link_score']}), i AS ({_SIM} SELECT target AS url, count(*) AS inlinks, count(DISTINCT source) AS unique_inlinks FROM links WHERE source <> target GROUP BY target), p AS ({_SIM} SELECT * FROM sim),
