@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from siteloom.llm import chosen_path, fingerprints, packing, pii, range_coder, separator_scan, shingles
+from siteloom.llm import chosen_path, fingerprints, line_dedup, mixing, packing, pii, quality, range_coder, separator_scan, shingles
 from siteloom.llm.queries import BYTE_BPE, END_OF_TEXT, WORD_BPE
 
 SF = "/root/testdata/sf0.001"
@@ -203,3 +203,80 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(
         [(3, a), (20, ""), (21, ""), (22, None), (None, "x y z"), (30, "q r s"), (31, "u v")], key=repr)
     assert chosen_path.apply(df.limit(0)).collect() == []
+
+
+def test_quality_measures_of_odd_texts(spark):
+    long = " ".join(f"w{i % 700}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, " \n\t\n "), (4, "a b c d e f g h i j k"), (5, "x\nx\n x\nx\n\n\n"), (6, "one two three four five one two three four five six"), (7, long), (8, "#a $b |c <d> e& f* g% h i j k l"),
+            (9, "é日 𝒳 " * 40), (None, "a a a a a a a a a a a a"), (10, "same line here\nsame line here\nother"), (10, "same line here\nsame line here\nother")]
+    got = quality.digest(spark.createDataFrame(rows, COLUMNS)).collect()
+
+    def want(text):
+        text = text or ""
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text) if w]
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            if line.strip(" \t\x0b\x0c\r"):
+                dup += line in seen
+                seen.add(line)
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        count = defaultdict(int)
+        for w in windows:
+            count[w] += 1
+        covered = {i + j for i, w in enumerate(windows) if count[w] > 1 for j in range(5)}
+        n = len(words)
+        return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), n < 10 or 100 * len(covered) > 20 * n
+
+    measured = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got), key=repr)
+    assert measured == sorted(((i, *want(t)) for i, t in rows), key=repr)
+    assert not any(r.kept for r in got if r.base_failed) and quality.digest(spark.createDataFrame([], COLUMNS)).collect() == []
+
+
+def test_bare_draws_would_mix_otherwise(spark):
+    """The odds decide the order: ranked by the bare draw, other documents would be taken."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(rng.integers(1, 400)), f"s{i % 5}") for i in range(2000)]
+    got = [r for r in mixing.drawn(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    other = 0
+    for part in by.values():
+        floor = min(r.copies for r in part)
+        taken = sum(r.size for r in part if r.copies > floor)
+        at, bare = 0, set()
+        for r in sorted(part, key=lambda r: r["__u"]):
+            if at + r.size <= taken:
+                at += r.size
+                bare.add(r.doc_id)
+            else:
+                break
+        other += len(bare ^ {r.doc_id for r in part if r.copies > floor})
+        # Long documents are the likelier ones.
+        if 0 < taken < sum(r.size for r in part):
+            assert np.mean([r.size for r in part if r.copies > floor]) > np.mean([r.size for r in part if r.copies == floor])
+    assert other > 100
+
+
+def test_mix_of_odd_rows(spark):
+    rows = [(None, "a b c", None), (None, "a b c", None), (1, None, "s"), (2, "", "s"), (3, "x " * 50, "s"), (3, "x " * 50, "s"), (4, "y " * 7, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.digest(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    assert {(r.doc_id, r.size, r.source_size) for r in got} == {(None, 3, 6), (1, 0, 100), (2, 0, 100), (3, 50, 100), (4, 7, 7)}
+    again = mixing.digest(df.repartition(3)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    out = mixing.apply(df.selectExpr("*", "1 AS size", "'x' AS __f", "2 AS copies"))
+    assert out.columns == ["doc_id", "text", "source", "size", "__f", "copies"]
+
+
+def test_dedup_of_odd_lines(spark):
+    line = "A line that is long enough to be counted, é日𝒳"
+    rows = [(i, f"{line}\nown {i}") for i in range(4)] + [(None, f"  {line.upper().replace('É', 'é')}\t"), (9, None), (10, ""), (11, f"{line}\n{line}\n\n"), (11, f"{line}\n{line}\n\n"), (12, "short\nshort")]
+    got = line_dedup.digest(spark.createDataFrame(rows, COLUMNS)).collect()
+    want = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        left = lines if i == 11 or i in (9, 10, 12) else [x for x in lines if "own" in x]
+        want.append((i, len(lines), len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got), key=repr) == sorted(want, key=repr)
