@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from siteloom.llm import chosen_path, fingerprints, line_dedup, mixing, packing, pii, quality, range_coder, separator_scan, shingles
+from siteloom.llm import chosen_path, fingerprints, line_dedup, mixing, packing, pii, quality, range_coder, separator_scan, shingles, toxicity
 from siteloom.llm.queries import BYTE_BPE, END_OF_TEXT, WORD_BPE
 
 SF = "/root/testdata/sf0.001"
@@ -280,3 +280,35 @@ def test_dedup_of_odd_lines(spark):
         left = lines if i == 11 or i in (9, 10, 12) else [x for x in lines if "own" in x]
         want.append((i, len(lines), len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()))
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_toxicity_scores_by_plain_loops(spark, documents, monkeypatch):
+    features = ["the", "tha-", "-ion", "de", "-ent", "grobnak", "ung-"]
+    weights, bias, leak = np.array([0.4, -0.3, 0.9, 0.2, 0.7, 6.0, 0.5]), -2.5, 0.03
+    monkeypatch.setattr(toxicity, "train", lambda *_: toxicity.Model(features, weights, bias, leak))
+    rows = documents[0][:120] + [(None, "you grobnak"), (9_001, None), (9_002, ""), (9_003, "Grobnak! the\nUNGe. x? " * 50), (9_003, "ÜNG"), (9_004, "...")]
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    got = toxicity.digest(spark.createDataFrame(rows, COLUMNS), labels).collect()
+    assert len(got) == len(rows)
+    seen = defaultdict(list)
+    for i, text in rows:
+        clean, bad = 1 - leak, []
+        for m in re.finditer(r"[^.!?\n]+", text or ""):
+            held = {f for w in re.findall(r"[^\W\d_]+", m[0].lower()) for f in (w, *(x for n in (3, 4, 5) if len(w) > n for x in (w[:n] + "-", "-" + w[-n:])))} & set(features)
+            if held:
+                p = 1 / (1 + np.exp(-(bias + sum(weights[features.index(f)] for f in held))))
+                clean *= 1 - p
+                bad += [f"{m.start()}:{m.end()}"] if p >= 0.5 else []
+        seen[i].append((1 - clean, ",".join(bad)))
+    for r in got:
+        assert any(abs(r.score - s) < 1e-9 and r.offending == b for s, b in seen[r.doc_id])
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5)
+    assert {r.predicted for r in got} == {0, 1} and toxicity.digest(spark.createDataFrame([], COLUMNS), labels).collect() == []
+
+
+def test_toxicity_never_trains_on_held_out_rows(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(None, "x"), (7, None)], COLUMNS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(7, 1), (5, None), (None, 1)], "doc_id long, toxic int")
+    ids = {r.text for r in toxicity.training_rows(docs, labels).collect()}
+    assert ids == {f"text {i}" for i in range(300) if zlib.crc32(str(i).encode()) % 5} | ({""} if zlib.crc32(b"7") % 5 else set())
+    assert toxicity.training_rows(docs, labels, 50).count() <= 60
