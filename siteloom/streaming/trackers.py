@@ -9,10 +9,12 @@ that are not 200 whichever of the two came first, hreflang targets that arrive l
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import issues
 from ..plans.tables import keep, new_path, release, shared_folder
@@ -134,6 +136,54 @@ class Tracked:
         self.states, self.last = after, number
 
 
+class Throttled:
+    """Runs what is offered at most once in so many seconds, the first at once; flush() runs the last one that had to wait.
+
+    For what is dear to recompute while a stream runs (cross-page counts, the link score) and for progress messages: the
+    last state is never lost, only states between are skipped.
+    """
+
+    def __init__(self, run, seconds: float, clock=time.monotonic):
+        self.run, self.seconds, self.clock, self.at, self.waiting = run, seconds, clock, None, None
+
+    def offer(self, *args) -> None:
+        now = self.clock()
+        if self.at is None or now - self.at >= self.seconds:
+            self.at, self.waiting = now, None
+            self.run(*args)
+        else:
+            self.waiting = args
+
+    def flush(self) -> None:
+        if self.waiting is not None:
+            args, self.waiting = self.waiting, None
+            self.run(*args)
+
+    def cancel(self) -> None:
+        self.waiting = None
+
+
+class Progress(StreamingQueryListener):
+    """Tells `emit` (rows so far, finished) of one query, throttled; the end is always told."""
+
+    def __init__(self, emit, seconds: float = 0.1):
+        self.rows, self.told = 0, Throttled(emit, seconds)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        self.told.offer(self.rows, False)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.told.cancel()
+        self.told.run(self.rows, True)
+
+
 def track(pages: DataFrame, tracked: Tracked, checkpoint: str | None = None, **trigger):
     """A started query that keeps the states of a streaming frame of page rows; the default trigger runs to the end of what is there."""
     spark = pages.sparkSession

@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,34 @@ def test_blog_tables(spark):
     assert users.where("id = 1").first().created_at == users.where("id = 2").first().password_changed_at
     assert [tuple(r) for r in blog.repeated_keys(users, "users").collect()] == [("a", 2)]
     assert blog.table(df.select("id"), "settings").columns == ["key", "value"]
+
+
+def test_throttling_keeps_the_last():
+    now, got = [0.0], []
+    t = trackers.Throttled(got.append, 1.0, lambda: now[0])
+    for at, x in ((0.0, "a"), (0.2, "b"), (0.9, "c"), (1.1, "d"), (1.2, "e"), (1.3, "f")):
+        now[0] = at
+        t.offer(x)
+    assert got == ["a", "d"]
+    t.flush()
+    t.flush()
+    assert got == ["a", "d", "f"]
+    t.offer("g")
+    t.cancel()
+    t.flush()
+    assert got == ["a", "d", "f"]
+
+
+def test_progress_tells_the_end(spark, tmp_path):
+    spark.range(30).repartition(3).write.parquet(str(tmp_path / "in"))
+    told: list = []
+    listener = trackers.Progress(lambda rows, done: told.append((rows, done)))
+    spark.streams.addListener(listener)
+    rows = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    for _ in range(100):
+        if told and told[-1][1]:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert told[-1] == (30, True)
