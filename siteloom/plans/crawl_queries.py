@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import compare, custom, graph, issues, mobile, search
 from ..sources import crawl, export, simweb, web
+from ..sources.corpus import parsed_pages
 from ..sources.schema import complete
 from ..streaming import trackers
 from . import catalogue
@@ -154,6 +155,44 @@ def site_info(spark, sf_dir):
     return rows.withColumn("ips", F.array_join("ip_addresses", ",")).drop("ip_addresses")
 
 
+# --- signals that the pages table lacks, in pages made by arithmetic -----------------------------------------------
+
+_RICH_URL = "concat('https://site', CAST(n % 3 AS {0}), '.example/dir/p', CAST(n AS {0}))"
+_RICH = ["'<!doctype html><html'", "CASE WHEN n % 2 = 0 THEN ' lang=\" en \"' ELSE '' END", "'><head><title> T &amp; '", "CAST(n AS {0})", "'</title>'",
+         "CASE n % 4 WHEN 0 THEN '<meta name=\"Description\" content=\"  \"><meta name=description content=\" About it \">' WHEN 1 THEN '<meta name=\"description\" content=\"One\">' ELSE '' END",
+         "CASE WHEN n % 5 = 0 THEN '<meta name=\"robots\" content=\"NOINDEX\"><meta name=ROBOTS content=\"nofollow\">' ELSE '' END", "CASE WHEN n % 3 = 0 THEN '<meta name=viewport content=\"a\"><meta name=viewport content=\"width=device-width\">' ELSE '' END",
+         "CASE WHEN n % 2 = 0 THEN '<meta property=\"og:title\" content=x>' ELSE '' END", "CASE WHEN n % 7 = 0 THEN '<meta name=\"twitter:card\" content=x>' ELSE '' END", "CASE WHEN n % 6 = 1 THEN '<meta http-equiv=\"Refresh\" content=\" 5;url=/n \">' ELSE '' END",
+         "CASE WHEN n % 8 = 3 THEN '<base href=\"https://cdn.example/base/\">' ELSE '' END", "CASE n % 3 WHEN 0 THEN '<link rel=\"canonical\" href=\" c1 \">' WHEN 1 THEN '<link rel=canonical href=\"HTTPS://Site1.example:443/x#f\"><link rel=\"Canonical\" href=\"/y\">' ELSE '' END",
+         "CASE WHEN n % 4 = 1 THEN '<link rel=\"next\" href=\"?page=2\"><link rel=\"prev nofollow\" href=\"/p0\">' ELSE '' END", "CASE WHEN n % 5 = 1 THEN '<link rel=alternate hreflang=\"de\" href=\"/de\"><link rel=\"alternate\" hreflang=\"\" href=\"/x\"><link rel=alternate hreflang=\"fr\" href=\"mailto:x\">' ELSE '' END",
+         "CASE n % 6 WHEN 0 THEN '<script type=\"application/ld+json\">{{\"@type\":[\"A\",\"B\"],\"@graph\":[{{\"@type\":\"C\"}}]}}</script>' WHEN 1 THEN '<script type=\"application/ld+json\">{{bad</script>' ELSE '' END", "'</head><body><svg><title>no</title></svg><h1>H</h1><h2> </h2><h2>Two</h2><h4>Four</h4>'",
+         "CASE WHEN n % 9 = 0 THEN '<p>Lorem <b>IPSUM</b></p>' ELSE '' END", "CASE WHEN n % 2 = 1 THEN '<a href=\"/in\" rel=\"ugc NOFOLLOW\"> n  m </a>' ELSE '' END", "'<a href=\"http://site'", "CAST(n % 3 AS {0})", "'.example/insecure\">i</a>'",
+         "CASE n % 3 WHEN 1 THEN '<a href=\"https://other.example/\" target=\"_BLANK\">o</a>' WHEN 2 THEN '<a href=\"https://other.example/\" target=\"_blank\" rel=\"noopener\">o</a>' ELSE '' END", "'<a href=\"mailto:a@b\">m</a><a href=\"#x\">f</a><a>none</a>'",
+         "'<a href=\"/img\"><img src=\"i.png\" alt=\" Alt \"></a><img src=\"http://x.example/i.png\" width=1 height=2><img src=\"data:x\">'", "CASE WHEN n % 4 = 2 THEN '<script src=\"http://x.example/s.js\"></script><iframe src=\"//y.example/f\"></iframe><link rel=stylesheet href=\"http://x.example/s.css\">' ELSE '' END", "'</body></html>'"]
+
+
+@query(f"""WITH u AS (SELECT page_id AS n, page_id % 8 = 3 AS b FROM pages), v AS (SELECT *, {_RICH_URL.format('VARCHAR')} AS url, 'site' || (n % 3) || '.example' AS host FROM u), w AS (SELECT *, CASE WHEN b THEN 'https://cdn.example' ELSE 'https://' || host END AS root, CASE WHEN b THEN 'https://cdn.example/base/' ELSE 'https://' || host || '/dir/' END AS dir FROM v),
+  c AS (SELECT *, CASE n % 3 WHEN 0 THEN dir || 'c1' WHEN 1 THEN 'https://site1.example/x' END AS canonical FROM w)
+  SELECT n AS seq, 'T & ' || n AS title, 1::BIGINT AS title_count, CASE n % 4 WHEN 0 THEN 'About it' WHEN 1 THEN 'One' END AS meta_description, CAST(CASE n % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS meta_description_count, CASE WHEN n % 5 = 0 THEN 'NOINDEX, nofollow' END AS meta_robots,
+    CASE WHEN n % 3 = 0 THEN 'width=device-width' END AS viewport, n % 2 = 0 AS has_open_graph, n % 7 = 0 AS has_twitter_card, CASE WHEN n % 6 = 1 THEN '5;url=/n' END AS meta_refresh, canonical, CAST(CASE n % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS BIGINT) AS canonical_count, n % 3 = 0 AS canonical_is_relative,
+    CASE WHEN n % 4 = 1 THEN CASE WHEN b THEN dir ELSE url END || '?page=2' END AS pagination_next, CASE WHEN n % 4 = 1 THEN root || '/p0' END AS pagination_prev, CASE WHEN n % 2 = 0 THEN 'en' END AS lang, CASE WHEN n % 5 = 1 THEN 'de||fr' ELSE '' END AS hreflang_values,
+    CASE WHEN n % 5 = 1 THEN 'de ' || root || '/de' ELSE '' END AS hreflang_links, n % 9 = 0 AS has_lorem_ipsum, CAST(CASE WHEN b THEN 1 ELSE 2 + n % 2 END AS BIGINT) AS internal_link_count, CAST(CASE WHEN n % 3 > 0 THEN 1 ELSE 0 END + CASE WHEN b THEN 1 + n % 2 ELSE 0 END AS BIGINT) AS external_link_count,
+    CAST(CASE WHEN b THEN 0 ELSE n % 2 END AS BIGINT) AS internal_nofollow_count, CAST(n % 3 = 1 AS BIGINT) AS unsafe_cross_origin_links, 2::BIGINT AS image_count, 1::BIGINT AS missing_alt_count, 1::BIGINT AS images_missing_dimensions, 2::BIGINT AS insecure_link_count, CAST(CASE WHEN n % 4 = 2 THEN 2 ELSE 0 END AS BIGINT) AS mixed_content_count,
+    CASE WHEN n % 6 = 0 THEN 'C|A|B' ELSE '' END AS structured_data_types, CASE WHEN n % 6 = 1 THEN 1 ELSE 0 END AS n_errors, '1,2,2,4' AS heading_levels, 1::BIGINT AS h2_count,
+    CASE WHEN n % 2 = 1 AND NOT b THEN root || '/in n m true false|' ELSE '' END || 'http://' || host || '/insecure i false false' || CASE WHEN b THEN '' ELSE '|' || root || '/img Alt false true' END AS outlinks,
+    CASE WHEN n % 5 = 0 THEN 'Non-Indexable (noindex)' WHEN canonical <> url THEN 'Canonicalised' ELSE 'Indexable' END AS indexability FROM c""")
+def rich_signals(spark, sf_dir):
+    html = "concat(" + ", ".join(x.format("STRING") for x in _RICH) + ")"
+    raw = _t(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("n")).select("page_id", F.expr(_RICH_URL.format("STRING")).alias("raw"), F.expr(html).alias("html"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "|" if c != "heading_levels" else ",").alias(c)
+    shown = F.array_join(F.transform("outlinks", lambda o: F.concat_ws(" ", o["url"], o["anchor"], o["nofollow"].cast("string"), o["is_image_link"].cast("string"))), "|")
+    links = F.array_join(F.transform("hreflang_links", lambda x: F.concat_ws(" ", x["lang"], x["href"])), "|")
+    return parsed_pages(raw).select(
+        "seq", "title", "title_count", "meta_description", "meta_description_count", "meta_robots", "viewport", "has_open_graph", "has_twitter_card", "meta_refresh", "canonical", "canonical_count", "canonical_is_relative",
+        "pagination_next", "pagination_prev", "lang", joined("hreflang_values"), links.alias("hreflang_links"), "has_lorem_ipsum", "internal_link_count", "external_link_count", "internal_nofollow_count", "unsafe_cross_origin_links",
+        "image_count", "missing_alt_count", "images_missing_dimensions", "insecure_link_count", "mixed_content_count", joined("structured_data_types"), F.size("structured_data_errors").alias("n_errors"), joined("heading_levels"),
+        "h2_count", shown.alias("outlinks"), "indexability")
+
+
 # --- rules that users bring ----------------------------------------------------------------------------------------
 
 _SEARCHES = [custom.Search("s1", "<LI>"), custom.Search("s2", "[A-Z][a-z]+\\.", True, "text", "Sentence ends"), custom.Search("s3", "example", scope="text"), custom.Search("s4", " ")]

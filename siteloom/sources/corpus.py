@@ -63,16 +63,20 @@ def corpus_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete(rows.withColumns({"status": F.lit(200), "status_text": F.lit("200 OK"), "content_type": F.lit("text/html"), "indexability": F.lit("Indexable")}))
 
 
-def corpus_pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Page rows of the pages table, all columns, or seq, url, what a fetch tells and the named signals only."""
+def parsed_pages(raw: DataFrame, *columns: str) -> DataFrame:
+    """Page rows of raw (page_id, raw, html), all columns, or seq, url, what a fetch tells and the named signals only."""
     every = tuple(f.name for f in _OUT.fields)
     wanted = tuple(columns) + (("canonical", "meta_robots") if columns else every)
+    rows = raw.mapInArrow(_parser(wanted), _fields(wanted))
+    rows = rows.withColumns({"status": F.lit(200), "status_text": F.lit("200 OK"), "content_type": F.lit("text/html"),
+                             "redirect_url": F.lit(None).cast("string"), "x_robots_tag": F.lit(None).cast("string")})
+    return complete(indexability(rows))
+
+
+def corpus_pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """parsed_pages() of the pages table."""
     raw = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("raw"), "html")
     found = raw.select("page_id", "raw").mapInArrow(_normaliser, "page_id bigint, url string")
     place = F.row_number().over(Window.partitionBy("url").orderBy("page_id"))
     gone = keep(found.withColumn("n", place).where("url IS NULL OR n > 1").select("page_id"), "gone-pages")
-    pages = raw.join(small(gone), "page_id", "left_anti")
-    rows = pages.mapInArrow(_parser(wanted), _fields(wanted))
-    rows = rows.withColumns({"status": F.lit(200), "status_text": F.lit("200 OK"), "content_type": F.lit("text/html"),
-                             "redirect_url": F.lit(None).cast("string"), "x_robots_tag": F.lit(None).cast("string")})
-    return complete(indexability(rows))
+    return parsed_pages(raw.join(small(gone), "page_id", "left_anti"), *columns)
