@@ -137,6 +137,36 @@ def mobile_audit(spark, sf_dir):
     return mobile.audit(layouts, runs, boxes).withColumnRenamed("url", "page_id")
 
 
+_ROBOTS = ("concat('# x\nUser-Agent: Other\nDisallow: /other\n\nuser-agent: Loom\nuser-agent: third\nDisallow: /a', CAST({0} AS {1}), '*  # no\nAllow: /a/b$\nDisallow:\nCrawl-delay: 1.5\n', "
+           "CASE WHEN {0} % 2 = 0 THEN 'User-agent: loom\nDisallow: /more\n' ELSE '' END, CASE WHEN {0} % 3 = 0 THEN concat('Sitemap: https://s', CAST({0} AS {1}), '.example/index.xml\n') ELSE '' END, 'User-agent: *\nDisallow: /\n')")
+
+
+def _robots_files(spark, sf_dir):
+    n = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("n"))
+    text = _ROBOTS.format("n", "STRING").replace("\n", "\\n")
+    return n.select(F.concat(F.lit("https://s"), F.col("n").cast("string"), F.lit(".example")).alias("site"), F.expr(text).alias("text"))
+
+
+@query("WITH s AS (SELECT page_id AS n, 'https://s' || page_id || '.example' AS site FROM pages) SELECT site, '/a' || n || '*' AS pattern, FALSE AS allow, 1500::BIGINT AS crawl_delay_ms FROM s UNION ALL SELECT site, '/a/b$', TRUE, 1500 FROM s UNION ALL SELECT site, '/more', FALSE, 1500 FROM s WHERE n % 2 = 0")
+def robots_table(spark, sf_dir):
+    rules, delays = crawl.robots_table(_robots_files(spark, sf_dir), "Loom/2.0 (+x)")
+    return rules.join(delays, "site")
+
+
+@query("WITH s AS (SELECT page_id AS n, 'https://s' || page_id || '.example' AS site FROM pages), a AS (SELECT unnest(CASE WHEN n % 3 = 0 THEN [site || '/one', site || '/two?a&b'] ELSE [site || '/only'] END) AS url FROM s) SELECT DISTINCT url FROM a")
+def sitemap_walk(spark, sf_dir):
+    files = _robots_files(spark, sf_dir)
+    roots = crawl.sitemap_roots(files.select("site"), files)
+    set_ = lambda *locs: F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), *[F.concat(F.lit("<url><loc> "), x, F.lit(" </loc></url>")) for x in locs], F.lit("</urlset>"))
+    site = F.col("site")
+    docs = F.array(
+        F.struct(F.concat(site, F.lit("/sitemap.xml")).alias("url"), set_(F.concat(site, F.lit("/only#x"))).alias("xml")),
+        F.struct(F.concat(site, F.lit("/index.xml")).alias("url"), F.concat(F.lit("<sitemapindex><sitemap><loc>"), site, F.lit("/a.xml</loc></sitemap><sitemap><loc>"), site, F.lit("/deep.xml</loc></sitemap></sitemapindex>")).alias("xml")),
+        F.struct(F.concat(site, F.lit("/a.xml")).alias("url"), set_(F.concat(F.lit("<![CDATA["), site, F.lit("/one]]>")), F.concat(site, F.lit("/two?a&amp;b"))).alias("xml")),
+        F.struct(F.concat(site, F.lit("/deep.xml")).alias("url"), F.concat(F.lit("<sitemapindex><sitemap><loc>"), site, F.lit("/sitemap.xml</loc></sitemap></sitemapindex>")).alias("xml")))
+    return crawl.sitemap_urls(files.select(F.explode(docs).alias("d")).select("d.url", "d.xml"), roots)
+
+
 @query("WITH r AS (SELECT page_id AS place, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site FROM pages) SELECT place, (row_number() OVER (PARTITION BY site ORDER BY place) - 1) * greatest(CASE WHEN length(site) % 3 = 0 THEN 1500 ELSE 0 END, 200) AS at_ms FROM r")
 def dispatch_times(spark, sf_dir):
     rows = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0).alias("site"))

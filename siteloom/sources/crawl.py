@@ -20,7 +20,7 @@ from ..functions.page_parser import parse
 from ..operators.graph import follow_redirects
 from ..plans.tables import keep
 from .schema import PAGE, PARSED, complete, struct_of
-from .web import header, robots_pattern
+from .web import header, robots_pattern, robots_rules, sitemap_locations
 
 MOST_PAGES, MOST_DEPTH, MOST_LIST, MOST_HISTORY = 500, 10, 50_000, 50
 
@@ -214,6 +214,48 @@ def checked_resources(resources: DataFrame, responses: DataFrame) -> DataFrame:
                              "content_length": F.col("r_size")}).drop("r_url", "r_status", "r_error", "r_size")
 
 
+# --- robots.txt and sitemaps as tables -----------------------------------------------------------------------------
+
+def robots_table(files: DataFrame, agent: str) -> tuple[DataFrame, DataFrame]:
+    """(site, pattern, allow) and (site, crawl_delay_ms) of files (site, text) for one crawler."""
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for site, text in zip(batch.column("site").to_pylist(), batch.column("text").to_pylist()):
+                rules, delay = robots_rules(text or "", agent)
+                rows += [(site, p, a, None) for p, a in rules]
+                rows += [(site, None, None, int(delay * 1000))] if delay is not None else []
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["site", "pattern", "allow", "crawl_delay_ms"])
+
+    found = keep(files.select("site", "text").mapInArrow(read, "site string, pattern string, allow boolean, crawl_delay_ms bigint"), "robots")
+    return found.where("pattern IS NOT NULL").select("site", "pattern", "allow"), found.where("crawl_delay_ms IS NOT NULL").select("site", "crawl_delay_ms")
+
+
+def sitemap_urls(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct normal URLs of the sitemaps (url, xml) that roots (url) name; an index is followed one level deep."""
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for url, xml in zip(batch.column("url").to_pylist(), batch.column("xml").to_pylist()):
+                index, found = sitemap_locations(xml or "")
+                rows += [(url, index, to) for x in found if (to := urls.normalise(x))]
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.string()))], names=["url", "is_index", "loc"])
+
+    found = keep(files.select("url", "xml").mapInArrow(read, "url string, is_index boolean, loc string"), "sitemaps")
+    top = found.join(roots.select("url").distinct(), "url", "left_semi")
+    below = found.where("NOT is_index").join(top.where("is_index").select(F.col("loc").alias("url")).distinct(), "url", "left_semi")
+    return top.where("NOT is_index").select("loc").unionByName(below.select("loc")).distinct().withColumnRenamed("loc", "url")
+
+
+def sitemap_roots(sites: DataFrame, robots_files: DataFrame) -> DataFrame:
+    """site, url: the sitemaps that a site's robots.txt names, else /sitemap.xml."""
+    lines = robots_files.select("site", F.explode(F.split("text", "\r?\n")).alias("line"))
+    named = lines.select("site", F.regexp_extract("line", "(?i)^\\s*sitemap\\s*:\\s*(\\S+)", 1).alias("url")).where("url <> ''").distinct()
+    return sites.join(named, "site", "left").select("site", F.coalesce("url", F.concat("site", F.lit("/sitemap.xml"))).alias("url"))
+
+
 # --- what is known of a site ---------------------------------------------------------------------------------------
 
 def dispatch_times(requests: DataFrame, delays: DataFrame, delay_ms: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from siteloom.plans import blog_queries, catalogue, crawl_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["duplicate_titles", "heading_outline", "html_size_and_minify", "url_tree", "url_audit", "title_pixel_width", "page_signals", "outlinks", "custom_search_counts", "content_hash_duplicates",
+FAST = ["duplicate_titles", "heading_outline", "html_size_and_minify", "url_tree", "url_audit", "title_pixel_width", "page_signals", "rich_signals", "outlinks", "robots_table", "sitemap_walk", "custom_search_counts", "content_hash_duplicates",
         "inlink_counts", "crawl_diff", "issue_summary", "issue_long", "bfs_depth", "scoped_crawl", "fetched_pages", "mobile_audit", "custom_extraction", "pages_csv", "sliding_lockout", "status_changes",
         "vote_scores", "comment_threads", "post_paths", "reading_time", "simhash_pairs", "stream_windowed_counts", "draft_errors", "header_tech"]
 
