@@ -271,12 +271,14 @@ _HAS_HTML = "{0}.status IS NOT NULL"
 _LINKED = "SELECT target AS url FROM links UNION SELECT href FROM hreflang UNION SELECT pagination_next FROM sim WHERE pagination_next IS NOT NULL UNION SELECT pagination_prev FROM sim WHERE pagination_prev IS NOT NULL"
 
 
-def _sim(spark, sf_dir):
-    return simweb.sim_pages(spark, sf_dir), simweb.sim_links(spark, sf_dir), simweb.sim_hreflang(spark, sf_dir)
+def _sim(spark, sf_dir, arrays=True):
+    return simweb.sim_pages(spark, sf_dir, arrays), simweb.sim_links(spark, sf_dir), simweb.sim_hreflang(spark, sf_dir)
 
 
 def _sim_issues(spark, sf_dir, *keys):
-    pages, links, hreflang = _sim(spark, sf_dir)
+    # Only some rules read the arrays of a page row; cross-page rules read the link tables.
+    tests = " ".join(issues.BY_KEY[k].test for k in keys)
+    pages, links, hreflang = _sim(spark, sf_dir, "hreflang" in tests.replace("x_hreflang", "") or "has_empty" in tests)
     flags = issues.cross_flags(pages, links, hreflang, _near(pages) if "nearDuplicateContent" in keys else None, keys=keys) if any(issues.BY_KEY[k].cross for k in keys) else None
     return issues.exploded(issues.evaluated(pages, flags, keys), "url")
 
@@ -435,7 +437,7 @@ def _rank_sql() -> str:
 
 @query(_rank_sql())
 def link_score(spark, sf_dir):
-    return graph.link_score(simweb.sim_pages(spark, sf_dir), simweb.sim_links(spark, sf_dir))
+    return graph.link_score(simweb.sim_pages(spark, sf_dir, False), simweb.sim_links(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {simweb.ORACLE_CTES}, b(url, depth) AS (SELECT 'https://example.com/p0', 0::BIGINT UNION SELECT l.target, b.depth + 1 FROM b JOIN links l ON l.source = b.url WHERE b.depth < 4) SELECT url, min(depth) AS depth FROM b GROUP BY url")
@@ -452,7 +454,7 @@ _AFTER = "after AS (SELECT CASE WHEN n % 13 = 0 THEN url || '-new' ELSE url END
        "SELECT key, 'changed', 'status', s0, s1 FROM j WHERE u = k AND s0 <> s1 UNION ALL SELECT key, 'changed', 'title', t0, t1 FROM j WHERE u = k AND t0 <> t1 UNION ALL "
        "SELECT key, 'changed', 'word_count', CAST(w0 AS VARCHAR), CAST(w1 AS VARCHAR) FROM j WHERE u = k AND abs(w1 - w0) > 0.2 * w0")
 def crawl_diff(spark, sf_dir):
-    before = simweb.sim_pages(spark, sf_dir)
+    before = simweb.sim_pages(spark, sf_dir, False)
     n = F.col("seq")
     after = before.withColumns({
         "url": F.when(n % 13 == 0, F.concat("url", F.lit("-new"))).otherwise(F.col("url")), "status": F.when(n % 11 == 0, 404).otherwise(F.col("status")),
@@ -462,7 +464,7 @@ def crawl_diff(spark, sf_dir):
 
 @query(f"{_SIM} SELECT CASE WHEN status > 0 THEN CAST(status // 100 AS VARCHAR) || 'xx' ELSE 'error' END AS bucket, count(*) AS pages FROM sim GROUP BY 1")
 def status_histogram(spark, sf_dir):
-    return simweb.sim_pages(spark, sf_dir).groupBy(search.status_bucket(F.col("status")).alias("bucket")).agg(F.count("*").alias("pages"))
+    return simweb.sim_pages(spark, sf_dir, False).groupBy(search.status_bucket(F.col("status")).alias("bucket")).agg(F.count("*").alias("pages"))
 
 
 # --- relational surface over orders, customers and events ----------------------------------------------------------

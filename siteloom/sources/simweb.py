@@ -100,8 +100,8 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.crossJoin(F.broadcast(pages.agg(F.count("*").alias("m"))))  # one row
 
 
-def sim_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full page rows, with outlinks and hreflang links as arrays too."""
+def sim_pages(spark: SparkSession, sf_dir: str, arrays: bool = True) -> DataFrame:
+    """Full page rows; arrays: with outlinks and hreflang links, which are gathered from their tables."""
     base = _base(spark, sf_dir)
     rows = base.select("n", "m", *[F.expr(e).alias(c) for c, e in PAGE_COLUMNS.items()]).withColumn("indexability", F.expr(INDEXABILITY))
     chain = F.when(F.col("hops") > 0, F.transform(F.sequence(F.lit(1), F.col("hops")), lambda i: F.concat(F.col("url"), F.lit("?hop="), i.cast("string"))))
@@ -119,6 +119,8 @@ def sim_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "accessibility_violations": F.when(c("n_axe") > 0, F.transform(F.sequence(F.lit(1), c("n_axe")), found)), "mobile_usability_violations": F.when(c("n_mobile") > 0, F.transform(F.sequence(F.lit(1), c("n_mobile")), mobile)),
         "structured_data_errors": F.when(c("has_data_error"), one(F.lit("bad"), "array<string>")), "structured_data_types": F.when(c("has_data_type"), one(F.lit("Article"), "array<string>")),
     })
+    if not arrays:
+        return complete(rows)
     links = sim_links(spark, sf_dir).groupBy(c("source").alias("l_source")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "target", "anchor", "nofollow"))), lambda x: F.struct(
         x["target"].alias("url"), x["anchor"].alias("anchor"), x["nofollow"].alias("nofollow"), F.lit(False).alias("is_image_link"))).alias("outlinks"))
     hreflang = sim_hreflang(spark, sf_dir).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("lang", "href"))).alias("hreflang_links"))
