@@ -34,8 +34,9 @@ def _union(batches):
     yield pa.record_batch([pa.array(vertices, pa.int64()), pa.array([root(v) for v in vertices], pa.int64())], names=["v", "c"])
 
 
-def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+def components(links: DataFrame, few: int | None = None) -> DataFrame:
     """v, c: every vertex of kept links (a, b) with the smallest vertex that it is connected with; a kept table."""
+    few = FEW_LINKS if few is None else few
     if links.limit(few + 1).count() <= few:
         return keep(links.select("a", "b").coalesce(1).mapInArrow(_union, "v long, c long"), "labels")
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -7,9 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siteloom.llm import chosen_path, fingerprints, line_dedup, mixing, packing, pii, quality, range_coder, separator_scan, shingles, toxicity
+from siteloom.llm import chosen_path, components, fingerprints, line_dedup, mixing, packing, pii, quality, range_coder, separator_scan, shingles, toxicity
+from siteloom.llm.common import hot_join, keep
 from siteloom.llm.queries import BYTE_BPE, END_OF_TEXT, WORD_BPE
 
 SF = "/root/testdata/sf0.001"
@@ -312,3 +314,34 @@ def test_toxicity_never_trains_on_held_out_rows(spark):
     ids = {r.text for r in toxicity.training_rows(docs, labels).collect()}
     assert ids == {f"text {i}" for i in range(300) if zlib.crc32(str(i).encode()) % 5} | ({""} if zlib.crc32(b"7") % 5 else set())
     assert toxicity.training_rows(docs, labels, 50).count() <= 60
+
+
+def test_beyond_the_counted_bounds(spark):
+    """The ways for tables that are counted large give what those for small ones give."""
+    rng = np.random.default_rng(2)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2)) if a != b]
+    df = keep(spark.createDataFrame(links, "a long, b long"), "test-links")
+    one, two = ({r.v: r.c for r in components.components(df, few).collect()} for few in (500_000, 0))
+    low = {v: v for pair in links for v in pair}
+    for _ in low:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    assert one == two == low
+    rows = spark.createDataFrame([(i, 0 if i % 2 else i) for i in range(400)], "i long, k long")
+    keys = keep(rows.groupBy("k").agg(F.count("*").alias("n")).where("k % 3 = 0"), "test-keys")
+    key = lambda x: sorted(map(tuple, x.select("i", "k", "n").collect()))
+    assert key(hot_join(rows, keys, ["k"], "n")) == key(hot_join(rows, keys, ["k"], "n", few=0)) != []
+    ids = spark.range(3000).select(F.col("id").alias("doc"), F.xxhash64("id").alias("print"))
+    low_doc, low_print = fingerprints.bounds(ids, 10, 30)
+    assert 20 <= len(low_doc) == len(low_print) <= 29 and (np.diff(low_doc) > 0).all()
+
+
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "FEW", 0)
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate(rng.integers(0, 80, 14).tolist())] + [(i, " ".join(f"{i}_{j}" for j in range(30))) for i in range(20, 26)] + [(30, None)]
+    low, _ = plain_components(rows, 4, 80)
+    got = {r.doc_id: r.component_id for r in chosen_path.digest(spark.createDataFrame(rows, COLUMNS), leaf=4, levels=2).collect()}
+    assert got == low
