@@ -4,7 +4,7 @@ Model, in each block from the same start: order 2 and order 1 remember, for the
 id that last followed them and how often it held; a slot of order 2 checks its context. Order 0 counts the ids, from
 start counts in the shard's header on, in two levels of binary indexed sums. In each state (what the two orders know,
 how sure they are, whether they agree) adaptive shares mix the three: an id is coded as what order 2 or order 1 expects,
-or by order 0. Every id moves the shares, the memories and the counts.
+or by order 0. Every id moves the shares and the memories, and one that order 0 coded its counts.
 
 Coder: a 56-bit range coder whose carries are added to the bytes already written. It runs as a JVM user function, as an id
 at a time is what vectors are slow at: TokenCoder.java is compiled by the compiler that Spark itself generates code with,
