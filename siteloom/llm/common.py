@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import keep, new_path, release, scope, shared_folder, small
+from ..plans.tables import keep, new_path, numbered, release, scope, shared_folder, small
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -13,7 +13,7 @@ GAP = "[\\x20\\x09-\\x0D]+"
 #: A null doc_id sorts before every other and counts as one document.
 NO_ID = -(2**63)
 
-__all__ = ["keep", "new_path", "release", "scope", "shared_folder", "small", "hot_join"]
+__all__ = ["keep", "new_path", "numbered", "release", "scope", "shared_folder", "small", "hot_join"]
 
 
 def hot_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, few: int = 50_000) -> DataFrame:

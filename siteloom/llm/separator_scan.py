@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import before, keep
+from .common import before, keep, numbered
 from .tokens import memo, text_batches
 
 BLOCK_BYTES = 1 << 20
@@ -70,7 +70,7 @@ def write_flat(docs: DataFrame, path: str, eod: int, block_bytes: int = BLOCK_BY
 def flat_files(spark: SparkSession, glob: str, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of plain little-endian binary files, numbered by path; each file must be under 2 GB."""
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    order = keep(files.select("path").withColumn("file", F.row_number().over(Window.orderBy("path")).cast("long") - 1), "files")
+    order = keep(numbered(files.select("path"), "file", "path").withColumn("file", F.col("file") - 1), "files")
     starts = F.sequence(F.lit(0), F.greatest(F.octet_length("content") - 1, F.lit(0)), F.lit(block_bytes))
     rows = files.join(order, "path").select("file", "content", F.posexplode(starts).alias("block", "at"))
     return rows.select(

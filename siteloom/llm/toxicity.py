@@ -2,7 +2,8 @@
 
 A document is a bag of sentences. Sentence s is offensive with p_s = sigmoid(b + sum of the weights of its features), and
 the document is toxic with 1 - (1 - leak) * product of (1 - p_s), a noisy-or over the sentences that have any feature;
-the leak stands for labels that the text doesn't explain. Only document labels train it. Features are words and their
+the leak stands for labels that the text doesn't explain, and is held at 0.45 at most, so that it alone never predicts
+toxic. Only document labels train it. Features are words and their
 first and last 3 to 5 letters, selected by how they part the training labels. After training each sentence has its own
 score, and those of at least 0.5 are located.
 

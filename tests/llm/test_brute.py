@@ -345,3 +345,17 @@ def test_near_duplicates_without_broadcasts(spark, monkeypatch):
     low, _ = plain_components(rows, 4, 80)
     got = {r.doc_id: r.component_id for r in chosen_path.digest(spark.createDataFrame(rows, COLUMNS), leaf=4, levels=2).collect()}
     assert got == low
+
+
+def test_separators_of_plain_files(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    want, base = [], 0
+    for name, n in (("a.bin", 1000), ("b.bin", 0), ("c.bin", 777)):
+        ids = rng.integers(0, 12, n).astype("<u2")
+        (tmp_path / name).write_bytes(ids.tobytes())
+        ends = [*(np.flatnonzero(ids == 5) + 1).tolist()]
+        ends += [n] if n and (not ends or ends[-1] < n) else []
+        want += [(base + a, b - a, bool(ids[b - 1] == 5)) for a, b in zip([0, *ends], ends)]
+        base += n
+    blocks = separator_scan.flat_files(spark, f"file://{tmp_path}/*.bin", block_bytes=64)
+    assert sorted((r.start, r.n_tokens, r.ended) for r in separator_scan.scan(blocks, 5).collect()) == sorted(want)
