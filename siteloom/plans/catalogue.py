@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import posts, text, urls
 from ..operators import comments, compare, graph, issues, near_duplicates, search
 from ..sources import simweb, web
-from ..sources.corpus import corpus_pages, corpus_urls
+from ..sources.corpus import corpus_pages, corpus_urls, parsed_pages
 from ..sources.schema import complete
 from ..sources.web import robots_allowed
 from .tables import keep
@@ -58,9 +58,15 @@ def heading_outline(spark, sf_dir):
     return corpus_pages(spark, sf_dir, "heading_levels", "h1_count", "h2_count").select("seq", F.array_join(F.col("heading_levels").cast("array<string>"), ",").alias("levels"), "h1_count", "h2_count")
 
 
-@query(f"WITH {_FIRST}, h AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<h([1-6])[\\s>]', 1), lambda x: CAST(x AS INT)) AS v FROM p) SELECT page_id AS seq FROM h WHERE len(list_filter(range(2, len(v) + 1), lambda i: v[i] - v[i-1] > 1)) > 0")
+#: The pages have one heading each: more of them by the page's number.
+_MORE_HEADINGS = "concat(html, CASE page_id % 3 WHEN 0 THEN '<h3>x</h3>' WHEN 1 THEN '<h2>y</h2><h3>z</h3><h5>w</h5>' ELSE '<h2 class=\"a\">Part &amp; <b>two</b></h2><h3>Part</h3><h3> </h3>' END)"
+
+
+@query(f"WITH {_FIRST}, h AS (SELECT page_id, list_transform(regexp_extract_all({_MORE_HEADINGS}, '(?i)<h([1-6])[\\s>]', 1), lambda x: CAST(x AS INT)) AS v FROM p) SELECT page_id AS seq FROM h WHERE len(list_filter(range(2, len(v) + 1), lambda i: v[i] - v[i-1] > 1)) > 0")
 def heading_skips(spark, sf_dir):
-    return issues.evaluated(corpus_pages(spark, sf_dir, "heading_levels"), keys=("nonSequentialHeadings",)).where(F.size("issues") > 0).select("seq")
+    kept = corpus_urls(spark, sf_dir).select(F.col("seq").alias("page_id"))
+    raw = _t(spark, sf_dir, "pages").select("page_id", F.col("url").alias("raw"), F.expr(_MORE_HEADINGS).alias("html")).join(kept, "page_id", "left_semi")
+    return issues.evaluated(parsed_pages(raw, "heading_levels"), keys=("nonSequentialHeadings",)).where(F.size("issues") > 0).select("seq")
 
 
 @query(f"WITH {_FIRST} SELECT page_id AS seq, strlen(html) AS html_size_bytes, floor((1 - strlen(trim(regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\\z)', '', 'g'), '\\s+', ' ', 'g')))::DOUBLE / strlen(html)) * 1000 + 0.5) / 10 AS saved_pct FROM p")
@@ -524,11 +530,11 @@ def reading_time(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", posts.reading_minutes(F.col("text")).alias("minutes"))
 
 
-@query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h([23])((?: [^>]*)?)>(.*?)</h[23]>', 1)) AS level, unnest(regexp_extract_all(html, '(?s)<h([23])((?: [^>]*)?)>(.*?)</h[23]>', 3)) AS inner_html FROM pages), "
+@query("WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h([23])((?: [^>]*)?)>(.*?)</h[23]>', 1)) AS level, unnest(regexp_extract_all(html, '(?s)<h([23])((?: [^>]*)?)>(.*?)</h[23]>', 3)) AS inner_html FROM (SELECT page_id, " + _MORE_HEADINGS + " AS html FROM pages)), "
        "t AS (SELECT page_id, CAST(level AS INT) AS level, trim(replace(replace(replace(replace(replace(regexp_replace(inner_html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')) AS text FROM h) "
        "SELECT page_id, level, text, count(*) AS n FROM t WHERE text <> '' GROUP BY ALL")
 def post_headings(spark, sf_dir):
-    found = _t(spark, sf_dir, "pages").select("page_id", F.explode(posts.headings(F.col("html"))).alias("h"))
+    found = _t(spark, sf_dir, "pages").select("page_id", F.explode(posts.headings(F.expr(_MORE_HEADINGS))).alias("h"))
     return found.groupBy("page_id", "h.level", "h.text").agg(F.count("*").alias("n"))
 
 
