@@ -322,7 +322,8 @@ def cross_flags(pages: DataFrame, links: DataFrame, hreflang: DataFrame, near: D
         if "x_hreflang_error" in wanted:
             add("x_hreflang_error", pairs.where(error).select(F.col("source").alias("url")))
         if "x_hreflang_no_return" in wanted:
-            same = urls.scheme_host(F.col("source")) == urls.scheme_host(F.col("href"))
+            # A target of another host that comes later is never queued; the scheme and the port may differ.
+            same = urls.host(F.col("source")) == urls.host(F.col("href"))
             asked = pairs.where(~error & F.col("t_html") & (F.col("source") != F.col("href")) & (same | (F.col("t_seq") < F.col("seq"))))
             back = hreflang.select(F.col("source").alias("href"), F.col("href").alias("source")).distinct()
             add("x_hreflang_no_return", asked.join(back, ["source", "href"], "left_anti").select(F.col("source").alias("url")))

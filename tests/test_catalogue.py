@@ -70,3 +70,16 @@ def test_equal_urls_meet_their_last_page_once(spark):
     last = pages.withColumn("status", pages["status"] + (pages["seq"] == 3).cast("int") * 300)
     got = issues.evaluated(last, issues.cross_flags(last, *none, keys=("brokenCanonicalTarget",)), ("brokenCanonicalTarget",)).collect()
     assert sorted((r.seq, r.issues) for r in got) == [(0, ["brokenCanonicalTarget"]), (1, ["brokenCanonicalTarget"]), (2, []), (3, [])]
+
+
+def test_missing_return_of_a_later_page_of_the_host_on_another_scheme_or_port(spark):
+    from siteloom.operators import issues
+    from siteloom.sources.schema import complete
+
+    urls = ["http://e.com/a", "https://e.com/b", "https://e.com:8443/c", "https://f.com/d"]
+    pages = complete(spark.createDataFrame(list(enumerate(urls)), "seq long, url string").selectExpr("*", "200 AS status", "100L AS html_size_bytes", "'Indexable' AS indexability"))
+    links = spark.createDataFrame([], "source string, target string")
+    hreflang = spark.createDataFrame([(urls[0], "de", urls[1]), (urls[1], "fr", urls[2]), (urls[2], "en", urls[3]), (urls[3], "en", urls[0])], "source string, lang string, href string")
+    got = issues.cross_flags(pages, links, hreflang, keys=("hreflangMissingReturn",)).collect()
+    # That of c is on another host and comes later; that of d came before.
+    assert sorted(r.url for r in got) == sorted([urls[0], urls[1], urls[3]])
