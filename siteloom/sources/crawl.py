@@ -158,20 +158,24 @@ _RAW = ("title", "meta_description", "h1", "canonical", "meta_robots", "word_cou
 _SIGNALS = struct_of(PARSED)
 
 
-def _parser(batches):
+def _parser(ended: bool):
     schema = to_arrow_schema(T.StructType([*[T.StructField(n, t) for n, t in (("url", T.StringType()), ("rendered", T.BooleanType()))], *_SIGNALS.fields, PAGE["raw"]]))
-    for batch in batches:
-        rows = []
-        for url, at, body, shown in zip(*(batch.column(c).to_pylist() for c in ("url", "final", "body", "rendered_body"))):
-            # With a rendered document its signals are the page's, and the plain one's are kept to compare.
-            plain = parse(body, at)
-            found = parse(shown, at) if shown else plain
-            rows.append({"url": url, "rendered": shown is not None, "raw": {k: plain[k] for k in _RAW} if shown is not None else None} | found)
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for url, at, body, shown in zip(*(batch.column(c).to_pylist() for c in ("url", "final", "body", "rendered_body"))):
+                # With a rendered document its signals are the page's, and the plain one's are kept to compare.
+                plain = parse(body, at, ended=ended)
+                found = parse(shown, at, ended=ended) if shown else plain
+                rows.append({"url": url, "rendered": shown is not None, "raw": {k: plain[k] for k in _RAW} if shown is not None else None} | found)
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return run
 
 
-def page_rows(requests: DataFrame, responses: DataFrame, hops: DataFrame, robots: DataFrame, start: list[str] = ()) -> DataFrame:
-    """Full page rows of requests (seq, url, depth, discovered_via_sitemap), one each.
+def page_rows(requests: DataFrame, responses: DataFrame, hops: DataFrame, robots: DataFrame, start: list[str] = (), ended: bool = False) -> DataFrame:
+    """Full page rows of requests (seq, url, depth, discovered_via_sitemap), one each; ended: see parse().
 
     Blocked by robots.txt: no status. No answer: an error row. Redirected, but not a start URL: the destination's status
     and headers, no content. Not HTML: the headers. HTML: all signals, resolved on the destination's URL.
@@ -185,7 +189,7 @@ def page_rows(requests: DataFrame, responses: DataFrame, hops: DataFrame, robots
             .when(F.col("error").isNotNull(), "unread").when(~is_html, "other").otherwise("html"))
     rows = keep(rows.withColumn("kind", kind), "answers")
     schema = ", ".join(["url string", "rendered boolean", PARSED, f"raw {PAGE['raw'].dataType.simpleString()}"])
-    parsed = rows.where("kind = 'html'").select("url", "final", "body", "rendered_body").mapInArrow(_parser, schema)
+    parsed = rows.where("kind = 'html'").select("url", "final", "body", "rendered_body").mapInArrow(_parser(ended), schema)
     rows = rows.drop("body", "rendered_body").join(parsed, "url", "left")
     h = lambda name: header(F.col("headers"), name)
     live = F.col("kind").isin("redirected", "unread", "other", "html")

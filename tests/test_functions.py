@@ -74,3 +74,31 @@ def test_posts(spark):
     assert list(got[0])[3:] == [["a-1.png", "b.jpg", "c.webp"], ["a-1.png", "c.webp"], 1, "/s"]
     assert list(got[1]) == [None, None, [], [], [], 1, "/s"]
     assert [r[0] for r in rows.limit(1).select(posts.slug(F.lit("x" * 99 + " yz"))).collect()] == ["x" * 99]
+
+
+def test_references_without_a_semicolon_stay_if_asked():
+    from siteloom.functions.page_parser import parse
+
+    html = ('<title>A &amp;&amp; B&amp;&amp</title><body><script type="application/ld+json">{"@type": "A&ampB"}</script><h1>x &copy y &amphello; &#38; &#38x; &#x26; &nope; &copy;&</h1>'
+            '<a href="/q?a=1&copy=2&amp;b&amp">t &amp</a></body>')
+    p, q = (parse(html, "https://e.com/", ended=e) for e in (True, False))
+    assert (p["title"], p["title_length"], p["h1"]) == ("A && B&&amp", 11, "x &copy y &amphello; & &#38x; & &nope; ©&")
+    assert (p["structured_data_types"], p["outlinks"][0]["url"], p["outlinks"][0]["anchor"]) == (["A&ampB"], "https://e.com/q?a=1&copy=2&b&amp", "t &amp")
+    assert (q["title"], q["h1"], q["structured_data_types"]) == ("A && B&&", "x © y &hello; & &x; & &nope; ©&", ["A&ampB"])
+    plain = "<title>A &amp; B</title><p>&copy; \ue000</p>"
+    assert parse(plain, "https://e.com/", ended=True) == parse(plain, "https://e.com/")
+
+
+def test_pages_and_fetched_rows_keep_a_reference_that_is_cut(spark, tmp_path):
+    from siteloom.sources import crawl
+    from siteloom.sources.corpus import corpus_pages
+
+    html = "<title>a &amp;&amp</title><body>b&amp</body>"
+    spark.createDataFrame([(1, "https://e.com/", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    row = corpus_pages(spark, str(tmp_path)).first()
+    assert (row.title, row.title_length, row.text_ratio_pct) == ("a &&amp", 7, len(" b&amp ") / len(html) * 100)
+    requests = spark.createDataFrame([(1, "https://e.com/", 0, False)], "seq long, url string, depth long, discovered_via_sitemap boolean")
+    answer = "url string, method string, status int, headers map<string,string>, body string, error string, elapsed_ms long, rendered_body string"
+    responses = spark.createDataFrame([("https://e.com/", "GET", 200, {"content-type": "text/html"}, html, None, 1, None)], answer)
+    none = spark.createDataFrame([], "from_url string, to_url string"), spark.createDataFrame([], "site string, pattern string, allow boolean")
+    assert [crawl.page_rows(requests, responses, *none, ended=e).first().title for e in (True, False)] == ["a &&amp", "a &&"]
