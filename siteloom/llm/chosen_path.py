@@ -15,9 +15,12 @@ shingle sets, inside the node. Only connectivity is wanted, so a pair within a c
 looked at: the first tree is confirmed alone, the others then only between different components, and a node reports
 at most one link less than it has classes. Pairs never become rows.
 
-A node that is still larger than `leaf` on the last level is held together by its hub before all else, the class nearest
-to the most frequent tokens (of edited copies their original); at the end, what is in other components than the node's
-largest is compared with all of the node, block by block, so no pair is lost.
+Nodes that are still larger than `leaf` on the last level are held together by their hubs before all else, the class
+nearest to the most frequent tokens (of edited copies their original). As one group of copies makes large nodes in every
+tree, those whose hubs are in one component then are one group, and what is in other components than the group's largest
+is compared with all of the group, block by block, on full sets and once, so no pair is lost. The trees don't look again
+at pairs of a group. A class of a group becomes one row for every block it meets, of up to `block` classes: at most two
+in a group of up to `block`, whatever its number of nodes.
 
 Edge cases: documents without words (null and empty texts too) are linked with nothing and are their own component; a
 null doc_id has a null component and is kept; a class that only null ids hold is linked with nothing; rows that share a
@@ -27,6 +30,8 @@ empty table; only doc_id and text are read, so other columns cannot clash.
 Scale: texts are read where they lie, and those of classes with candidates are found by a broadcast of their ids if
 these are counted few, else by a shuffle join; signatures (512 bytes a class) and, for classes that have candidates,
 shingle sets are what is shuffled. A task holds one leaf or one pair of blocks at a time. Nothing is collected but counts.
+Beyond `block` classes the rows of a group still grow with its size times the number of its blocks, and the pairs compared
+inside of tasks with the size times what the hub does not hold.
 """
 
 from __future__ import annotations
@@ -41,10 +46,16 @@ from .common import keep, release, small
 from .components import components
 from .shingles import POSITIONS, mix, sequence_key, shingle_sets, signatures, words
 
-WORDS, PERCENT, TREES, LEAF, LEVELS = 4, 80, 8, 1024, 3
+WORDS, PERCENT, TREES, LEAF, LEVELS, BLOCK = 4, 80, 8, 1024, 3, 8192
+#: Shingles of a block; of longer texts it has fewer classes, down to `leaf`.
+BLOCK_SHINGLES = 4_000_000
+#: Candidates of a cell that are confirmed one by one; more of them by products of matrices.
+FEW_PAIRS = 64
+#: Classes that have a shingle, up to which they are counted by lists, and cells of a strip of counts.
+RARE, STRIP = 32, 2_000_000
 #: Ids of texts, or of rows, that are broadcast at most.
 FEW = 200_000
-_CELL = ("cell", "vid", "comp", "side", "n", "sig")
+_CELL = ("cell", "vid", "comp", "grp", "side", "n", "sig")
 _U = np.uint64
 
 
@@ -143,21 +154,78 @@ def _near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent:
 
 
 def _possible(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, j, equal tokens of a cell's pairs in different components; side 0 meets 1 and 2, side 1 meets 0 and 2."""
-    n, comp, side = (t.column(c).to_numpy() for c in ("n", "comp", "side"))
+    """i, j, equal tokens of a cell's pairs in different components and groups."""
+    n, comp, grp = (t.column(c).to_numpy() for c in ("n", "comp", "grp"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, POSITIONS)
-    if (side == 2).all():
-        i, j, e = _near(sig, sig, n, n, percent, True)
-    else:
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        i, j, e = _near(sig[left], sig[right], n[left], n[right], percent)
-        i, j = left[i].astype(np.int32), right[j].astype(np.int32)
-    apart = comp[i] != comp[j]
+    i, j, e = _near(sig, sig, n, n, percent, True)
+    apart = (comp[i] != comp[j]) & (grp[i] != grp[j])
     return i[apart], j[apart], e[apart]
 
 
+def _counts(flat: np.ndarray, n: np.ndarray, left: np.ndarray):
+    """(some of left, shingles they share with every other set) strip by strip; flat: the sets of sizes n one after another."""
+    _, token, df = np.unique(flat, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(n)), n)
+    # A shingle of a single set is in no intersection.
+    several = df[token] > 1
+    token, owner = token[several], owner[several]
+    often = df > RARE
+    dense, column = owner[often[token]], (np.cumsum(often) - 1)[token[often[token]]]
+    order = np.argsort(column, kind="stable")
+    dense, column = dense[order], column[order]
+    rare, whose = token[~often[token]], owner[~often[token]]
+    order = np.argsort(rare, kind="stable")
+    lists, first = whose[order], np.searchsorted(rare[order], np.arange(len(df)))
+    begin = np.searchsorted(whose, np.arange(len(n) + 1))
+    step = max(1, STRIP // len(n))
+    for at in range(0, len(left), step):
+        part = left[at : at + step]
+        entries = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in part])
+        long = df[rare[entries]]
+        row = np.repeat(np.repeat(np.arange(len(part)), begin[part + 1] - begin[part]), long)
+        member = lists[np.repeat(first[rare[entries]] - np.cumsum(long) + long, long) + np.arange(long.sum())]
+        counts = np.bincount(row * len(n) + member, minlength=len(part) * len(n)).reshape(len(part), len(n)).astype(np.float32)
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+            a, b = np.searchsorted(column, (c, c + 1024))
+            held = np.zeros((len(n), min(1024, int(column[-1]) + 1 - c)), np.float32)
+            held[dense[a:b], column[a:b] - c] = 1
+            counts += held[part] @ held.T
+        yield part, counts
+
+
+def _united(t: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links i, j that join the components of a cell, on full sets; side 0 meets 1 and 2, side 1 meets 0 and 2."""
+    sets = t.column("set").to_pylist()
+    n = np.array([len(s) // 8 for s in sets])
+    _, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+    side, out = t.column("side").to_numpy(), []
+    for part, counts in _counts(np.frombuffer(b"".join(sets), "<u8"), n, np.flatnonzero(side != 1)):
+        similar = 100 * counts.astype(np.int64) >= percent * (n[part][:, None] + n - counts.astype(np.int64))
+        similar &= (side[part][:, None] == 2) | (side != 0)
+        for i, row in zip(part.tolist(), similar):
+            found = np.flatnonzero(row & (comp != comp[i]))
+            if len(found):
+                others, at = np.unique(comp[found], return_index=True)
+                out += [(i, j) for j in found[at].tolist()]
+                comp[np.isin(comp, others)] = comp[i]
+    return out
+
+
+def _compare(percent: int):
+    """Sorted rows (cell, vid, comp, side, set) to links a < b that join different components."""
+
+    def compare(batches):
+        for _, t in _groups(batches, "cell"):
+            if t.num_rows > 1 and (found := _united(t, percent)):
+                vid = t.column("vid").to_numpy()
+                pairs = np.sort(vid[np.array(found)], axis=1)
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return compare
+
+
 def _wanted(percent: int):
-    """Sorted rows (cell, vid, comp, side, n, sig) to those that have a candidate in their cell."""
+    """Sorted rows (cell, vid, comp, grp, side, n, sig) to those that have a candidate in their cell."""
 
     def wanted(batches):
         for _, t in _groups(batches, "cell"):
@@ -170,7 +238,7 @@ def _wanted(percent: int):
 
 
 def _confirm(percent: int):
-    """Sorted rows (cell, vid, comp, side, n, sig, set) to links a < b that join different components."""
+    """Sorted rows (cell, vid, comp, grp, side, n, sig, set) to links a < b that join different components."""
 
     def confirm(batches):
         a_out, b_out = [], []
@@ -186,6 +254,11 @@ def _confirm(percent: int):
                 return c
 
             left, right, equal = _possible(t, percent)
+            if len(left) > FEW_PAIRS:
+                for i, j in _united(t, percent):
+                    a_out.append(min(vid[i], vid[j]))
+                    b_out.append(max(vid[i], vid[j]))
+                continue
             for k in np.argsort(-equal, kind="stable"):
                 i, j = int(left[k]), int(right[k])
                 c, d = root(comp[i]), root(comp[j])
@@ -244,27 +317,44 @@ def _agreement(batches):
 
 def _hubs(large: DataFrame, classes: DataFrame, leaf: int) -> DataFrame:
     """node, hub: the class that agrees most with the most frequent tokens of about `leaf` classes of the node."""
-    rows = large.join(classes.select("vid", "sig"), "vid")
+    sigs = classes.select("vid", "sig")
+    rows = large.join(sigs, "vid")
     share = large.groupBy("node").agg(F.ceil(F.count("*") / leaf).alias("parts"))
-    some = rows.join(share, "node").where(F.pmod(F.xxhash64("vid"), F.col("parts")) == 0).select("node", "sig")
+    some = large.join(share, "node").where(F.pmod(F.xxhash64("vid"), F.col("parts")) == 0).join(sigs, "vid").select("node", "sig")
     modes = keep(some.repartition("node").sortWithinPartitions("node").mapInArrow(_modes, "node long, mode binary"), "modes")
     near = rows.join(modes, "node", "left").select("node", "vid", "sig", F.coalesce("mode", "sig").alias("mode"))
     near = near.mapInArrow(_agreement, "node long, vid long, equal long")
     return near.groupBy("node").agg((-F.max(F.struct("equal", (-F.col("vid")).alias("low")))["low"]).alias("hub"))
 
 
-def _blocks(large: DataFrame, labels: DataFrame, leaf: int) -> DataFrame:
-    """Rows (cell, vid, comp, side) that bring every component but the largest of a node together with all of the node."""
-    rows = large.join(small(labels, FEW), large["vid"] == labels["v"], "left").select("node", "vid", F.coalesce("c", "vid").alias("comp"))
-    rows = keep(rows, "large-labelled")
-    per = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
-    shape = per.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
-    shape = shape.select("node", F.col("m.comp").alias("main"), F.col("m.k").alias("inside"), (F.col("all") - F.col("m.k")).alias("rest")).where("rest > 0")
-    blocks = lambda n: F.ceil(F.col(n) / leaf).cast("int")
-    rows = rows.join(shape, "node").withColumn("mb", F.greatest(blocks("inside"), F.lit(1))).withColumn("rb", blocks("rest"))
+def _star(near: DataFrame, leaf: int) -> DataFrame:
+    """Rows (cell, vid, comp, side) that bring every class of rows (hub, vid) together with the hub, some `leaf` in a cell."""
+    parts = near.groupBy("hub").agg(F.ceil(F.count("*") / leaf).cast("int").alias("parts"))
+    cell = lambda part: F.xxhash64("hub", part)
+    own = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select(cell("part").alias("cell"), F.col("hub").alias("vid"), F.lit(0).alias("side"))
+    rest = near.where("hub <> vid").join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
+    return own.unionByName(rest.select(cell("part").alias("cell"), "vid", F.lit(1).alias("side")))
+
+
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their components."""
+    to = small(labels, FEW).select(F.col("v").alias("vid"), "c")
+    return rows.join(to, "vid", "left").select(*rows.columns, F.coalesce("c", "vid").alias("comp"))
+
+
+def _blocks(grouped: DataFrame, labels: DataFrame, leaf: int, block: int) -> DataFrame:
+    """Rows (cell, vid, comp, side) that bring every component but the largest of a group together with all of the group."""
+    rows = keep(_named(grouped, labels), "grouped-labelled")
+    per = rows.groupBy("grp", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    shape = per.groupBy("grp").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"), F.sum("n").alias("n"))
+    shape = shape.withColumn("of", F.least(F.lit(block), F.greatest(F.lit(min(leaf, block)), F.floor(BLOCK_SHINGLES * F.col("all") / F.col("n")))))
+    shape = shape.select("grp", "of", F.col("m.comp").alias("main"), F.col("m.k").alias("inside"), (F.col("all") - F.col("m.k")).alias("rest")).where("rest > 0")
+    blocks = lambda n: F.ceil(F.col(n) / F.col("of")).cast("int")
+    rows = rows.join(shape, "grp").withColumn("mb", F.greatest(blocks("inside"), F.lit(1))).withColumn("rb", blocks("rest"))
     spread = F.xxhash64("vid")
     others = F.pmod(spread, F.col("rb")).cast("int")
-    cell = lambda left, right, kind: F.xxhash64("node", left, right, F.lit(kind))
+    cell = lambda left, right, kind: F.xxhash64("grp", left, right, F.lit(kind))
     main, rest = rows.where("comp = main"), rows.where("comp <> main")
     first = main.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("rb") - 1))).withColumn("y", F.pmod(spread, F.col("mb")).cast("int"))
     first = first.select(cell("x", "y", "m").alias("cell"), "vid", "comp", F.lit(1).alias("side"))
@@ -287,22 +377,51 @@ def _sets(k: int):
     return build
 
 
-def _links(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Kept links between components that rows (cell, vid, comp, side) bring together; texts: doc, print, text."""
-    dealt = rows.join(classes.select("vid", "n", "sig"), "vid").select(*_CELL).repartition("cell").sortWithinPartitions("cell", "vid")
-    wanted = keep(dealt.mapInArrow(_wanted(percent), dealt.schema), "wanted")
-    ids = keep(wanted.select("vid").distinct(), "wanted-ids")
+def _sets_of(ids: DataFrame, classes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """vid, set: the shingles of kept ids (vid); a kept table. texts: doc, print, text."""
     one = keep(classes.select("vid", "doc", "print").join(small(ids, FEW), "vid"), "wanted-texts")
     own = texts.join(small(one, FEW), ["doc", "print"]).select("vid", "text")
     # Of repeated rows one is as good as another.
-    # Kept, so that the join below has nothing but shuffles under it and Spark may split a class that is in many cells.
+    # Kept, so that the join of its readers has nothing but shuffles under it and Spark may split a class that is in many cells.
     sets = keep(own.mapInArrow(_sets(k), "vid long, set binary").dropDuplicates(["vid"]), "sets")
+    release(one)
+    return sets
+
+
+def _links(rows: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Kept links between components that rows (cell, vid, comp, grp, side) bring together."""
+    dealt = rows.join(classes.select("vid", "n", "sig"), "vid").select(*_CELL).repartition("cell").sortWithinPartitions("cell", "vid")
+    wanted = keep(dealt.mapInArrow(_wanted(percent), dealt.schema), "wanted")
+    ids = keep(wanted.select("vid").distinct(), "wanted-ids")
+    sets = _sets_of(ids, classes, texts, k)
     full = wanted.join(sets, "vid").select(*_CELL, "set").repartition("cell").sortWithinPartitions("cell", "vid")
     links = keep(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
-    release(wanted, ids, one, sets)
+    release(wanted, ids, sets)
     return links
 
 
+def _met(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Kept links between components that rows (cell, vid, comp, side) bring together, all of which are compared on full sets."""
+    full = rows.join(sets, "vid").select("cell", "vid", "comp", "side", "set").repartition("cell").sortWithinPartitions("cell", "vid")
+    return keep(full.mapInArrow(_compare(percent), "a long, b long"), "links")
+
+
+def _grouped(large: DataFrame, classes: DataFrame, texts: DataFrame, labels: DataFrame, k: int, percent: int, leaf: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Labels after all pairs of the large nodes have met, and a kept table vid, grp: pairs of equal grp need not meet again."""
+    near = keep(large.join(_hubs(large, classes, leaf), "node").select("hub", "vid").distinct(), "near")
+    ids = keep(near.select("vid").distinct(), "near-ids")
+    sets = _sets_of(ids, classes, texts, k)
+    # First the hubs: what they hold together isn't looked at again.
+    labels = _merge(labels, _met(_named(_star(near, leaf), labels), sets, percent))
+    of = _named(near.select(F.col("hub").alias("vid")).distinct(), labels).select(F.col("vid").alias("hub"), F.col("comp").alias("grp"))
+    sizes = sets.select("vid", (F.octet_length("set") / 8).cast("long").alias("n"))
+    grouped = keep(near.join(of, "hub").select("grp", "vid").distinct().join(sizes, "vid"), "grouped")
+    labels = _merge(labels, _met(_blocks(grouped, labels, leaf, block), sets, percent))
+    mine = keep(grouped.groupBy("vid").agg(F.min("grp").alias("grp")), "groups")
+    release(near, ids, sets, grouped)
+    return labels, mine
+
+
 def _shared(ready: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between the classes of one doc_id: a star around the least."""
     held = ready.where("cls IS NOT NULL AND doc IS NOT NULL").select("doc", "cls")
@@ -312,11 +431,17 @@ def _shared(ready: DataFrame, reps: DataFrame) -> DataFrame:
     return mine.join(least, "doc").where("a < vid").select("a", F.col("vid").alias("b")).distinct()
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (cell, vid) with their components, of cells that have several."""
-    to = small(labels, FEW).select(F.col("v").alias("vid"), "c")
-    named = keep(rows.select("cell", "vid").join(to, "vid", "left").select("cell", "vid", F.coalesce("c", "vid").alias("comp")), "labelled")
-    mixed = named.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
+def _labelled(rows: DataFrame, labels: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Rows (cell, vid) with their components and groups, of cells that have several; a class of no group is its own."""
+    rows = _named(rows.select("cell", "vid"), labels)
+    if groups is None:
+        named = rows.withColumn("grp", F.col("vid"))
+    else:
+        # Beside the numbers of rows, which are not negative.
+        named = rows.join(small(groups, FEW), "vid", "left").select("cell", "vid", "comp", F.coalesce(-F.col("grp") - 1, "vid").alias("grp"))
+    named = keep(named, "labelled")
+    mixed = named.groupBy("cell").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("comp", "grp") for f in (F.min, F.max)])
+    mixed = mixed.where("min_comp <> max_comp AND min_grp <> max_grp").select("cell")
     return named.join(mixed, "cell", "left_semi").withColumn("side", F.lit(2))
 
 
@@ -328,7 +453,7 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(keep(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(links.select("a", "b")), "links"))
 
 
-def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
+def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
     """doc (the doc_id), print (a hash of the text), cls, n_shingles, component_id; a row per row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("print"), "text")
     ready = keep(rows.mapInArrow(_prepare(k), "doc long, print long, row long, cls binary, n long, sig binary"), "prepared")
@@ -338,16 +463,12 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, trees: int =
     cells, large = _cells(classes.select("vid", "sig"), trees, leaf, levels)
     cells = keep(cells, "cells")
     labels = components(keep(_shared(ready, reps), "links"))
+    groups = None
     if large is not None:
-        # First the hubs: what they hold together isn't looked at again.
-        star = large.join(_hubs(large, classes, leaf), "node").where("hub <> vid").withColumn("cell", F.xxhash64("node", "vid"))
-        star = star.select("cell", F.explode(F.array("hub", "vid")).alias("vid"))
-        labels = _merge(labels, _links(_labelled(star, labels), classes, rows, k, percent))
-    labels = _merge(labels, _links(_labelled(cells.where("first"), labels), classes, rows, k, percent))
+        labels, groups = _grouped(large, classes, rows, labels, k, percent, leaf, block)
+    labels = _merge(labels, _links(_labelled(cells.where("first"), labels, groups), classes, rows, k, percent))
     if trees > 1:
-        labels = _merge(labels, _links(_labelled(cells.where("NOT first"), labels), classes, rows, k, percent))
-    if large is not None:
-        labels = _merge(labels, _links(_blocks(large, labels, leaf), classes, rows, k, percent))
+        labels = _merge(labels, _links(_labelled(cells.where("NOT first"), labels, groups), classes, rows, k, percent))
     release(cells)
     # Labels are rows' numbers: a component is named by the smallest doc_id of its classes.
     lows = reps.select(F.col("vid").alias("v"), "low").join(small(labels, FEW), "v")

@@ -347,6 +347,65 @@ def test_near_duplicates_without_broadcasts(spark, monkeypatch):
     assert got == low
 
 
+def edited_copies(rng, n):
+    """Copies of one text with up to 14 words changed, about half of them too many for a link with the others."""
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.integers(0, 150, int(rng.integers(0, 15))).tolist():
+            w[k] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_large_group_meets_its_blocks_once(spark, monkeypatch):
+    rows = edited_copies(np.random.default_rng(4), 300)
+    low, _ = plain_components(rows, 4, 80)
+    assert 20 < len(set(low.values())) < 280
+    counted, blocks = [], chosen_path._blocks
+
+    def count(*a):
+        counted.append(blocks(*a).count())
+        return blocks(*a)
+
+    monkeypatch.setattr(chosen_path, "_blocks", count)
+    got = {r.doc_id: r.component_id for r in chosen_path.digest(spark.createDataFrame(rows, COLUMNS), leaf=16).collect()}
+    assert got == low
+    # Not with every node of every tree, nor with a block of each 16 classes.
+    assert len(counted) == 1 and counted[0] <= 2 * len(rows)
+
+
+def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
+    rows = edited_copies(np.random.default_rng(6), 150)
+    rows += [(1000 + i, t.replace("w", "v")) for i, t in edited_copies(np.random.default_rng(7), 60)]
+    low, _ = plain_components(rows, 4, 80)
+    df = spark.createDataFrame(rows, COLUMNS)
+    for few in (0, 200_000):
+        monkeypatch.setattr(chosen_path, "FEW", few)
+        monkeypatch.setattr(chosen_path, "FEW_PAIRS", few)
+        assert {r.doc_id: r.component_id for r in chosen_path.digest(df, leaf=8, block=20).collect()} == low
+    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", 147 * 30)
+    assert {r.doc_id: r.component_id for r in chosen_path.digest(df, leaf=8).collect()} == low
+
+
+@pytest.mark.parametrize("rare,strip", [(32, 2_000_000), (2, 100), (0, 1), (10_000, 700)])
+def test_shared_shingles_equal_plain_sets(monkeypatch, rare, strip):
+    monkeypatch.setattr(chosen_path, "RARE", rare)
+    monkeypatch.setattr(chosen_path, "STRIP", strip)
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**63, 1300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(common, int(rng.integers(0, 1200))), rng.integers(0, 60, int(rng.integers(1, 9)), dtype=np.uint64)])) for _ in range(50)]
+    sets[7] = np.array([2**62], np.uint64)
+    left = np.array([0, 3, 7, 8, 49])
+    got = list(chosen_path._counts(np.concatenate(sets), np.array([len(s) for s in sets]), left))
+    assert np.concatenate([p for p, _ in got]).tolist() == left.tolist()
+    shared = np.concatenate([c for _, c in got]).astype(int)
+    assert all(shared[k, j] == len(np.intersect1d(sets[i], sets[j])) for k, i in enumerate(left) for j in range(len(sets)) if i != j)
+    alone = [np.array([i], np.uint64) for i in range(3)]
+    assert np.concatenate([c for _, c in chosen_path._counts(np.concatenate(alone), np.ones(3, int), np.arange(3))]).sum() == 0
+
+
 def test_separators_of_plain_files(spark, tmp_path):
     rng = np.random.default_rng(9)
     want, base = [], 0
