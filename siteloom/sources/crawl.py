@@ -18,9 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import urls
 from ..functions.page_parser import parse
 from ..operators.graph import follow_redirects
-from ..plans.tables import keep
+from ..plans.tables import keep, small
 from .schema import PAGE, PARSED, complete, struct_of
-from .web import header, robots_pattern, robots_rules, sitemap_locations
+from .web import header, robots_pattern, robots_rules, robots_start, sitemap_locations
 
 MOST_PAGES, MOST_DEPTH, MOST_LIST, MOST_HISTORY = 500, 10, 50_000, 50
 
@@ -133,18 +133,30 @@ def rescoped(state: State, scope: Scope) -> State:
 # --- rows of what was fetched --------------------------------------------------------------------------------------
 
 def allowed_by_robots(pages: DataFrame, robots: DataFrame) -> DataFrame:
-    """pages (url) with allowed: of the site's patterns that match, the longest decides, allow on a tie."""
+    """pages (url) with allowed: of the site's patterns that match, the longest decides, allow on a tie.
+
+    A pattern meets the paths that begin with its text up to the first *, or are that text if a $ ends it; only those are
+    searched for what follows. So work grows with pages and rules, not with their product, but for rules of a site that
+    differ behind a * only.
+    """
     def compiled(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column("site"), pa.array([robots_pattern(p) for p in batch.column("pattern").to_pylist()], pa.string()),
-                                   pa.array([len(p) for p in batch.column("pattern").to_pylist()], pa.int32()), batch.column("allow")], names=["site", "regex", "size", "allow"])
-
-    rules = robots.select("site", "pattern", "allow").mapInArrow(compiled, "site string, regex string, size int, allow boolean")
-    rules = rules.groupBy("site").agg(F.collect_list(F.struct("size", "allow", "regex")).alias("rules"))
-    at = pages.withColumn("site", urls.scheme_host(F.col("url"))).join(rules, "site", "left")
-    path_query = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^#]*)", 1)
-    best = F.array_max(F.transform(F.filter("rules", lambda r: F.regexp_like(path_query, r["regex"])), lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow"))))
-    return at.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("site", "rules")
+            patterns = batch.column("pattern").to_pylist()
+            start, whole, more = zip(*map(robots_start, patterns)) if patterns else ((), (), ())
+            yield pa.record_batch([batch.column("site"), pa.array(start, pa.string()), pa.array(whole, pa.bool_()), pa.array([robots_pattern(p) if m else None for p, m in zip(patterns, more)], pa.string()),
+                                   pa.array([len(p) for p in patterns], pa.int32()), batch.column("allow")], names=["site", "start", "whole", "regex", "size", "allow"])
+
+    rules = robots.select("site", "pattern", "allow").distinct().mapInArrow(compiled, "site string, start string, whole boolean, regex string, size int, allow boolean")
+    rules = keep(rules, "robots-rules")
+    sizes = rules.where("NOT whole").groupBy("site").agg(F.collect_set(F.length("start")).alias("sizes"))
+    site, path_query = urls.scheme_host(F.col("url")), F.regexp_extract("url", "^[a-z]+://[^/?#]*([^#]*)", 1)
+    at = pages.select("url").distinct().select("url", site.alias("site"), path_query.alias("path"))
+    starts = F.transform(F.filter("sizes", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    keys = at.select("url", "site", "path", F.col("path").alias("start"), F.lit(True).alias("whole")).unionByName(
+        at.join(small(keep(sizes, "robots-sizes")), "site").select("url", "site", "path", F.explode(starts).alias("start"), F.lit(False).alias("whole")))
+    met = keys.join(small(rules), ["site", "start", "whole"]).where("regex IS NULL OR regexp_like(path, regex)")
+    best = met.groupBy("url").agg(F.max(F.struct("size", "allow")).alias("best"))
+    return pages.join(best, "url", "left").withColumn("allowed", F.coalesce(F.col("best.allow"), F.lit(True))).drop("best")
 
 
 def answered(responses: DataFrame) -> DataFrame:
@@ -158,24 +170,31 @@ _RAW = ("title", "meta_description", "h1", "canonical", "meta_robots", "word_cou
 _SIGNALS = struct_of(PARSED)
 
 
-def _parser(ended: bool):
-    schema = to_arrow_schema(T.StructType([*[T.StructField(n, t) for n, t in (("url", T.StringType()), ("rendered", T.BooleanType()))], *_SIGNALS.fields, PAGE["raw"]]))
+def _signals(columns: tuple[str, ...]) -> list[T.StructField]:
+    return [f for f in _SIGNALS.fields if not columns or f.name in (*columns, "canonical", "meta_robots")]
+
+
+def _parser(ended: bool, columns: tuple[str, ...]):
+    wanted = tuple(f.name for f in _signals(columns))
+    schema = to_arrow_schema(T.StructType([*[T.StructField(n, t) for n, t in (("url", T.StringType()), ("rendered", T.BooleanType()))], *_signals(columns), PAGE["raw"]]))
 
     def run(batches):
         for batch in batches:
             rows = []
             for url, at, body, shown in zip(*(batch.column(c).to_pylist() for c in ("url", "final", "body", "rendered_body"))):
                 # With a rendered document its signals are the page's, and the plain one's are kept to compare.
-                plain = parse(body, at, ended=ended)
-                found = parse(shown, at, ended=ended) if shown else plain
+                plain = parse(body, at, wanted if shown is None else _RAW if shown else {*wanted, *_RAW}, ended=ended)
+                found = parse(shown, at, wanted, ended=ended) if shown else {k: plain[k] for k in wanted}
                 rows.append({"url": url, "rendered": shown is not None, "raw": {k: plain[k] for k in _RAW} if shown is not None else None} | found)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
-def page_rows(requests: DataFrame, responses: DataFrame, hops: DataFrame, robots: DataFrame, start: list[str] = (), ended: bool = False) -> DataFrame:
-    """Full page rows of requests (seq, url, depth, discovered_via_sitemap), one each; ended: see parse().
+def page_rows(requests: DataFrame, responses: DataFrame, hops: DataFrame, robots: DataFrame, start: list[str] = (), ended: bool = False, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Page rows of requests (seq, url, depth, discovered_via_sitemap), one each; ended: see parse().
+
+    All columns, or what a fetch tells and the named signals only.
 
     Blocked by robots.txt: no status. No answer: an error row. Redirected, but not a start URL: the destination's status
     and headers, no content. Not HTML: the headers. HTML: all signals, resolved on the destination's URL.
@@ -188,8 +207,8 @@ def page_rows(requests: DataFrame, responses: DataFrame, hops: DataFrame, robots
     kind = (F.when(~F.col("allowed"), "blocked").when(F.col("status").isNull(), "failed").when(moved & ~F.col("url").isin(list(start)), "redirected")
             .when(F.col("error").isNotNull(), "unread").when(~is_html, "other").otherwise("html"))
     rows = keep(rows.withColumn("kind", kind), "answers")
-    schema = ", ".join(["url string", "rendered boolean", PARSED, f"raw {PAGE['raw'].dataType.simpleString()}"])
-    parsed = rows.where("kind = 'html'").select("url", "final", "body", "rendered_body").mapInArrow(_parser(ended), schema)
+    schema = ", ".join(["url string", "rendered boolean", *[f"{f.name} {f.dataType.simpleString()}" for f in _signals(columns)], f"raw {PAGE['raw'].dataType.simpleString()}"])
+    parsed = rows.where("kind = 'html'").select("url", "final", "body", "rendered_body").mapInArrow(_parser(ended, columns), schema)
     rows = rows.drop("body", "rendered_body").join(parsed, "url", "left")
     h = lambda name: header(F.col("headers"), name)
     live = F.col("kind").isin("redirected", "unread", "other", "html")

@@ -56,12 +56,25 @@ def robots_rules(text: str, agent: str) -> tuple[list[tuple[str, bool]], float |
     return groups.get(own, []), delays.get(own)
 
 
-def robots_pattern(pattern: str) -> str:
+def _robots_text(pattern: str) -> tuple[str, bool]:
+    """The pattern in the escapes of a normal URL, and whether a $ ends it."""
     anchored = pattern.endswith("$")
-    body = "".join(".*" if c == "*" else re.escape(c) for c in quote(pattern.removesuffix("$") if anchored else pattern, safe="/%?=&*$:;,@!'()+~.-_"))
+    return quote(pattern.removesuffix("$") if anchored else pattern, safe="/%?=&*$:;,@!'()+~.-_"), anchored
+
+
+def robots_pattern(pattern: str) -> str:
+    text, anchored = _robots_text(pattern)
+    body = "".join(".*" if c == "*" else re.escape(c) for c in text)
     return f"^{body}" + ("$" if anchored else "")
 
 
+def robots_start(pattern: str) -> tuple[str, bool, bool]:
+    """What every path begins with that the pattern matches, whether such a path is that text, and whether more than that text decides."""
+    text, anchored = _robots_text(pattern)
+    start, star, rest = text.partition("*")
+    return start, anchored and not star, bool(star) and (anchored or bool(rest))
+
+
 def robots_allowed(path_query: Column, rules: list[tuple[str, bool]]) -> Column:
     """The longest matching pattern decides, allow on a tie; without a match allowed. A plain CASE over the rules."""
     out = F.lit(True)

@@ -210,3 +210,52 @@ def test_progress_tells_the_end(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(listener)
     assert told[-1] == (30, True)
+
+
+_RULES = "site string, pattern string, allow boolean"
+
+
+def test_robots_equal_a_plain_loop(spark):
+    import random
+    import re
+
+    from siteloom.sources.web import robots_pattern
+
+    rng = random.Random(3)
+    text = lambda letters, n: "/" + "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    rules = [(f"https://e{rng.randrange(3)}.com", text("ab/?é", 4) + rng.choice(["", "", "*", "*b", "*/*a", "**"]) + rng.choice(["", "$"]), rng.random() < 0.5) for _ in range(120)]
+    rules += [("https://e0.com", p, False) for p in ("", "$", "*", "*$", "*b$", "/a.b", "/$a", "/%41")] + [("https://e1.com", "/ab", True), ("https://e1.com", "/ab", False)]
+    pages = [f"https://e{rng.randrange(5)}.com{rng.choice(['', text('ab/?', 7), text('ab', 3).replace('b', '%C3%A9')])}" for _ in range(400)]
+    pages += ["https://e0.com/a.b", "https://e0.com/axb", "https://e0.com/$a", "https://e0.com/%41"]
+
+    def want(url):
+        site, path = re.match("([a-z]+://[^/?#]*)(.*)", url).groups()
+        return max(((len(p), allow) for s, p, allow in rules if s == site and re.search(robots_pattern(p), path)), default=(0, True))[1]
+
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(pages)] + [(-1, None)], "seq long, url string")
+    got = {r.seq: r.allowed for r in crawl.allowed_by_robots(rows, spark.createDataFrame(rules, _RULES)).collect()}
+    assert got == {-1: True} | {i: want(u) for i, u in enumerate(pages)} and len(set(got.values())) == 2
+
+
+def test_robots_with_many_rules_of_one_site(spark):
+    n = 30_000
+    pages = spark.range(n).select(F.concat(F.lit("https://e.com/"), F.col("id").cast("string")).alias("url"))
+    rule = lambda end, allow: F.struct(F.lit("https://e.com").alias("site"), F.concat(F.lit("/"), F.col("id").cast("string"), F.lit(end)).alias("pattern"), F.lit(allow).alias("allow"))
+    # A page's own rule is the longest that matches it.
+    robots = spark.range(n).select(F.when(F.col("id") % 2 == 0, rule("$", False)).otherwise(rule("", True)).alias("r")).select("r.*")
+    began = time.monotonic()
+    got = crawl.allowed_by_robots(pages, robots).where("NOT allowed").count()
+    assert got == n // 2 and time.monotonic() - began < 30
+
+
+def test_fetched_rows_with_named_signals(spark):
+    requests = spark.createDataFrame([(i, f"https://e.com/{i}", 0, False) for i in range(4)], "seq long, url string, depth long, discovered_via_sitemap boolean")
+    html = '<title>T{}</title><meta name=robots content=noindex><h1>h</h1><a href="/x">x</a>'
+    answers = [(f"https://e.com/{i}", "GET", 200, {"content-type": "text/html"}, html.format(i), None, 1, shown) for i, shown in enumerate([None, "", "<title>shown</title><link rel=canonical href=/c>", None])]
+    responses = spark.createDataFrame(answers, "url string, method string, status int, headers map<string,string>, body string, error string, elapsed_ms long, rendered_body string")
+    hops, robots = spark.createDataFrame([], "from_url string, to_url string"), spark.createDataFrame([("https://e.com", "/3", False)], _RULES)
+    every, some = ({r.url: r for r in crawl.page_rows(requests, responses, hops, robots, columns=c).collect()} for c in ((), ("title",)))
+    told = ("status", "indexability", "title", "canonical", "meta_robots", "rendered", "raw")
+    assert {u: [r[c] for c in told] for u, r in some.items()} == {u: [r[c] for c in told] for u, r in every.items()}
+    assert [every[f"https://e.com/{i}"].indexability for i in range(4)] == ["Non-Indexable (noindex)"] * 2 + ["Canonicalised", "Non-Indexable (robots.txt)"]
+    assert [some["https://e.com/1"][c] for c in ("title", "h1", "word_count")] == ["T1", None, 0] and some["https://e.com/2"].raw.internal_link_count == 1
