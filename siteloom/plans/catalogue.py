@@ -130,10 +130,13 @@ _HASH = f"CASE WHEN len({_WORDS}) = 0 THEN '' ELSE sha256(translate(array_to_str
     '' AS structured_data_types, floor(strlen(text) * 1000.0::DOUBLE / strlen(html) + 0.5) / 10 AS text_ratio, 'Indexable' AS indexability FROM t""".replace("CAST(len(list_filter(hrefs, lambda h: regexp_matches(h, 'zz'))) * 0 AS BIGINT)", "0::BIGINT"))
 def page_signals(spark, sf_dir):
     joined = lambda c: F.array_join(c, "|").alias(c)
+    # From whole bytes with one division, as ten times the rounded percentage may miss a half.
+    size = F.col("html_size_bytes")
+    ratio = F.when(size > 0, F.floor(F.round(F.col("text_ratio_pct") * size / 100) * 1000 / size + 0.5) / 10).otherwise(0.0)
     return corpus_pages(spark, sf_dir).select(
         "seq", "url", "title", "title_length", "title_count", "meta_description", "meta_description_count", "meta_robots", "viewport", "canonical", "canonical_count", "pagination_next", "meta_refresh",
         "lang", joined("h1_values"), "word_count", "content_hash", "has_lorem_ipsum", "internal_link_count", "external_link_count", "image_count", "insecure_link_count", "mixed_content_count",
-        "internal_nofollow_count", "has_open_graph", "has_twitter_card", joined("structured_data_types"), (F.floor(F.col("text_ratio_pct") * 10 + 0.5) / 10).alias("text_ratio"), "indexability")
+        "internal_nofollow_count", "has_open_graph", "has_twitter_card", joined("structured_data_types"), ratio.alias("text_ratio"), "indexability")
 
 
 def _near(pages):

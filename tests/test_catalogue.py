@@ -83,3 +83,14 @@ def test_missing_return_of_a_later_page_of_the_host_on_another_scheme_or_port(sp
     got = issues.cross_flags(pages, links, hreflang, keys=("hreflangMissingReturn",)).collect()
     # That of c is on another host and comes later; that of d came before.
     assert sorted(r.url for r in got) == sorted([urls[0], urls[1], urls[3]])
+
+
+def test_text_ratio_rounds_halves_up(spark, tmp_path):
+    ties = [(n, size) for size in (80, 240, 400, 2000, 5600) for n in range(2, size - 20) if n * 2000 % size == 0 and n * 2000 // size % 2][:250]
+    rows = [(i, f"https://e.com/{i}", f"<body>{'x' * (n - 1)}<!--{'y' * (size - n - 12)}-->") for i, (n, size) in enumerate(ties)]
+    spark.createDataFrame([*rows, (-1, "https://e.com/empty", "")], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.seq: r.text_ratio for r in catalogue.QUERIES["page_signals"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet' WHERE page_id >= 0")
+    want = dict(con.execute(f"SELECT seq, text_ratio FROM ({catalogue.ORACLES['page_signals']})").fetchall())
+    assert got.pop(-1) == 0.0 and got == want == {i: (n * 2000 + size) // (2 * size) / 10 for i, (n, size) in enumerate(ties)}
